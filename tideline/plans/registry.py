@@ -10,22 +10,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    return ()
+    from tideline.plans import cleaning, clusters, evaluation, ml, profiling, relations, retrieval, series, streams, virality
+
+    return profiling, cleaning, series, clusters, relations, retrieval, virality, evaluation, ml, streams
 
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for m in _modules():
-        out.update(m.QUERIES)
+        out.update(m.PLANS.queries)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for m in _modules():
-        out.update(m.SQL)
+        out.update(m.PLANS.sql)
     return out
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+    """Hourly activity per event type with trailing z-scores."""
+    from tideline.plans import series
+
+    return series.wn01_z_daily_scored(spark, folder)
