@@ -94,3 +94,54 @@ def rarity_weights(hot: np.ndarray, counts: np.ndarray, total: int, share: float
     if not len(hot):
         return np.zeros(0, np.float32)
     return np.maximum(0.01, (np.log(total / np.minimum(counts, total)) / np.log(1 / share)).clip(0, 1) ** power).astype(np.float32)
+
+
+#: Largest key filter in bits (16 MB); with more keys it lets more through, never fewer.
+MOST_BITS = 1 << 27
+
+
+def key_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.ndarray:
+    """A Bloom filter (packed bits, two probes) of a long column, to spare rows that can't match a shuffle.
+
+    Tasks set bits in their own bitmap and send the blocks they touched, blocks are merged by or; what the driver receives and
+    the tasks get is at most ``most_bits`` bits, whatever the number of keys."""
+    n = keys.count()
+    bits = 1 << 13
+    while bits < min(most_bits, 12 * n):
+        bits *= 2
+    block = 1 << 13  # bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            for p in probes(batch.column(0).to_numpy(), bits):
+                own[p] = True
+        packed = np.packbits(own).reshape(-1, min(block, bits // 8))
+        used = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["i", "b"])
+
+    def merge(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"i": pdf["i"][:1], "b": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["b"]]).tobytes()]})
+
+    got = keys.select(column).mapInArrow(run, "i long, b binary").groupBy("i").applyInPandas(merge, "i long, b binary").toPandas()
+    out = np.zeros((max(1, bits // 8 // block), min(block, bits // 8)), np.uint8)
+    for i, b in zip(got["i"], got["b"]):
+        out[i] = np.frombuffer(b, np.uint8)
+    return out.reshape(-1)
+
+
+def probes(values: np.ndarray, bits: int) -> list[np.ndarray]:
+    from tideline.llm.sketch import mix
+
+    h = mix(values.view(np.uint64) if values.dtype == np.int64 else values.astype(np.int64).view(np.uint64))
+    return [(h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
+
+
+def may_have(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """False only for values that the filter's keys don't have."""
+    out = np.ones(len(values), bool)
+    for p in probes(values, len(bitmap) * 8):
+        out &= (bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+    return out
