@@ -42,12 +42,12 @@ BOTH = [
 ]
 FILLERS = {"", "n/a", "na", "null", "none", "nil", "nan", "-", "--", "...", "…", ".", "?", "todo", "tbd", "unknown", "undefined", "no answer", "no reasoning", "empty", "not available", "no response", "{}", "[]", "\"\"", "n.a.", "(empty)", "(none)"}
 STOPWORDS = {
-    "en": "the of and to in is that for it with as was are this on be by from have has not but an at which or they you were who their so than what where does how about more been its will would there can only between after while any every our us we i if my just never when because until since",
-    "es": "el la los las de y que en un una por con para del se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante según dice cerca cobran dejó qué no",
-    "fr": "le la les de et des en un une du que qui dans pour pas au sur est par plus ce ne se avec sont mais ou il elle nous vous leur cette ont été être aux malgré selon près après d'après même moins ces quelle dira on y",
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch gegen nahe laut weniger jedoch",
-    "pt": "o a os as de e que em um uma por com para do da dos das se seu ao como mais mas não na no nas nos isso ele ela foi são segundo depois até também pelo pela menos ninguém às à",
-    "it": "il lo la i gli le di e che in un una per con non da del della dei delle si al come più ma anche sono è ha nel alla dopo secondo",
+    "en": "the of and to in is that for it with as was are this on be by from have has not but an at which or they you were who their so than what where does how about more been its will would there can only between after while any every our us we i if my just never when because until since went up down cost costs says say said told against wants pay paid keep let signed voted owns sell found missing promised ever arrived fired spends year wait waits days months combined linked took bills approved rejected silent hired dropped once crime rose fell shows worth companies people now never received stopped using per head",
+    "es": "el la los las de y que en un una por con para del se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante según dice cerca cobran dejó qué no gastó vendió cámaras alcaldía aprobó permisos perdió ocultó meses murieron pacientes después campaña firmó acuerdo secreto ningún niño recibió prometió maestros menos inquilinos pagar registros públicos aunque suele publicar informes puede",
+    "fr": "le la les de et des en un une du que qui dans pour pas au sur est par plus ce ne se avec sont mais ou il elle nous vous leur cette ont été être aux malgré selon près après d'après même moins ces quelle dira on y a perdu caché pendant mois dépensé achetées caméras mairie élèves reçu repas ceux locataires paient validé avis patients décédés campagne affirme signé accord secret peut être vérifiée archives publiques rapport chaque année mais",
+    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch gegen nahe laut weniger jedoch hat verloren schwieg monate geheimen vertrag unterschrieb genehmigte rat stadt gab kameras verdienen prozent mieter zahlen nichts fehlten dosen behauptet lässt keine öffentlichen daten obwohl jedes jahr bericht",
+    "pt": "os de que em um uma por com para do da dos das se seu ao como mais mas não na no nas nos isso ele ela foi são segundo depois até também pelo pela menos ninguém às à",
+    "it": "il lo gli di che in un una per con non da del della dei delle si come più anche sono è nel alla dopo secondo",
     "nl": "de het een en van in is dat op te zijn voor met niet aan er om ook als bij door naar maar over uit",
     "ru": "и в не на что с по как это из у за о от для но к же бы только было его она они мы все так после при без до или ещё во",
 }
@@ -184,7 +184,7 @@ def language(text: str | None) -> tuple[str, float]:
 def answers_in_other_language(answer: str, given: str | None) -> bool:
     a, lead_a = language(answer)
     g, lead_g = language(given)
-    return bool(a and g and a != g and lead_a >= 1.5 and lead_g >= 1)
+    return bool(a and g and a != g and ((lead_a >= 1.5 and lead_g >= 1) or (lead_a >= 4 and lead_g > 0)))
 
 
 def open_delimiters(text: str) -> int:
@@ -231,6 +231,14 @@ def masked(text: str) -> list[str]:
     return out
 
 
+def goes_on_in(answer: str, given: str | None, tail: int = 25) -> bool:
+    """Whether the input has the answer's end and goes on right there, inside a word or with a word in lower case or a number."""
+    if not given or len(answer) < tail:
+        return False
+    i = given.lower().find(answer.lower()[-tail:])
+    return i >= 0 and bool(re.match(r"[^\W_]|[ ][^\WA-ZÀ-ÖØ-Þ_]", given[i + tail :]))
+
+
 _END = frozenset(".!?。！？…")
 
 
@@ -285,7 +293,7 @@ def first_tests(answers: DataFrame) -> DataFrame:
         other = answers_in_other_language(text, given)
         if _CLOSED.search(text) or re.search(r"https?://\S+$|[#@]\w+$|[\U0001F300-\U0001FAFF☀-➿️]$", text):
             return ("other_language" if other else None), other, None
-        if open_delimiters(text):
+        if open_delimiters(text) or goes_on_in(text, given):
             return "truncated", other, None
         return None, other, tails(text)
 
