@@ -126,7 +126,7 @@ def sm13_claim_registry(s, d):
     return C.claim_registry(table(s, d, "embeddings"), "vec_id", "label", "embedding", 0.85)
 
 
-@PLANS(f"WITH {_POSTS} SELECT tweet_id, user_id, cluster_id, created_at, retweet_count_at_collection, likes_at_collection, passes_claim_gate, CAST(created_at AS DATE) AS date FROM p")
+@PLANS(f"WITH {_POSTS} SELECT tweet_id, user_id, cluster_id, created_at, retweet_count_at_collection, likes_at_collection, passes_claim_gate, strftime(created_at, '%Y-%m-%d') AS date FROM p")
 def snk05_star_tweets(s, d):
     """SNK05: the fact relation of the star schema as it is written, with its partition column."""
-    return _posts(s, d).select("tweet_id", "user_id", "cluster_id", "created_at", "retweet_count_at_collection", "likes_at_collection", "passes_claim_gate", F.to_date("created_at").alias("date"))
+    return _posts(s, d).select("tweet_id", "user_id", "cluster_id", "created_at", "retweet_count_at_collection", "likes_at_collection", "passes_claim_gate", F.date_format("created_at", "yyyy-MM-dd").alias("date"))

@@ -48,9 +48,9 @@ def ag04_percent_of_total(s, d):
     return c.join(F.broadcast(total)).select("source", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
 
 
-@PLANS("SELECT CAST(created_at AS DATE) AS day, count(DISTINCT user_id) AS users, count(DISTINCT cluster_id) AS clusters FROM tweets GROUP BY 1")
+@PLANS("SELECT strftime(created_at, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users, count(DISTINCT cluster_id) AS clusters FROM tweets GROUP BY 1")
 def ag05_distinct_by_day(s, d):
-    return table(s, d, "tweets").groupBy(F.to_date("created_at").alias("day")).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("cluster_id").alias("clusters"))
+    return table(s, d, "tweets").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("cluster_id").alias("clusters"))
 
 
 @PLANS("SELECT n AS tweets_per_user, count(*) AS users FROM (SELECT user_id, count(*) AS n FROM tweets GROUP BY user_id) GROUP BY n")
@@ -60,7 +60,7 @@ def ag06_size_of_sizes(s, d):
 
 @PLANS("""WITH u AS (SELECT user_id, count(*) AS n FROM tweets GROUP BY user_id),
 r AS (SELECT n, row_number() OVER (ORDER BY n, user_id) - 1 AS i, count(*) OVER () AS c FROM u)
-SELECT q, min(n) AS value FROM r, (VALUES (0.25), (0.5), (0.75), (0.95), (0.99)) AS t(q) WHERE i = CAST(floor((c - 1) * q + 0.5) AS BIGINT) GROUP BY q""")
+SELECT CAST(q AS DOUBLE) AS q, min(n) AS value FROM r, (VALUES (0.25), (0.5), (0.75), (0.95), (0.99)) AS t(q) WHERE i = CAST(floor((c - 1) * q + 0.5) AS BIGINT) GROUP BY q""")
 def ag07_quantiles_nearest(s, d):
     u = table(s, d, "tweets").groupBy("user_id").agg(F.count("*").alias("n"))
     # nearest-rank quantiles from a histogram of values: the sorted rows are never gathered, only distinct values are
@@ -69,7 +69,7 @@ def ag07_quantiles_nearest(s, d):
     total = u.agg(F.count("*").alias("total"))
     q = s.createDataFrame([(0.25,), (0.5,), (0.75,), (0.95,), (0.99,)], "q double")
     at = F.floor((F.col("total") - 1) * F.col("q") + 0.5)
-    return upto.join(F.broadcast(total)).join(F.broadcast(q), (at >= F.col("from")) & (at < F.col("till"))).select(F.col("q").cast("decimal(3,2)").alias("q"), F.col("n").alias("value"))
+    return upto.join(F.broadcast(total)).join(F.broadcast(q), (at >= F.col("from")) & (at < F.col("till"))).select("q", F.col("n").alias("value"))
 
 
 @PLANS("SELECT source, median(likes_at_collection) AS mid, quantile_cont(retweet_count_at_collection, 0.9) AS p90 FROM tweets GROUP BY source")

@@ -134,10 +134,10 @@ def sm03_lookback_horizon(s, d):
     return before.unionByName(e.where((F.col("ts") >= at) & (F.col("ts") < at + week)).agg(F.lit("after").alias("side"), F.count("*").alias("n")))
 
 
-@PLANS("SELECT min(dd) AS first_day, max(dd) AS last_day, count(*) AS days, min(n) AS low, max(n) AS high, round(avg(n), 6) AS mean FROM (SELECT CAST(ts AS DATE) AS dd, count(*) AS n FROM events GROUP BY 1)")
+@PLANS("SELECT strftime(min(dd), '%Y-%m-%d') AS first_day, strftime(max(dd), '%Y-%m-%d') AS last_day, count(*) AS days, min(n) AS low, max(n) AS high, round(avg(n), 6) AS mean FROM (SELECT CAST(ts AS DATE) AS dd, count(*) AS n FROM events GROUP BY 1)")
 def sm05_range_stats(s, d):
     day = table(s, d, "events").groupBy(F.to_date("ts").alias("dd")).agg(F.count("*").alias("n"))
-    return day.agg(F.min("dd").alias("first_day"), F.max("dd").alias("last_day"), F.count("*").alias("days"), F.min("n").alias("low"), F.max("n").alias("high"), F.round(F.avg("n"), 6).alias("mean"))
+    return day.agg(F.min("dd").cast("string").alias("first_day"), F.max("dd").cast("string").alias("last_day"), F.count("*").alias("days"), F.min("n").alias("low"), F.max("n").alias("high"), F.round(F.avg("n"), 6).alias("mean"))
 
 
 @PLANS("SELECT CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-20' OR ts >= TIMESTAMP '2024-01-22' GROUP BY 1")
@@ -175,20 +175,20 @@ def sm19_resample(s, d):
     return D.resample(D.resample(_hourly(s, d), "day"), "week")
 
 
-@PLANS("SELECT dd AS day, click, view, purchase, click + view + purchase AS total FROM (SELECT CAST(ts AS DATE) AS dd, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1)")
+@PLANS("SELECT strftime(dd, '%Y-%m-%d') AS day, click, view, purchase, click + view + purchase AS total FROM (SELECT CAST(ts AS DATE) AS dd, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1)")
 def st05_pivot(s, d):
     """ST05, ST07: long to wide with named columns (no extra pass to find them), and a sum across."""
     from tideline.operators.aggregates import sum_across
 
     names = ["click", "view", "purchase"]
-    w = table(s, d, "events").groupBy(F.to_date("ts").alias("day")).pivot("event_type", names).agg(F.count(F.lit(1))).na.fill(0, names)
+    w = table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).pivot("event_type", names).agg(F.count(F.lit(1))).na.fill(0, names)
     return w.withColumn("total", sum_across(names))
 
 
-@PLANS("SELECT CAST(ts AS DATE) AS day, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2")
+@PLANS("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS name, count(*) AS n FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2")
 def st06_melt(s, d):
     names = ["click", "view", "purchase"]
-    w = table(s, d, "events").groupBy(F.to_date("ts").alias("day")).pivot("event_type", names).agg(F.count(F.lit(1)))
+    w = table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).pivot("event_type", names).agg(F.count(F.lit(1)))
     return w.unpivot(["day"], names, "name", "n").where("n is not null")
 
 
