@@ -40,10 +40,10 @@ def split_share(df: DataFrame, group: str, split: str, over: float = 3.0) -> Dat
 
 def entropy(df: DataFrame, group: str, category: str, base: float = 2.0) -> DataFrame:
     """Shannon entropy of categories within groups; 0 for one category; nulls don't count."""
-    c = df.where(F.col(category).isNotNull()).groupBy(group, category).agg(F.count("*").alias("c"))
+    c = df.where(F.col(category).isNotNull()).groupBy(group, category).agg(F.count("*").alias("_c"))
     # -sum(p log p) = log(n) - sum(c log c) / n, so the counts are aggregated once and no total is joined back
-    n = F.sum("c")
-    return c.groupBy(group).agg(F.round(F.greatest((F.log(n) - F.sum(F.col("c") * F.log("c")) / n) / F.log(F.lit(base)), F.lit(0.0)), 6).alias("entropy"), F.count("*").alias("categories"))
+    n = F.sum("_c")
+    return c.groupBy(group).agg(F.round(F.greatest((F.log(n) - F.sum(F.col("_c") * F.log("_c")) / n) / F.log(F.lit(base)), F.lit(0.0)), 6).alias("entropy"), F.count("*").alias("categories"))
 
 
 def one_vote(df: DataFrame, group: str, user: str, value: str) -> DataFrame:
@@ -56,12 +56,12 @@ def gini(df: DataFrame, group: str, value: str) -> DataFrame:
     """Gini coefficient of values of at least 0 within groups; 0 where all are 0.
 
     Works on counts of equal values, so a group of millions of rows is sorted by its distinct values only."""
-    c = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    c = c.withColumn("b", before)
+    c = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count("*").cast("double").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    c = c.withColumn("_b", before)
     # ranks b+1 .. b+c of the c equal values sum to c * b + c (c + 1) / 2
-    weighted = F.sum(F.col("v") * (F.col("c") * F.col("b") + F.col("c") * (F.col("c") + 1) / 2))
-    n, total = F.sum("c"), F.sum(F.col("v") * F.col("c"))
+    weighted = F.sum(F.col("_v") * (F.col("_c") * F.col("_b") + F.col("_c") * (F.col("_c") + 1) / 2))
+    n, total = F.sum("_c"), F.sum(F.col("_v") * F.col("_c"))
     return c.groupBy(group).agg(F.round(F.when(total == 0, 0.0).otherwise((2 * weighted - (n + 1) * total) / (n * F.nullif(total, F.lit(0.0)))), 6).alias("gini"))
 
 

@@ -26,7 +26,7 @@ def rolling_z(s: DataFrame, width: int, least_count: float = 10, least_std: floa
     baseline are left out; with a threshold only rows strictly above it stay."""
     w = Window.partitionBy("entity").orderBy("t").rowsBetween(-width, -1)
     d = s.select("*", F.avg("n").over(w).alias("mean"), F.stddev_pop("n").over(w).alias("std"), F.count("n").over(w).alias("k"))
-    d = d.where((F.col("k") == width) & (F.col("n") >= least_count) & (F.col("std") >= least_std))
+    d = d.where((F.col("k") == width) & (F.col("n") >= least_count) & (F.round("std", 9) >= least_std))
     z = (F.col("n") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))
     d = d.select("entity", "t", "n", F.round(z, 6).alias("z"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
     return d if threshold is None else d.where(F.col("z") > threshold)
@@ -37,7 +37,7 @@ def expanding_z(s: DataFrame, start: int, least_count: float = 10, least_std: fl
     w = Window.partitionBy("entity").orderBy("t")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     d = s.select("*", F.avg("n").over(before).alias("mean"), F.stddev_pop("n").over(before).alias("std"), F.row_number().over(w).alias("k"))
-    d = d.where((F.col("k") > start) & (F.col("n") >= least_count) & (F.col("std") >= least_std))
+    d = d.where((F.col("k") > start) & (F.col("n") >= least_count) & (F.round("std", 9) >= least_std))
     z = (F.col("n") - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))
     d = d.select("entity", "t", "n", F.round(z, 6).alias("z"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
     return d if threshold is None else d.where(F.col("z") > threshold)

@@ -57,6 +57,33 @@ def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, same
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def near_counts(queries: DataFrame, base: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """``query``, ``near``: rows of ``base`` (but its own) at cosine ``least`` or more. Queries in blocks; tasks send one count a query."""
+    total = queries.count()
+    kind = dict(base.dtypes)[key]
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    out = base.sparkSession.createDataFrame([], f"query {kind}, c long")
+    for b in range(blocks):
+        got = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector).toPandas()
+        if not len(got):
+            continue
+        ids = got[key].to_numpy()
+        q = np.stack(got[vector].to_numpy()).astype(np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-10)
+
+        def scan(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+            counts = np.zeros(len(q), np.int64)
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+                    counts += ((np.round(q @ x.T, 6) >= least) & (ids[:, None] != pdf[key].to_numpy()[None, :])).sum(1)
+            yield pd.DataFrame({"query": ids, "c": counts})
+
+        out = out.unionByName(base.select(key, vector).mapInPandas(scan, f"query {kind}, c long"))
+    return out.groupBy("query").agg(F.sum("c").alias("near")).where("near > 0")
+
+
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean vector of each group, renormalised: one aggregation over (group, dimension)."""
     per = df.select(group, F.posexplode(vector).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

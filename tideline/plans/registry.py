@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from tideline.plans import cleaning, clusters, evaluation, ml, profiling, relations, retrieval, series, streams, virality
+    from tideline.plans import cleaning, clusters, evaluation, files, ml, profiling, relations, retrieval, series, streams, virality
 
-    return profiling, cleaning, series, clusters, relations, retrieval, virality, evaluation, ml, streams
+    return profiling, cleaning, series, clusters, relations, retrieval, virality, evaluation, ml, streams, files
 
 
 def queries() -> dict[str, Query]:

@@ -23,10 +23,11 @@ def delimited(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, broken lines): a broken line never stops the read."""
+    """(good rows, broken lines as ``line``): a broken line never stops the read. Empty lines are neither."""
     s = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    df = spark.read.schema(StructType([*s.fields]).add("_broken", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return df.where("_broken is null").drop("_broken"), df.where("_broken is not null").select("_broken")
+    full = StructType([*s.fields]).add("_broken", "string")
+    read = spark.read.text(path).where("trim(value) != ''").select(F.col("value").alias("line"), F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return read.where("r._broken is null").select(*[F.col(f"r.{f.name}").alias(f.name) for f in s.fields]), read.where("r._broken is not null").select("line")
 
 
 NESTED_TWEET = """id_str string, created_at string, text string, lang string, retweet_count long, favorite_count long, extended_tweet struct<full_text: string>,

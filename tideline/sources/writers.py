@@ -14,8 +14,9 @@ def parquet(df: DataFrame, path: str, by: list[str] | None = None, rows_a_file:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
-def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+def csv(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
+    """With a header; quotes doubled, outer spaces kept."""
+    df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
