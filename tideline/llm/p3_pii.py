@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.pii_detect import entity, find
 from tideline.llm.textforms import consistent
+from tideline.operators.staging import stage
 
 #: A name list longer than this isn't sent to the tasks; a list of given names is bounded by nature.
 MOST_NAMES = 100_000
@@ -73,8 +74,9 @@ def surrogate(kind: str, piece: str, who: str, secret: str, turn: int, names: tu
         made = re.sub(r"[^\W\d_]{5,}", lambda m: stem(2).capitalize(), re.sub(r"\d", lambda m: str(1 + _digit(seed, m.start()) % 9), piece), count=1)
     else:
         first = who.split(" ")[0]
-        same = [n for n in names if n.endswith(_FEMALE_ENDINGS) == first.endswith(_FEMALE_ENDINGS)] or list(names) or ["alex"]
-        given, family = same[seed % len(same)].capitalize(), (stem(2) + _FAMILY_ENDS[(seed >> 40) % len(_FAMILY_ENDS)]).capitalize()
+        female = first.endswith(_FEMALE_ENDINGS)
+        same = [n for n in names if n.endswith(_FEMALE_ENDINGS) == female and n != first] or [stem(1) + ("a" if female else "o")]
+        given, family = same[seed % len(same)].capitalize(), (stem(4) + _FAMILY_ENDS[(seed >> 40) % len(_FAMILY_ENDS)]).capitalize()
         made = f"{family}, {given}" if "," in piece else f"{given} {family}"
     return made.upper() if piece.isupper() else made.lower() if piece.islower() else made
 
@@ -99,9 +101,11 @@ def replaced(df: DataFrame, key: str, text: str, given: frozenset[str], secret:
     Pieces of one text are gathered for that text only; texts without pieces pass through unchanged."""
     names = tuple(sorted(given))
     base = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")
-    turns = _turns(pieces(df, key, text, given), secret, names)
-    # few entities clash, so the numbers are joined to the pieces by entity, then come back as one small map a text
-    marks = pieces(df, key, text, given).join(turns, ["pii_type", "entity"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "pii_type", "entity"), "turn"))).alias("turns"))
+    found_ = stage(pieces(df, key, text, given).select("key", "pii_type", "entity").distinct(), "entities")
+    # few entities clash; their numbers come back as one small map a text, a written table whose size Spark knows, so the texts
+    # are only shuffled where it is too large to send along
+    marks = found_.join(_turns(found_, secret, names), ["pii_type", "entity"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "pii_type", "entity"), "turn"))).alias("turns"))
+    marks = stage(marks, "turns")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

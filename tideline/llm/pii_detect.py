@@ -54,8 +54,8 @@ _NO = r"\d{1,4}(?: ?[a-zA-Z](?![\w]))?"
 _CAP0 = r"[^\W\d_a-zà-öø-ÿ][\w'’\-]*"
 _W = r"[^\W\d_][\w'’\-]*"
 _STREET = re.compile(
-    rf"(?<![\w.,])(?:(?:apt|flat|unit|suite|apartment)\.? ?\d+[a-z]?, ?)?{_NO},? (?:(?-i:{_CAP0}) ){{1,3}}(?:{STREET_AFTER})\b\.?(?:, {_W})?"
-    rf"|(?<![\w.,]){_NO},? {_W} (?:{STREET_CLEAR})\b\.?(?:, {_W})?"
+    rf"(?<![\w.,])(?:(?:apt|flat|unit|suite|apartment)\.? ?\d+[a-z]?, ?)?{_NO},? (?:(?-i:{_CAP0}) ){{1,3}}(?:{STREET_AFTER})\b(?:\.(?=,))?(?:, {_W})?"
+    rf"|(?<![\w.,]){_NO},? {_W} (?:{STREET_CLEAR})\b(?:\.(?=,))?(?:, {_W})?"
     rf"|(?<![\w.,]){_NO},? {_W} (?:{STREET_AFTER})\b(?=\s*(?:[.,;:!?\n]|$))"
     rf"|(?<![\w.,])\d{{1,4}}(?: ?(?:bis|ter))?,? (?:{STREET_BEFORE})\b\.?(?: (?:de|du|des|la|le|da|do|del))* {_W}(?:, {_W})?"
     rf"|\b(?:{STREET_BEFORE})\b\.?(?: (?:de|del|la|las|los|da|do|dos|du))* {_W}(?: {_W})?,? (?:n[º°.o]+ ?)?{_NO}(?:, \d{{1,2}}[º°ª](?: ?\w)?)?"

@@ -26,7 +26,7 @@ def p2_found(s: SparkSession, d: str) -> DataFrame:
 
 
 def p2_forms(s: SparkSession, d: str) -> DataFrame:
-    return p2_unify.unify(table(s, d, "tweets"), "tweet_id", "text").select(F.col("key").alias("tweet_id"), "form", "changed")
+    return p2_unify.unify(table(s, d, "tweets"), "tweet_id", "text").select(F.col("key").alias("tweet_id"), "form", "changed").distinct()
 
 
 def p2_spellings(s: SparkSession, d: str) -> DataFrame:
@@ -40,7 +40,9 @@ def p3_found(s: SparkSession, d: str) -> DataFrame:
 
 def p3_replaced(s: SparkSession, d: str) -> DataFrame:
     given = p3_pii.given_names(table(s, d, "name_list"))
-    return p3_pii.replaced(table(s, d, "posts"), "idx", "post", given).withColumnRenamed("key", "rec_id")
+    tweets = p3_pii.replaced(table(s, d, "tweets"), "tweet_id", "text", given).select(F.lit("tweets").alias("src"), F.col("key").alias("rec_id"), "redacted", "surrogate")
+    posts = p3_pii.replaced(table(s, d, "posts"), "idx", "post", given).select(F.lit("posts").alias("src"), F.col("key").alias("rec_id"), "redacted", "surrogate")
+    return tweets.unionByName(posts).distinct()
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
