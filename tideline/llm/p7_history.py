@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.p4_edits import one_a_class, samples
 from tideline.llm.sketch import class_counts, row_ids
-from tideline.llm.wordsets import flat_of, frequent_words, key_filter, may_have, rarity_weights, word_rows
+from tideline.llm.wordsets import flat_of, frequent_words, key_filter, rarity_weights, with_keys, word_rows
 from tideline.operators.staging import stage
 
 POINTS, NEAREST, SEED, CLASSES, RARITY = 36, 5, 29, 32, 1.75
@@ -59,7 +59,7 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -
     """``x``, ``y`` with similarity at least ``least``: first the stored distances to the pivots, then the words of what is left."""
     lp = left.select(F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pivots").alias("px"))
     rp = right.select(F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("pivots").alias("py"))
-    both = pairs.join(lp, "x").join(rp, "y").where(F.least("nx", "ny") >= least * F.greatest("nx", "ny"))
+    both = pairs.join(lp, "x").join(rp, "y").where(F.least("nx", "ny") >= least * F.greatest("nx", "ny") - 1e-9)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,16 +89,6 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -
     return words.select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long")
 
 
-def with_keys(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Rows whose ``cls`` the key filter may have; the others are spared the shuffle of an exact join after it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_have(bitmap, batch.column(0).to_numpy())))
-
-    return rows.select("cls", "n", "seq").mapInArrow(run, "cls long, n int, seq array<int>")
-
-
 def pairs_within(incoming: DataFrame, history: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(links incoming to history, links among incoming) between different classes; both inputs are staged word rows."""
     hot, counts, total = frequent_words(history)
