@@ -289,7 +289,8 @@ def test_p9_finds_what_brute_force_finds(spark):
         w = words(x)
         for k in range(len(w) - 11):
             grams.setdefault(tuple(w[k : k + 12]), set()).add(i)
-    truth = {(d, i) for d, x in docs if d is not None for k in range(max(0, len(w := words(x)) - 11)) for i in grams.get(tuple(w[k : k + 12]), ())}
+    bags = [(d, words(x)) for d, x in docs if d is not None]
+    truth = {(d, i) for d, w in bags for k in range(len(w) - 11) for i in grams.get(tuple(w[k : k + 12]), ())}
     assert got == truth and len(truth) > 8
     assert p9_leaks.found(D.where("false"), I).count() == 0 and p9_leaks.found(D, I.where("false")).count() == 0
 
