@@ -266,9 +266,9 @@ def sf25_tokens(s, d):
     return t.select("tweet_id", F.size(X.tokens(F.col("text"))).cast("bigint").alias("tokens"), F.length("text").cast("bigint").alias("chars"), F.octet_length("text").cast("bigint").alias("bytes"))
 
 
-@PLANS("""WITH w AS (SELECT sentence_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS w FROM (SELECT sentence_id, min(text) AS text FROM normalizations WHERE split = 'dev' GROUP BY sentence_id))
+@PLANS("""WITH w AS (SELECT sentence_id, list_distinct(string_split_regex(lower(text), '\\s+')) AS w FROM (SELECT sentence_id, min(text) AS text FROM normalizations GROUP BY sentence_id))
 SELECT a.sentence_id AS key_a, b.sentence_id AS key_b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE, 6) AS similarity FROM w a JOIN w b ON a.sentence_id < b.sentence_id
 WHERE len(a.w) >= 0.8 * len(b.w) AND len(b.w) >= 0.8 * len(a.w) AND len(list_intersect(a.w, b.w)) >= 0.8 * len(list_distinct(list_concat(a.w, b.w)))""")
 def jn14_jaccard_self_join(s, d):
-    n = table(s, d, "normalizations").where("split = 'dev'").groupBy("sentence_id").agg(F.min("text").alias("text"))
+    n = table(s, d, "normalizations").groupBy("sentence_id").agg(F.min("text").alias("text"))
     return dedup.jaccard_links(n.select("sentence_id", F.split(F.lower("text"), r"\s+").alias("w")), "sentence_id", "w", 0.8)

@@ -78,12 +78,11 @@ def ag23_deviations(s, d):
     return table(s, d, "tweets").groupBy("source").agg(F.round(F.stddev_pop("likes_at_collection"), 5).alias("pop"), F.round(F.stddev_samp("likes_at_collection"), 5).alias("samp"))
 
 
-@PLANS(f"WITH {_POSTS} SELECT cluster_id, string_agg(tweet_id, ' ' ORDER BY created_at, tweet_id) AS ids FROM p GROUP BY cluster_id HAVING count(*) <= 50")
+@PLANS(f"WITH {_POSTS} SELECT cluster_id, strftime(created_at, '%Y-%m-%d') AS day, string_agg(tweet_id, ' ' ORDER BY created_at, tweet_id) AS ids FROM p GROUP BY 1, 2")
 def ag24_concatenate(s, d):
-    p = _posts(s, d)
-    small = p.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n <= 50").select("cluster_id")
-    one = p.join(small, "cluster_id").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "tweet_id"))).alias("x"))
-    return one.select("cluster_id", F.array_join(F.transform("x", lambda x: x["tweet_id"]), " ").alias("ids"))
+    """AG24: ids of a cluster's day in order; days keep the lists of a hot cluster short."""
+    one = _posts(s, d).groupBy("cluster_id", F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list(F.struct("created_at", "tweet_id"))).alias("x"))
+    return one.select("cluster_id", "day", F.array_join(F.transform("x", lambda x: x["tweet_id"]), " ").alias("ids"))
 
 
 @PLANS(f"WITH {_POSTS} SELECT count(*) AS tweets, count(DISTINCT cluster_id) AS clusters, round(count(*) / count(DISTINCT cluster_id), 6) AS per_cluster, round(1.0 - count(DISTINCT cluster_id) / count(*), 6) AS dedup_rate FROM p")

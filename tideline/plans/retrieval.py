@@ -64,13 +64,13 @@ def ud19_in_cluster_first(s, d):
 
 
 _BM25 = """t AS (SELECT item_id, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM heldout_items), p AS (SELECT item_id, w FROM (SELECT item_id, unnest(w) AS w FROM t) WHERE w != ''), tf AS (SELECT item_id, w, count(*) AS tf FROM p GROUP BY 1, 2), ln AS (SELECT item_id, count(*) AS len FROM p GROUP BY 1),
-st AS (SELECT (SELECT count(*) FROM t)::DOUBLE AS n, (SELECT avg(len) FROM ln) AS av), dfs AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT sentence_id AS query, w FROM (SELECT sentence_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM (SELECT sentence_id, min(text) AS text FROM normalizations WHERE split = 'dev' GROUP BY 1)) WHERE w != ''),
+st AS (SELECT (SELECT count(*) FROM t)::DOUBLE AS n, (SELECT avg(len) FROM ln) AS av), dfs AS (SELECT w, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT sentence_id AS query, w FROM (SELECT sentence_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM (SELECT sentence_id, min(text) AS text FROM normalizations GROUP BY 1)) WHERE w != ''),
 sc AS (SELECT query, item_id AS key, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))), 6) AS score FROM q JOIN dfs USING (w) JOIN tf USING (w) JOIN ln USING (item_id), st GROUP BY 1, 2)"""
 
 
 def _bm25(s, d, k):
     items = table(s, d, "heldout_items").select("item_id", F.split(F.lower("text"), "[^a-z0-9]+").alias("w"))
-    q = table(s, d, "normalizations").where("split = 'dev'").groupBy("sentence_id").agg(F.min("text").alias("text")).select("sentence_id", F.split(F.lower("text"), "[^a-z0-9]+").alias("qw"))
+    q = table(s, d, "normalizations").groupBy("sentence_id").agg(F.min("text").alias("text")).select("sentence_id", F.split(F.lower("text"), "[^a-z0-9]+").alias("qw"))
     return R.bm25(items, q, "item_id", "w", "sentence_id", "qw", k)
 
 
@@ -85,7 +85,7 @@ def ud17_hybrid(s, d):
     from pyspark.ml.feature import HashingTF
 
     items = table(s, d, "heldout_items").select(F.col("item_id").cast("string").alias("id"), "text")
-    q = table(s, d, "normalizations").where("split = 'dev'").groupBy("sentence_id").agg(F.min("text").alias("text")).select(F.col("sentence_id").alias("id"), "text")
+    q = table(s, d, "normalizations").groupBy("sentence_id").agg(F.min("text").alias("text")).select(F.col("sentence_id").alias("id"), "text")
     from pyspark.ml.functions import vector_to_array
 
     tf = HashingTF(numFeatures=64, inputCol="w", outputCol="v")
