@@ -24,22 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.sketch import banded_distance, order_samples, weights_of
-from tideline.llm.wordsets import flat_of, frequent_words, may_have, rarity_weights, word_rows
+from tideline.llm.sketch import banded_distance, class_counts, evened, order_samples, row_ids, weights_of
+from tideline.llm.wordsets import flat_of, frequent_words, key_filter, may_have, rarity_weights, with_keys, word_rows
 from tideline.operators.staging import stage
 
-SKETCHES, LENGTH, SEED, BAND = 32, 5, 7, 12
+SKETCHES, LENGTH, SEED, BAND, CLASSES, RARITY = 32, 5, 7, 12, 32, 1.75
 #: Runs of equal samples longer than this are paired by a join; every run is paired.
 HOT_RUN = 256
 
 
-def samples(rows: DataFrame, hot: np.ndarray, weight: np.ndarray, sketches: int = SKETCHES, length: int = LENGTH, seed: int = SEED, ordered: bool = True, only: np.ndarray | None = None) -> DataFrame:
+def samples(rows: DataFrame, hot: np.ndarray, weight: tuple[np.ndarray, float], sketches: int = SKETCHES, length: int = LENGTH, seed: int = SEED, ordered: bool = True, only: np.ndarray | None = None) -> DataFrame:
     """(``sample``, ``cls``): the samples of every row; with ``only``, a key filter, those that it may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = flat_of(batch.column(1))
-            keys = order_samples(values, offsets, weights_of(values, hot, weight), sketches, length, seed, ordered)
+            keys = order_samples(values, offsets, evened(weights_of(values, hot, *weight), offsets), sketches, length, seed, ordered)
             classes, flat = np.repeat(batch.column(0).to_numpy(), sketches), keys.reshape(-1).view(np.int64)
             if only is not None:
                 kept = may_have(only, flat)
@@ -105,28 +105,63 @@ def candidates(keys: DataFrame, hot_run: int = HOT_RUN) -> DataFrame:
     return found.where("b is not null").select("a", "b").unionByName(across).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, least: float, band: int = BAND) -> DataFrame:
-    """``a``, ``b``, ``similarity`` (at least ``least``), ``edits`` (word edits within the band, else null)."""
-    text = classes.select("cls", "n", "seq")
-    both = pairs.join(text.withColumnsRenamed({"cls": "a", "n": "na", "seq": "sa"}), "a").join(text.withColumnsRenamed({"cls": "b", "n": "nb", "seq": "sb"}), "b")
-    both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+def vocabulary_counts(rows: DataFrame) -> DataFrame:
+    """``cls``, ``n`` and ``counts``: a byte for the distinct words in each of ``CLASSES`` vocabulary classes; one row a class of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = flat_of(batch.column(2))
+            both = np.unique(row_ids(offsets).astype(np.uint64) << np.uint64(32) | values)
+            ends = np.concatenate([[0], np.cumsum(np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=batch.num_rows))]).astype(np.int64)
+            counts = np.minimum(class_counts((both & np.uint64(0xFFFFFFFF)).astype(np.uint32), ends, CLASSES), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in counts], pa.binary())], ["cls", "n", "counts"])
+
+    one = rows.select("cls", "n", "seq").mapInArrow(run, "cls long, n int, counts binary")
+    return one.groupBy("cls").agg(F.first("n").alias("n"), F.first("counts").alias("counts"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, least: float, band: int = BAND) -> DataFrame:
+    """``a``, ``b``, ``similarity`` (at least ``least``), ``edits`` (word edits within the band, else null) of staged pairs of classes.
+
+    First counts of words by vocabulary class are compared: their differences never add up to more than the words the texts
+    don't share, so what is pruned can't be similar. Only what is left fetches the words."""
+    small = vocabulary_counts(with_keys(rows, ends_filter(pairs)))
+    both = pairs.join(small.withColumnsRenamed({"cls": "a", "n": "na", "counts": "ca"}), "a").join(small.withColumnsRenamed({"cls": "b", "n": "nb", "counts": "cb"}), "b")
+    both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
+            if len(a):
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int16) for i in (4, 5))
+                keep = np.abs(x - y).sum(1) <= (1 - least) / (1 + least) * (na + nb) + 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    near = stage(both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(prune, "a long, b long"), "likely-pairs")
+    text = one_a_class(with_keys(rows, ends_filter(near))).select("cls", "seq")
+    words = near.join(text.withColumnsRenamed({"cls": "a", "seq": "sa"}), "a").join(text.withColumnsRenamed({"cls": "b", "seq": "sb"}), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             (va, oa), (vb, ob) = flat_of(batch.column(2)), flat_of(batch.column(3))
+            edits = banded_distance([va[oa[i] : oa[i + 1]] for i in range(len(a))], [vb[ob[i] : ob[i + 1]] for i in range(len(a))], band)
             keep, sims = [], []
             for i in range(len(a)):
                 x, y = set(va[oa[i] : oa[i + 1]].tolist()), set(vb[ob[i] : ob[i + 1]].tolist())
                 common = len(x & y)
                 s = common / (len(x) + len(y) - common)
-                if s >= least:
+                if s >= least - 1e-12:
                     keep.append(i)
                     sims.append(s)
-            edits = banded_distance([va[oa[i] : oa[i + 1]] for i in keep], [vb[ob[i] : ob[i + 1]] for i in keep], band)
+            edits = edits[keep]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(sims, pa.float64()), pa.array(edits, pa.int64(), mask=edits < 0)], ["a", "b", "similarity", "edits"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, similarity double, edits long")
+    return words.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, similarity double, edits long")
+
+
+def ends_filter(pairs: DataFrame) -> np.ndarray:
+    return key_filter(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls")
 
 
 def one_a_class(rows: DataFrame) -> DataFrame:
@@ -137,10 +172,8 @@ def one_a_class(rows: DataFrame) -> DataFrame:
 def class_links(rows: DataFrame, least: float) -> DataFrame:
     """Links between different classes of the staged word rows; the whole search."""
     hot, counts, total = frequent_words(rows)
-    keys = samples(rows, hot, rarity_weights(hot, counts, total))
-    near = stage(candidates(keys), "near-pairs")
-    ends = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-    return verified(near, one_a_class(rows.join(ends, "cls", "left_semi")), least)
+    keys = samples(rows, hot, rarity_weights(hot, counts, total, power=RARITY))
+    return verified(stage(candidates(keys), "near-pairs"), rows, least)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.7) -> tuple[DataFrame, DataFrame]:

@@ -29,11 +29,11 @@ def occurrence_labels(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """0 for the first occurrence of a word in its row, 1 for the second, and so on."""
     if len(words) == 0:
         return np.zeros(0, np.int64)
-    rows = row_ids(offsets)
-    order = np.lexsort((np.arange(len(words)), words, rows))
-    r, w = rows[order], words[order]
+    both = row_ids(offsets).astype(np.uint64) << np.uint64(32) | words
+    order = np.argsort(both, kind="stable")
+    both = both[order]
     new = np.ones(len(words), bool)
-    new[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
+    new[1:] = both[1:] != both[:-1]
     at = np.arange(len(words))
     start = np.maximum.accumulate(np.where(new, at, 0))
     out = np.empty(len(words), np.int64)
@@ -41,9 +41,9 @@ def occurrence_labels(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def weights_of(words: np.ndarray, hot: np.ndarray, hot_weight: np.ndarray) -> np.ndarray:
-    """1 for every word but the frequent ones; ``hot`` is sorted."""
-    w = np.ones(len(words), np.float32)
+def weights_of(words: np.ndarray, hot: np.ndarray, hot_weight: np.ndarray, rest: float = 1.0) -> np.ndarray:
+    """``rest`` for every word but the frequent ones; ``hot`` is sorted."""
+    w = np.full(len(words), rest, np.float32)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
         found = hot[at] == words
@@ -51,6 +51,14 @@ def weights_of(words: np.ndarray, hot: np.ndarray, hot_weight: np.ndarray) -> np
     return w
 
 
+def evened(weights: np.ndarray, offsets: np.ndarray, most: float = 2.0) -> np.ndarray:
+    """No word of a row weighs more than ``most`` times the row's mean, so one odd word (a slip) among frequent ones can't rule its samples."""
+    n = np.diff(offsets)
+    rows = row_ids(offsets)
+    mean = np.bincount(rows, weights, len(n)) / np.maximum(n, 1)
+    return np.minimum(weights, (most * mean[rows]).astype(np.float32))
+
+
 def order_samples(words: np.ndarray, offsets: np.ndarray, weights: np.ndarray, sketches: int, length: int, seed: int, ordered: bool) -> np.ndarray:
     """``sketches`` keys a row. Each is made of the ``length`` occurrence-labelled words with the smallest weighted hashes.
 
@@ -94,7 +102,7 @@ def order_samples(words: np.ndarray, offsets: np.ndarray, weights: np.ndarray, s
                     got = np.where(p[:, k] >= 0, e[lane, np.maximum(p[:, k], 0)], np.uint64(0))
                     key = mix(key * _GOLD + got)
                 out[part, s] = key
-        low, high = high + 1, high * 2
+        low, high = high + 1, high + 8 if high < 128 else high * 2  # rows of like length share a table, so little is padding
     return out
 
 

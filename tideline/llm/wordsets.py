@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.sketch import mix, row_ids
 from tideline.llm.textforms import word_hash, words
 
 #: Similarity counts only where both texts have this many distinct words.
@@ -25,24 +25,35 @@ def word_rows(df: DataFrame, key: str, text: str, least: int = LEAST_WORDS) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, classes, counts, flat, ends = [], [], [], [], [0]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seq = [word_hash(w) for w in words(t)]
-                distinct = np.unique(np.array(seq, np.uint32))
-                if len(distinct) < least:
-                    continue
-                keys.append(k)
-                classes.append(xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63))
-                counts.append(len(distinct))
-                flat += seq
+            flat: list[int] = []
+            ends = [0]
+            for t in batch.column(1).to_pylist():
+                flat += [word_hash(w) for w in words(t)]
                 ends.append(len(flat))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint32).view(np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(classes, pa.int64()), pa.array(counts, pa.int32()), lists], ["key", "cls", "n", "seq"])
+            values, offsets = np.array(flat, np.uint32), np.array(ends, np.int64)
+            cls, n = set_hashes(values, offsets)
+            kept = n >= least
+            inside = np.repeat(kept, np.diff(offsets))
+            starts = np.concatenate([[0], np.cumsum(np.diff(offsets)[kept])])
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values[inside].view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept)), pa.array(cls[kept]), pa.array(n[kept], pa.int32()), lists], ["key", "cls", "n", "seq"])
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.where("key is not null and text is not null and length(text) >= " + str(2 * least - 1)).mapInArrow(run, SCHEMA)
 
 
+def set_hashes(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of the set of values, number of distinct values) of each row; the hash is a sum over the set, so order doesn't matter."""
+    n = len(offsets) - 1
+    both = np.unique(row_ids(offsets).astype(np.uint64) << np.uint64(32) | values)
+    rows, item = (both >> np.uint64(32)).astype(np.int64), mix((both & np.uint64(0xFFFFFFFF)) + np.uint64(0x51ED270B9A4B3D2F))
+    counts = np.bincount(rows, minlength=n)
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(item, dtype=np.uint64)])
+    ends = np.cumsum(counts)
+    total = running[ends] - running[ends - counts]
+    return mix(total ^ counts.astype(np.uint64)).view(np.int64), counts
+
+
 def flat_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values (as unsigned words) and offsets of a list column, offsets starting at 0."""
     offsets = column.offsets.to_numpy().astype(np.int64)
@@ -57,8 +68,6 @@ def frequent_words(rows: DataFrame, share: float = 1e-3) -> tuple[np.ndarray, np
     comes to the driver has at most (mean distinct words a row) / share entries, however large the corpus: 28,000 for 28 words and 0.001."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tideline.llm.sketch import row_ids
-
         parts, rows_seen = [], 0
 
         def counted(merge: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +98,14 @@ def frequent_words(rows: DataFrame, share: float = 1e-3) -> tuple[np.ndarray, np
     return found["w"].to_numpy(np.int64)[order].astype(np.uint32), found["c"].to_numpy(np.int64)[order], total
 
 
-def rarity_weights(hot: np.ndarray, counts: np.ndarray, total: int, share: float = 1e-3, power: float = 2.0) -> np.ndarray:
-    """Weights below 1 for frequent words, falling with the logarithm of how many rows have them."""
+def rarity_weights(hot: np.ndarray, counts: np.ndarray, total: int, share: float = 1e-3, power: float = 2.0) -> tuple[np.ndarray, float]:
+    """Weights of the frequent words, falling with the logarithm of how many rows have them, and the weight of all others.
+
+    A word of one row in ``total`` weighs what the same formula gives it, 1 from 1 / share rows on."""
+    rest = float(min(1.0, np.log(max(total, 2)) / np.log(1 / share)) ** power)
     if not len(hot):
-        return np.zeros(0, np.float32)
-    return np.maximum(0.01, (np.log(total / np.minimum(counts, total)) / np.log(1 / share)).clip(0, 1) ** power).astype(np.float32)
+        return np.zeros(0, np.float32), rest
+    return np.maximum(0.01, (np.log(total / np.minimum(counts, total)) / np.log(1 / share)).clip(0, 1) ** power).astype(np.float32), rest
 
 
 #: Largest key filter in bits (16 MB); with more keys it lets more through, never fewer.
@@ -133,8 +145,6 @@ def key_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.n
 
 
 def probes(values: np.ndarray, bits: int) -> list[np.ndarray]:
-    from tideline.llm.sketch import mix
-
     h = mix(values.view(np.uint64) if values.dtype == np.int64 else values.astype(np.int64).view(np.uint64))
     return [(h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)]
 
@@ -145,3 +155,13 @@ def may_have(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     for p in probes(values, len(bitmap) * 8):
         out &= (bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
     return out
+
+
+def with_keys(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Rows whose ``cls`` the key filter may have; the others are spared the shuffle of an exact join after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_have(bitmap, batch.column(0).to_numpy())))
+
+    return rows.select("cls", "n", "seq").mapInArrow(run, "cls long, n int, seq array<int>")
