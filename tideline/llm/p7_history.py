@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.p4_edits import one_a_class, samples
 from tideline.llm.sketch import class_counts, row_ids
-from tideline.llm.wordsets import flat_of, frequent_words, key_filter, rarity_weights, with_keys, word_rows
+from tideline.llm.wordsets import SCHEMA, flat_of, frequent_words, key_filter, rarity_weights, with_keys, word_rows
 from tideline.operators.staging import stage
 
 POINTS, NEAREST, SEED, CLASSES, RARITY = 36, 5, 29, 32, 1.75
@@ -158,3 +158,27 @@ def known_in(incoming: DataFrame, key: str, batch: str, value: str, history: lis
         part = word_rows(table, k, v)
         past = part if past is None else past.unionByName(part)
     return known_values(rows, stage(past, "history-rows"), least)
+
+
+class PivotTable:
+    """The stored history of one field: compact rows of what was accepted, appended batch by batch; texts aren't read again.
+
+    ``admit`` gives the known keys of a batch and appends the others. A batch's work is one pass over the stored rows, with only
+    those that may match moved. Values are stored under their key; appending a key again stores its value again, which changes nothing."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], SCHEMA).write.mode("append").parquet(path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(self.path)
+
+    def append(self, df: DataFrame, key: str, value: str) -> None:
+        word_rows(df, key, value).write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def admit(self, incoming: DataFrame, key: str, batch: str, value: str, least: float = 0.7) -> DataFrame:
+        one = stage(first_delivery(incoming, key, batch, value), "delivery")
+        rows = stage(word_rows(one, "key", "value").join(one.select("key", "batch"), "key"), "incoming-rows")
+        known = stage(known_values(rows, self.rows(), least), "known")
+        self.append(one.join(known, "key", "left_anti"), "key", "value")
+        return known
