@@ -228,6 +228,24 @@ def test_p7_follows_the_order(spark):
     assert alone < {k for k in first}
 
 
+def test_p7_batch_by_batch_equals_all_at_once(spark, tmp_path):
+    rng = random.Random(17)
+    hist = [(f"h{i}", text(rng)) for i in range(20)]
+    inc = []
+    for i in range(36):
+        src = rng.choice([hist[i % 20][1], text(rng), inc[-1][2] if inc else text(rng)])
+        inc.append((i // 12, f"i{i:02d}", edited(rng, src)))
+    h, n = spark.createDataFrame(hist, "id string, body string"), spark.createDataFrame(inc, "batch int, id string, body string")
+    at_once = {r["key"] for r in p7_history.known_in(n, "id", "batch", "body", [(h, "id", "body")]).collect()}
+    store = p7_history.PivotTable(spark, f"{tmp_path}/pivots")
+    store.append(h, "id", "body")
+    apart = set()
+    for b in range(3):
+        apart |= {r["key"] for r in store.admit(n.where(F.col("batch") == b), "id", "batch", "body").collect()}
+    assert apart == at_once and len(at_once) > 5
+    assert store.rows().count() == 20 + 36 - len(at_once)
+
+
 def test_p8_plan_is_complete_and_tight():
     rng = np.random.default_rng(1)
     for scale in (0, 1, 5, 400):
