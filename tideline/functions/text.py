@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
@@ -227,10 +227,12 @@ def exclusion_reason(c: Column) -> Column:
     return F.concat_ws("|", F.when(is_corrupted(c), "corrupted"), F.when(word_count(c) < 3, "too_short"), F.when(F.length(c) > 500, "too_long"))
 
 
-def stream_gate(c: Column, least: int = 4, most: int = 150, questions: bool = False, reactions: bool = True, verbs: bool = False, retweets: bool = False) -> Column:
-    """Reason why a text isn't claim-like, empty where it passes; ordered tests."""
-    cleaned = gate_clean(c)
-    n = word_count(cleaned)
+def stream_gate(c: Column, least: int = 4, most: int = 150, questions: bool = False, reactions: bool = True, verbs: bool = False, retweets: bool = False, cleaned: Column | None = None, n: Column | None = None) -> Column:
+    """Reason why a text isn't claim-like, empty where it passes; ordered tests.
+
+    ``cleaned`` and ``n`` may be columns made before (`with_stream_gate`), so the branches don't each clean the text again."""
+    cleaned = gate_clean(c) if cleaned is None else cleaned
+    n = word_count(cleaned) if n is None else n
     test = F.when(c.isNull() | (F.trim(F.regexp_replace(c, r"\s+", " ")) == ""), "empty")
     if retweets:
         test = test.when(c.rlike(r"(?i)^RT\s+@"), "retweet")
@@ -244,6 +246,12 @@ def stream_gate(c: Column, least: int = 4, most: int = 150, questions: bool = Fa
     return test.otherwise("")
 
 
+def with_stream_gate(df: DataFrame, text: str, name: str = "reason", **settings) -> DataFrame:
+    """The gate as a column, the cleaned text and its words computed once a row."""
+    d = df.withColumn("_cleaned", gate_clean(F.col(text))).withColumn("_words", word_count(F.col("_cleaned")))
+    return d.withColumn(name, stream_gate(F.col(text), cleaned=F.col("_cleaned"), n=F.col("_words"), **settings)).drop("_cleaned", "_words")
+
+
 def batch_gate(c: Column, chars: int = 20, least: int = 5, most: int = 100) -> Column:
     """The gate of the batch pipeline; ``passed`` where the text is claim-like. Verbs come from the lexicon."""
     t = F.trim(c)

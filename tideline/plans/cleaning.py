@@ -193,7 +193,7 @@ def _gate_sql() -> str:
 
 @PLANS(_gate_sql())
 def sf14_stream_gate(s, d):
-    return table(s, d, "tweets").select("tweet_id", X.stream_gate(F.col("text")).alias("reason")).distinct()
+    return X.with_stream_gate(table(s, d, "tweets").select("tweet_id", "text"), "text").select("tweet_id", "reason").distinct()
 
 
 @PLANS(f"""WITH g AS ({_gate_sql()}) SELECT CASE WHEN reason = '' THEN 'pass' ELSE regexp_replace(reason, '_\\d+_words$', '') END AS outcome, count(*) AS n FROM g GROUP BY 1""")
