@@ -30,7 +30,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly activity per event type with trailing z-scores."""
+    """Daily activity per event type with trailing z-scores."""
     from tideline.plans import series
 
     return series.wn01_z_daily_scored(spark, folder)
