@@ -19,11 +19,11 @@ TITLES = "senator|deputy|judge|minister|commissioner|councillor|governor|mayor|s
 PLACES = "landing|harbor|harbour|springs|heights|river|city|town|valley|beach|hills|island|park|county|university|institute|street|road|avenue|lane|square|bridge|council|commission|foundation|agency|union|trust|labs|energy|network|observatory|group|board|centre|center|authority"
 STREET_AFTER = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|court|ct|square|sq|terrace|way|close|crescent|parade"
 STREET_CLEAR = "blvd|boulevard|ave|avenue|rd|road|lane|ln"
-STREET_BEFORE = "calle|avenida|avda|plaza|paseo|carrer|rua|travessa|rue|avenue|boulevard|allée|chemin|quai|place|via|viale|piazza|улица|ул|проспект|переулок"
+STREET_BEFORE = "calle|avenida|avda|plaza|paseo|carrer|rua|travessa|rue|avenue|boulevard|allée|chemin|quai|place|viale|piazza|улица|ул|проспект|переулок"
 STREET_JOINED = "straße|strasse|str|weg|gasse|platz|allee|ufer|damm|ring"
 NAME_BEFORE = "named|called|neighbou?r|signed by|mi vecin[ao]|nuestr[ao] vecin[ao]|sat next to|stood next to|talked to|spoke to|spoke with|my name is|name is|name:|llama|se llama|s'appelle|nommée?|heißt|namens|chamad[ao]|зовут"
 NAME_AFTER = "told us|told me|counted them|lo vio|was fired|saw it all|called me|about it|that night|lives at|wohnt|vive en|habite"
-ID_CUE = "ssn|social security|social sec|her social|his social|my social|social is|insurance number|nino|ni number|national insurance|passport|pasaporte|passeport|reisepass|passaporte|паспорт|dni|nie|nif|licen[cs]e|permit no|id card|id number|identity|personalausweis|cédula|cpf|steuer-?id"
+ID_CUE = "\\bssn\\b|social security|social sec|her social|his social|my social|social is|insurance number|\\bnino\\b|ni number|national insurance|passport|pasaporte|passeport|reisepass|passaporte|паспорт|\\bdni\\b|\\bnie\\b|\\bnif\\b|licen[cs]e|permit no|id card|id number|identity|personalausweis|cédula|cpf|steuer-?id"
 PHONE_CUE = "tel|phone|call|text|rang|ring|whatsapp|mobile|cell|dial|llama|llame|teléfono|telefono|sms|fax|handy|telefon|number is|appelle|appelez|ligue|звоните|тел|tonight|reach me|reach us"
 # ------------------------------------------------------------------------------------------------------------------
 
@@ -62,6 +62,8 @@ _STREET = re.compile(
     rf"|\b{_W}(?:{STREET_JOINED})\.? {_NO}(?:, \d{{5}} {_W})?",
     re.I,
 )
+#: Words that a street's name doesn't have; they tell text in capitals from a capitalised name.
+_NO_STREET = frozenset("on that of in to for against and about than by with".split())
 _CAP = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]+(?:['’\-][^\W\d_]+)*"
 _ANY = r"[^\W\d_]{2,}(?:['’\-][^\W\d_]{2,})*"
 _PERSON = rf"(?:{_CAP},? (?:[^\W\d_a-z]\. ?)?{_CAP})"
@@ -73,6 +75,7 @@ _NAME_HINTS = ("named", "called", "neighbo", "signed by", "vecin", "next to", "t
 _TITLE = re.compile(rf"(?:{TITLES})\.?", re.I)
 _PLACE = re.compile(rf"(?:{PLACES})", re.I)
 _STOP = frozenset("the a an and or of in on at to for by with from as is was were be this that these those it he she they we you i my your our their his her its not no us me them who which what when where why how all any some more most only even just so if but about after before since than then there here very much many los las el la un una y o de del que en con por para se su es lo le les des du et ou à un une dans der die das und oder von zu mit auf für ist nicht ein eine ask told was said says say call text tel meet tips check still source folks wow fact people everyone someone nobody".split())
+_SENTENCE = (". ", "! ", "? ", "; ", ": ", "… ")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
@@ -102,7 +105,7 @@ def _name_spans(text: str, low: str, given: frozenset[str]) -> list[tuple[int, i
                 elif group == "low" and pattern is _CUE_BEFORE and _lower_pair(m.group(group)):
                     out.append((s, e))
                     at = m.end()
-                elif group == "low" and pattern is not _CUE_BEFORE and _lower_pair(m.group(group)) and pattern is _ASK:
+                elif group == "low" and _lower_pair(m.group(group)) and (pattern is _ASK or (pattern is _CUE_AFTER and (s == 0 or text[s - 2 : s] in _SENTENCE or text[s - 1] == "\n"))):
                     out.append((s, e))
                     at = m.end()
                 else:
@@ -176,7 +179,7 @@ def find(text: str | None, given: frozenset[str] = frozenset()) -> list[tuple[st
             if m and m.start() - cue.end() <= 16 and sum(c.isdigit() for c in m.group()) >= 5 and not re.search(r"[.;!?]\s", text[cue.end() : m.start()].replace("no. ", "no ")):
                 raw.append(("id_number", *m.span()))
     if any(h in low for h in _STREET_HINTS):
-        raw += [("address", *m.span()) for m in _STREET.finditer(text)]
+        raw += [("address", *m.span()) for m in _STREET.finditer(text) if _NO_STREET.isdisjoint(m.group().lower().split())]
     names = _name_spans(text, low, given)
     raw.sort(key=lambda x: (TYPES.index(x[0]), x[1], -x[2]))
     raw += [("name", s, e) for s, e in names]
