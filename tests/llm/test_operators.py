@@ -12,7 +12,8 @@ from tideline.llm.fmindex import WordIndex
 from tideline.llm.sketch import banded_distance, occurrence_labels
 from tideline.llm.textforms import words
 from tideline.llm.tokens import tokens
-from tideline.llm.wordsets import key_filter, may_have
+from tideline.llm.wordsets import key_filter, may_have, word_rows
+from tideline.operators.staging import stage
 
 VOCABULARY = [a + b for a in "ba de fi go lu me na po ra su ti vo".split() for b in "lan mor nis pel rut sav tek wom".split()]
 
@@ -68,6 +69,30 @@ def test_p4_candidates_of_hot_samples(spark):
         assert {tuple(r) for r in p4_edits.candidates(df, hot).collect()} == truth
 
 
+def copies_in_a_crowd(copies=80, others=160):
+    """Copies of one text with a rare word each, a third of all rows; the others share no word."""
+    rng = random.Random(23)
+    base = [f"shared{j}" for j in range(14)]
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        w[rng.randrange(14)] = f"slip{i}"
+        rows.append((f"c{i:03d}", " ".join(w)))
+    return rows + [(f"o{i:03d}", " ".join(f"other{i}x{j}" for j in range(14))) for i in range(others)]
+
+
+def test_p4_and_p7_find_copies_that_hold_a_third_of_all_rows(spark):
+    rows = copies_in_a_crowd()
+    truth = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if similarity(x, y) >= 0.7}
+    assert len(truth) == 80 * 79 // 2
+    df = spark.createDataFrame(rows, "id string, body string")
+    got = {(r.key_a, r.key_b) for r in p4_edits.pairs_of_keys(*p4_edits.near_duplicates(df, "id", "body")).collect()}
+    assert got <= truth and len(got) >= 0.98 * len(truth)
+    incoming, history = (stage(word_rows(df.where(w), "id", "body"), "rows") for w in ("id < 'c040'", "id >= 'c040'"))
+    outer, _ = p7_history.pairs_within(incoming, history, 0.7)
+    assert outer.count() >= 0.98 * 40 * 40
+
+
 def test_banded_distance_equals_the_full_table():
     rng = random.Random(5)
 

@@ -1,15 +1,17 @@
 """Problem 4: near-duplicate records with small edits.
 
 Method: Order MinHash. Of every text's occurrence-labelled words, ``SKETCHES`` samples of the ``LENGTH`` words with the smallest
-hashes are drawn and kept in text order (read round the end, so a sentence moved to the front keeps its samples). Frequent words
-get larger hashes, so samples consist of telling words. Texts sharing a sample are candidates; each is verified by banded
+hashes are drawn and kept in text order (read round the end, so a sentence moved to the front keeps its samples). Frequent
+and rare words count alike, so edited copies that hold a large part of all rows are found like any others. Texts sharing a sample are candidates; each is verified by banded
 alignment, which gives its number of word edits, and by the exact similarity of the word sets.
 
 Texts with equal word sets are one class before anything is compared; classes are expanded only in the result. Sample keys are
 spread by hash in one shuffle; pairs of a short run are made where it lies, those of a hot key by a join, which splits it over
 tasks; no group is gathered.
 
-Recall: a pair of similarity s shares a sample with chance 1 - (1 - s^5)^32: 0.997 at 0.7, over 0.99999 at 0.8.
+Recall: of a pair with c of u occurrence-labelled words in common, a sample is shared with chance C(c,5)/C(u,5), whatever the words'
+frequency; all 32 miss it with chance 0.003 at 0.7 for long texts (s^5), 0.012 for a union of 20 words, 0.06 for one of 10. Words
+that change places or stand a different number of times lower the chance of a sample, though not the similarity of the word sets.
 
 Cases: null keys or texts and texts under 8 distinct words are in no pair; repeated rows are one record; a key with two texts
 pairs by either; very long texts are whole (the band grows no further than ``BAND``, beyond it the edits are null); empty tables
@@ -21,41 +23,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.sketch import banded_distance, class_counts, evened, order_samples, row_ids, weights_of
-from tideline.llm.wordsets import flat_of, frequent_words, key_filter, may_have, rarity_weights, with_keys, word_rows
+from tideline.llm.sketch import banded_distance, class_counts, order_samples, parity_codes, parity_near, row_ids
+from tideline.llm.wordsets import flat_of, key_filter, may_have, with_keys, word_rows
 from tideline.operators.staging import stage
 
-SKETCHES, LENGTH, SEED, BAND, CLASSES, RARITY = 32, 5, 7, 12, 32, 1.75
+SKETCHES, LENGTH, SEED, BAND, CLASSES = 32, 5, 7, 12, 32
 #: Runs of equal samples longer than this are paired by a join; every run is paired.
 HOT_RUN = 256
 
 
-def samples(rows: DataFrame, hot: np.ndarray, weight: tuple[np.ndarray, float], sketches: int = SKETCHES, length: int = LENGTH, seed: int = SEED, ordered: bool = True, only: np.ndarray | None = None) -> DataFrame:
-    """(``sample``, ``cls``): the samples of every row; with ``only``, a key filter, those that it may have."""
+def samples(rows: DataFrame, sketches: int = SKETCHES, length: int = LENGTH, seed: int = SEED, ordered: bool = True, only: np.ndarray | None = None) -> DataFrame:
+    """(``sample``, ``cls``, ``code``): the samples of every row; with ``only``, a key filter, those that it may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = flat_of(batch.column(1))
-            keys = order_samples(values, offsets, evened(weights_of(values, hot, *weight), offsets), sketches, length, seed, ordered)
-            classes, flat = np.repeat(batch.column(0).to_numpy(), sketches), keys.reshape(-1).view(np.int64)
+            keys = order_samples(values, offsets, sketches, length, seed, ordered)
+            classes, codes, flat = np.repeat(batch.column(0).to_numpy(), sketches), np.repeat(parity_codes(values, offsets), sketches), keys.reshape(-1).view(np.int64)
             if only is not None:
                 kept = may_have(only, flat)
-                classes, flat = classes[kept], flat[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(classes)], ["sample", "cls"])
+                classes, codes, flat = classes[kept], codes[kept], flat[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(classes), pa.array(codes)], ["sample", "cls", "code"])
 
-    return rows.select("cls", "seq").mapInArrow(run, "sample long, cls long")
+    return rows.select("cls", "seq").mapInArrow(run, "sample long, cls long, code long")
 
 
-def candidates(keys: DataFrame, hot_run: int = HOT_RUN) -> DataFrame:
+def codes_near(a: str, b: str, least: float) -> Column:
+    """`parity_near` on columns."""
+    x, y = F.col(a).bitwiseAND(255), F.col(b).bitwiseAND(255)
+    differ = F.bit_count(F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8))
+    return (F.greatest(x, y) == 255) | ((differ <= (1 - least) / (1 + least) * (x + y) + 1e-9) & (F.least(x, y) >= least * F.greatest(x, y) - 1e-9))
+
+
+def candidates(keys: DataFrame, hot_run: int = HOT_RUN, least: float = 0.0) -> DataFrame:
     """Pairs of classes (``a`` < ``b``) that share a sample, in one shuffle of the samples.
 
     Sorted by sample, the rows of a task are runs; runs of up to ``hot_run`` rows are paired on the spot. Longer ones are not
-    held: their rows pass on and are paired by a join, which splits a hot sample over tasks."""
+    held: their rows pass on and are paired by a join, which splits a hot sample over tasks. Pairs whose codes (where ``keys`` has
+    them) show that they can't have similarity ``least`` are dropped where they are made."""
+    keys = keys.select("sample", "cls", "code" if "code" in keys.columns else F.lit(255).cast("long").alias("code"))
 
-    def paired(sample: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
+    def paired(sample: np.ndarray, cls: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
         edge = np.flatnonzero(np.r_[True, sample[1:] != sample[:-1]])
         size = np.diff(np.r_[edge, len(sample)])
         out = []
@@ -63,45 +74,46 @@ def candidates(keys: DataFrame, hot_run: int = HOT_RUN) -> DataFrame:
             start = edge[size == n]
             i, j = np.triu_indices(n, 1)
             for part in (start[k : k + max(1, 2_000_000 // len(i))] for k in range(0, len(start), max(1, 2_000_000 // len(i)))):
-                x, y = cls[part[:, None] + i].reshape(-1), cls[part[:, None] + j].reshape(-1)
-                keep = x != y
+                p, q = (part[:, None] + i).reshape(-1), (part[:, None] + j).reshape(-1)
+                x, y = cls[p], cls[q]
+                keep = (x != y) & parity_near(code[p], code[q], least)
                 out.append(np.unique(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]], 1), axis=0))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             for p in found:
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64())], ["a", "b", "sample"])
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.int64()), pa.nulls(len(p), pa.int64())], ["a", "b", "sample", "code"])
 
-        def passed(sample: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(sample)], ["a", "b", "sample"])
+        def passed(sample: np.ndarray, cls: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cls), pa.nulls(len(cls), pa.int64()), pa.array(sample), pa.array(code)], ["a", "b", "sample", "code"])
 
-        s, c, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        s, c, d, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
-            s, c = np.concatenate([s, batch.column(0).to_numpy()]), np.concatenate([c, batch.column(1).to_numpy()])
+            s, c, d = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((s, c, d)))
             if hot is not None:
                 n = int(np.searchsorted(s != hot, True))
                 if n:
-                    yield passed(s[:n], c[:n])
-                    s, c = s[n:], c[n:]
+                    yield passed(s[:n], c[:n], d[:n])
+                    s, c, d = s[n:], c[n:], d[n:]
             if len(s):
                 last = int(np.flatnonzero(s != s[-1])[-1]) + 1 if s[0] != s[-1] else 0  # the last run may go on
                 edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
                 size = np.diff(np.r_[edge, len(s)])
                 long_ = np.repeat(size > hot_run, size)
                 if long_.any():
-                    yield passed(s[long_], c[long_])
+                    yield passed(s[long_], c[long_], d[long_])
                     hot = s[-1] if long_[-1] else hot
                     if long_[-1]:
                         last = len(s)
                 done = np.arange(len(s)) < last
-                yield from pairs(paired(s[done & ~long_], c[done & ~long_]))
-                s, c = s[~done], c[~done]
-        yield from pairs(paired(s, c))
+                yield from pairs(paired(s[done & ~long_], c[done & ~long_], d[done & ~long_]))
+                s, c, d = s[~done], c[~done], d[~done]
+        yield from pairs(paired(s, c, d))
 
-    found = stage(keys.repartition("sample").sortWithinPartitions("sample").mapInArrow(run, "a long, b long, sample long"), "sample-pairs")
-    hot = found.where("b is null").select("sample", "a").distinct()
-    across = hot.join(hot.withColumnRenamed("a", "b"), "sample").where("a < b").select("a", "b")
+    found = stage(keys.repartition("sample").sortWithinPartitions("sample").mapInArrow(run, "a long, b long, sample long, code long"), "sample-pairs")
+    hot = found.where("b is null").select("sample", "a", F.col("code").alias("ca")).distinct()
+    across = hot.join(hot.withColumnsRenamed({"a": "b", "ca": "cb"}), "sample").where("a < b").where(codes_near("ca", "cb", least)).select("a", "b")
     return found.where("b is not null").select("a", "b").unionByName(across).distinct()
 
 
@@ -171,9 +183,7 @@ def one_a_class(rows: DataFrame) -> DataFrame:
 
 def class_links(rows: DataFrame, least: float) -> DataFrame:
     """Links between different classes of the staged word rows; the whole search."""
-    hot, counts, total = frequent_words(rows)
-    keys = samples(rows, hot, rarity_weights(hot, counts, total, power=RARITY))
-    return verified(stage(candidates(keys), "near-pairs"), rows, least)
+    return verified(stage(candidates(samples(rows), least=least), "near-pairs"), rows, least)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.7) -> tuple[DataFrame, DataFrame]:

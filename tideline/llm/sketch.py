@@ -1,4 +1,4 @@
-"""Vectorised kernels over batches of word sequences: occurrence labels, weighted order sampling, edit bands.
+"""Vectorised kernels over batches of word sequences: occurrence labels, order sampling, edit bands.
 
 A batch is a flat array of word hashes and row offsets (Arrow's list layout), so nothing here loops over rows in Python
 except where a docstring says so."""
@@ -41,26 +41,11 @@ def occurrence_labels(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def weights_of(words: np.ndarray, hot: np.ndarray, hot_weight: np.ndarray, rest: float = 1.0) -> np.ndarray:
-    """``rest`` for every word but the frequent ones; ``hot`` is sorted."""
-    w = np.full(len(words), rest, np.float32)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-        found = hot[at] == words
-        w[found] = hot_weight[at[found]]
-    return w
+def order_samples(words: np.ndarray, offsets: np.ndarray, sketches: int, length: int, seed: int, ordered: bool) -> np.ndarray:
+    """``sketches`` keys a row. Each is made of the ``length`` occurrence-labelled words with the smallest hashes.
 
-
-def evened(weights: np.ndarray, offsets: np.ndarray, most: float = 2.0) -> np.ndarray:
-    """No word of a row weighs more than ``most`` times the row's mean, so one odd word (a slip) among frequent ones can't rule its samples."""
-    n = np.diff(offsets)
-    rows = row_ids(offsets)
-    mean = np.bincount(rows, weights, len(n)) / np.maximum(n, 1)
-    return np.minimum(weights, (most * mean[rows]).astype(np.float32))
-
-
-def order_samples(words: np.ndarray, offsets: np.ndarray, weights: np.ndarray, sketches: int, length: int, seed: int, ordered: bool) -> np.ndarray:
-    """``sketches`` keys a row. Each is made of the ``length`` occurrence-labelled words with the smallest weighted hashes.
+    All words count alike, so the chance that two rows share a key depends on the share of their words in common alone, not on how
+    often these words stand elsewhere.
 
     ordered: the words keep their order in the text, read from the word with the smallest hash round the end of the text to
     the start, so moving a sentence keeps the key but reordering within it does not. Rows shorter than ``length`` use what they have."""
@@ -74,6 +59,7 @@ def order_samples(words: np.ndarray, offsets: np.ndarray, weights: np.ndarray, s
     low = 1
     high = 16
     top = int(lengths.max())
+    gone = np.iinfo(np.int32).max  # above every rank
     while low <= top:
         rows = np.flatnonzero((lengths >= low) & (lengths <= high))
         step = max(1, 4_000_000 // high)
@@ -81,18 +67,17 @@ def order_samples(words: np.ndarray, offsets: np.ndarray, weights: np.ndarray, s
             at = offsets[part][:, None] + np.arange(high)[None, :]
             there = np.arange(high)[None, :] < lengths[part][:, None]
             at[~there] = 0
-            e, w = item[at], weights[at]
+            e = item[at]
             for s in range(sketches):
                 clock = mix(e + np.uint64((int(_GOLD) * (seed * 1009 + s + 1)) % (1 << 64)))
-                u = ((clock >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)
-                rank = -np.log(u) / w
-                rank[~there] = np.inf
+                rank = (clock >> np.uint64(34)).astype(np.int32)
+                rank[~there] = gone
                 lane = np.arange(len(part))
                 picks = []
                 for _ in range(length):
                     i = rank.argmin(1)
-                    picks.append(np.where(np.isinf(rank[lane, i]), -1, i))
-                    rank[lane, i] = np.inf
+                    picks.append(np.where(rank[lane, i] == gone, -1, i))
+                    rank[lane, i] = gone
                 p = np.stack(picks, 1)
                 if ordered and length > 1:
                     turn = np.where(p < 0, 1 << 30, (p - p[:, :1]) % high)
@@ -106,6 +91,26 @@ def order_samples(words: np.ndarray, offsets: np.ndarray, weights: np.ndarray, s
     return out
 
 
+def parity_codes(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """56 parities of a row's distinct words (by hash) above a byte of their number, 255 for that many or more.
+
+    Each word that only one of two rows has flips one parity, so the parities that differ never outnumber these words."""
+    both = np.unique(row_ids(offsets).astype(np.uint64) << np.uint64(32) | words)
+    rows, item = (both >> np.uint64(32)).astype(np.int64), mix((both & np.uint64(0xFFFFFFFF)) + _GOLD)
+    counts = np.bincount(rows, minlength=len(offsets) - 1)
+    out = np.zeros(len(counts), np.uint64)
+    np.bitwise_xor.at(out, rows, np.uint64(1) << (item % np.uint64(56) + np.uint64(8)))
+    return (out | np.minimum(counts, 255).astype(np.uint64)).view(np.int64)
+
+
+def parity_near(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """False only for pairs of `parity_codes` whose word sets can't have similarity ``least``; rows of 255 words or more always pass."""
+    x, y = a & 255, b & 255
+    differ = np.bitwise_count((a ^ b).view(np.uint64) >> np.uint64(8))
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    return (high == 255) | ((differ <= (1 - least) / (1 + least) * (x + y) + 1e-9) & (low >= least * high - 1e-9))
+
+
 def class_counts(words: np.ndarray, offsets: np.ndarray, classes: int) -> np.ndarray:
     """Number of a row's words in each of ``classes`` vocabulary classes; the words of a row must be distinct."""
     n = len(offsets) - 1

@@ -98,16 +98,6 @@ def frequent_words(rows: DataFrame, share: float = 1e-3) -> tuple[np.ndarray, np
     return found["w"].to_numpy(np.int64)[order].astype(np.uint32), found["c"].to_numpy(np.int64)[order], total
 
 
-def rarity_weights(hot: np.ndarray, counts: np.ndarray, total: int, share: float = 1e-3, power: float = 2.0) -> tuple[np.ndarray, float]:
-    """Weights of the frequent words, falling with the logarithm of how many rows have them, and the weight of all others.
-
-    A word of one row in ``total`` weighs what the same formula gives it, 1 from 1 / share rows on."""
-    rest = float(min(1.0, np.log(max(total, 2)) / np.log(1 / share)) ** power)
-    if not len(hot):
-        return np.zeros(0, np.float32), rest
-    return np.maximum(0.01, (np.log(total / np.minimum(counts, total)) / np.log(1 / share)).clip(0, 1) ** power).astype(np.float32), rest
-
-
 #: Largest key filter in bits (16 MB); with more keys it lets more through, never fewer.
 MOST_BITS = 1 << 27
 
