@@ -200,3 +200,16 @@ def test_readers_and_writers(spark, tmp_path):
     nested = spark.read.schema(readers.NESTED_TWEET).json(spark.sparkContext.parallelize(['{"id_str": "1", "created_at": "Wed Oct 10 20:19:24 +0000 2018", "text": "short", "extended_tweet": {"full_text": "longer"}, "entities": {"hashtags": [{"text": "a"}, {"text": "b"}]}}']))
     r = one(readers.flat_tweets(nested))
     assert (r.text, r.hashtags, r.created_at) == ("longer", "a|b", dt.datetime(2018, 10, 10, 20, 19, 24))
+
+
+def test_mini_batch_leaders_keep_every_cluster(spark):
+    import numpy as np
+
+    from tideline.operators.clusters import mini_batch_leaders
+
+    rows = [(2 * i + j, np.eye(40)[i].tolist()) for i in range(40) for j in range(2)] + [(90, [0.0] * 40), (91, [0.0] * 40)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+    got = {r.id: r for r in mini_batch_leaders(df, "id", "v", 0.75, most=10).collect()}
+    assert len(got) == 82 and all(r.similarity >= 0.75 for r in got.values())
+    assert len({r.cluster for r in got.values()}) == 41 and all(got[2 * i].cluster == got[2 * i + 1].cluster for i in range(40))
+    assert mini_batch_leaders(df.where("false"), "id", "v").count() == 0

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.ranking import best_by_key
+from tideline.operators.staging import delete, stage
 
 
 def posts_once(tweets: DataFrame) -> DataFrame:
@@ -106,34 +107,53 @@ def online_clusters(df: DataFrame, key: str, vector: str, threshold: float = 0.7
 
 
 def mini_batch_leaders(df: DataFrame, key: str, vector: str, threshold: float = 0.75, most: int = 5000) -> DataFrame:
-    """Approximate clustering that scales: each task clusters its rows, the leaders of all tasks (at most ``most``) are clustered once, and
-    each row takes its leader's final cluster. Differs from the sequential result; bounded memory everywhere."""
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    kind = dict(rows.dtypes)["k"]
+    """Clustering by leaders that scales: every row joins its nearest leader, at cosine ``threshold`` or more. Leaders are rows.
+
+    In rounds, each task proposes leaders among its rows that no leader is near to, at most ``most`` of them become leaders and all
+    rows are compared with these, until every row has one; ``most`` bounds memory, not the number of clusters. Differs from the
+    sequential result, as leaders don't move. Zero vectors are one cluster."""
+    kind = dict(df.dtypes)[key]
+    state = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.lit(-1).alias("cluster"), F.lit(-2.0).alias("similarity"))
+    near = threshold - 1e-9
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        """Rows of length 1; one more coordinate stands for vectors without a direction."""
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        n = np.linalg.norm(x, axis=1)
+        none = ~(np.isfinite(n) & (n > 1e-10))
+        x[none], n[none] = 0, 1
+        return np.hstack([x / n[:, None], none[:, None]])
 
     def leaders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cs: list[np.ndarray] = []
         ns: list[int] = []
         for pdf in batches:
             if len(pdf):
-                leader_cluster(np.stack(pdf["v"].to_numpy()), threshold, cs, ns, cap=most)
-        yield pd.DataFrame({"v": [c.tolist() for c in cs], "n": ns})
-
-    found = rows.mapInPandas(leaders, "v array<double>, n long").orderBy(F.desc("n")).limit(most).toPandas()
-    cs: list[np.ndarray] = []
-    if len(found):
-        leader_cluster(np.stack(found["v"].to_numpy()), threshold, cs, [], cap=most)
-    matrix = np.array(cs)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)) @ matrix.T
-            yield pd.DataFrame({"k": pdf["k"], "cluster": s.argmax(1), "similarity": np.round(s.max(1), 6)})
-
-    return rows.mapInPandas(assign, f"k {kind}, cluster int, similarity double").withColumnRenamed("k", key)
+                leader_cluster(unit(pdf["v"]), threshold, cs, ns, cap=most, update=False)
+        if cs:
+            yield pd.DataFrame({"v": [c.tolist() for c in cs], "n": ns})
+
+    found_before, first = None, 0
+    while True:
+        found = state.where(F.col("similarity") < near).mapInPandas(leaders, "v array<double>, n long").orderBy(F.desc("n"), "v").limit(most).toPandas()
+        if not len(found):
+            break
+        cs: list[np.ndarray] = []
+        leader_cluster(np.stack(found["v"].to_numpy()), threshold, cs, [], update=False)
+
+        def assign(batches: Iterator[pd.DataFrame], matrix: np.ndarray = np.array(cs), first: int = first) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    s = unit(pdf["v"]) @ matrix.T
+                    better = s.max(1) > pdf["similarity"].to_numpy()
+                    yield pdf.assign(cluster=np.where(better, first + s.argmax(1), pdf["cluster"]), similarity=np.where(better, s.max(1), pdf["similarity"]))
+
+        state = stage(state.mapInPandas(assign, f"k {kind}, v array<double>, cluster int, similarity double"), "leaders")
+        first += len(cs)
+        if found_before:
+            delete(df.sparkSession, found_before)
+        found_before = state.inputFiles()[0].rsplit("/", 1)[0]
+    return state.select(F.col("k").alias(key), "cluster", F.round("similarity", 6).alias("similarity"))
 
 
 def claim_registry(clusters: DataFrame, key: str, order: str, vector: str, threshold: float = 0.85) -> DataFrame:
