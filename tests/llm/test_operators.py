@@ -191,6 +191,15 @@ def test_p3_surrogates_stay_distinct(spark):
     assert len(set(out)) == len(out)
 
 
+def test_p3_addresses_keep_only_the_type_of_street(spark):
+    texts = ["We met at Calle Glianreisby 175.", "We met at 12 Oak St.", "We met at Lindenstraße 12."]
+    numbers = [f"We met at {i} Oak St." for i in range(10, 100)] + [f"passport {i:07d}, " for i in range(1000, 1300)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts + numbers)], "id string, text string")
+    out = {int(r.key): r.surrogate for r in p3_pii.replaced(df, "id", "text", frozenset()).collect()}
+    assert "Calle " in out[0] and "Glianreisby" not in out[0] and " St." in out[1] and "Oak" not in out[1] and "straße" in out[2] and "Linden" not in out[2]
+    assert len({out[i] for i in range(3, len(out))}) == len(numbers)
+
+
 def test_p5(spark):
     ask = '[{"role": "user", "content": "Claim: The banks of Xora lost 5 million files in June."}]'
     raw = [("1", "m", ask, '{"reasoning": "The report names the banks and it is on file."}', None), ("2", "m", ask, None, "timed out"), ("3", "m", ask, '{"reasoning": "The report na', None), ("4", "m", ask, '{"reasoning": "I am unable to help with this request."}', None), ("5", "m", ask, '{"reasoning": "The banks of Xora lost 5 million files in June"}', None), ("6", "m", ask, '{"reasoning": "Les banques de la ville ont perdu des dossiers et les maires sont dans le doute."}', None), (None, "m", ask, None, None), ("1", "m", ask, '{"reasoning": "The report names the banks and it is on file."}', None), ("7", "m", None, "not json at all but words.", None)]

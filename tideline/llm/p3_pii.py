@@ -2,8 +2,8 @@
 
 Method: surrogate generation. Detection (pii_detect) gives typed pieces; each becomes a typed placeholder in ``redacted``
 and, in ``surrogate``, a keyed replacement of the same type, script and format. The same entity (whatever its spelling) always
-gets the same surrogate, different entities different ones: collisions are found by one aggregation over all entities and
-resolved by a number.
+gets the same surrogate, different entities different ones: collisions are found by an aggregation over all entities and
+resolved by a number, again until there are none. Of an address every word but the street's type is replaced.
 
 Cases: a null text gives no pieces and null outputs; empty texts stay empty; texts of any length are scanned once; repeated rows
 give repeated rows (found types are distinct); extra columns are ignored; an empty name list leaves names to cues."""
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.pii_detect import entity, find
+from tideline.llm.pii_detect import STREET_AFTER, STREET_BEFORE, STREET_CLEAR, STREET_JOINED, entity, find
 from tideline.llm.textforms import consistent
 from tideline.operators.staging import stage
 
@@ -28,6 +28,12 @@ _FEMALE_ENDINGS = ("a", "e", "h", "y", "ie", "ine")
 _SYLLABLES = ("bar", "den", "fal", "gor", "hul", "jen", "kal", "lom", "mer", "nol", "pra", "rem", "sol", "tav", "vel", "wes")
 _FAMILY_ENDS = ("berg", "dahl", "feld", "gaard", "holt", "lund", "mark", "stein", "thal", "wall")
 
+#: Words of an address that stay: types of street, small words, parts of a number.
+_ADDRESS_KEPT = frozenset(f"{STREET_AFTER}|{STREET_BEFORE}|{STREET_CLEAR}|{STREET_JOINED}".split("|")) | frozenset("de del du des da do dos la las le los apt flat unit suite apartment bis ter n no º ª".split())
+_JOINED = re.compile(rf"[^\W\d_]+?({STREET_JOINED})", re.I)
+#: After so many collisions the format of numbers has no room left, and a number is added.
+_CROWDED = 20
+
 
 def given_names(names: DataFrame) -> frozenset[str]:
     """Given names of the list, lower case. The list is counted first; one beyond ``MOST_NAMES`` is refused."""
@@ -57,6 +63,24 @@ def _digit(seed: int, i: int) -> int:
     return xxhash.xxh32_intdigest(f"{seed}:{i}") % 10
 
 
+def _address(seed: int, piece: str) -> str:
+    """Digits and every word but the street's type replaced, by their places in the order of words."""
+    count = iter(range(10_000))
+
+    def other(m: re.Match) -> str:
+        word, h = m.group(), xxhash.xxh64_intdigest(f"{seed}:{next(count)}")
+        if word.isdigit():
+            return "".join(str(1 + _digit(h, i) % 9) for i in range(len(word)))
+        if word.lower() in _ADDRESS_KEPT:
+            return word
+        made = chr(ord("a") + h % 26) if len(word) == 1 else "".join(_SYLLABLES[(h >> (5 * i)) % len(_SYLLABLES)] for i in range(3))
+        joined = _JOINED.fullmatch(word)
+        made += joined.group(1).lower() if joined else ""
+        return made.upper() if word.isupper() else made.capitalize() if word[0].isupper() else made
+
+    return re.sub(r"\d+|[^\W\d_]+", other, piece)
+
+
 def surrogate(kind: str, piece: str, who: str, secret: str, turn: int, names: tuple[str, ...]) -> str:
     """A replacement of the same type and format; ``turn`` sets apart entities whose first replacement was the same."""
     seed = xxhash.xxh64_intdigest(f"{secret}|{kind}|{who}|{turn}")
@@ -66,12 +90,12 @@ def surrogate(kind: str, piece: str, who: str, secret: str, turn: int, names: tu
             count = iter(range(1000))
             return re.sub(r"[A-Za-z]+", lambda m: words[_digit(seed, next(count))], piece)
         count = iter(range(1000))
-        return re.sub(r"\d", lambda m: str(_digit(seed, next(count))), piece)
+        return re.sub(r"\d", lambda m: str(_digit(seed, next(count))), piece) + (f"-{seed % 10**8:08d}" if turn >= _CROWDED else "")
     stem = lambda n: "".join(_SYLLABLES[(seed >> (5 * i)) % len(_SYLLABLES)] for i in range(n))
     if kind == "email":
         made = f"{stem(2)}{seed % 100000:05d}@mail.example"
     elif kind == "address":
-        made = re.sub(r"[^\W\d_]{5,}", lambda m: stem(2).capitalize(), re.sub(r"\d", lambda m: str(1 + _digit(seed, m.start()) % 9), piece), count=1)
+        made = _address(seed, piece)
     else:
         first = who.split(" ")[0]
         female = first.endswith(_FEMALE_ENDINGS)
@@ -81,18 +105,27 @@ def surrogate(kind: str, piece: str, who: str, secret: str, turn: int, names: tu
     return made.upper() if piece.isupper() else made.lower() if piece.islower() else made
 
 
-def _turns(found: DataFrame, secret: str, names: tuple[str, ...]) -> DataFrame:
-    """Entities whose plain surrogate another entity has too, with a number that sets them apart; few rows."""
+def _turns(found: DataFrame, secret: str, names: tuple[str, ...], rounds: int = 64) -> DataFrame:
+    """Entities whose plain surrogate another entity has too, with a number that sets them apart; few rows.
+
+    A new surrogate may be another entity's as well, so this goes on until no two entities of a type share one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [surrogate(k, e, e, secret, 0, names).lower() for k, e in zip(pdf["pii_type"], pdf["entity"])]
+            made = [surrogate(k, e, e, secret, n, names).lower() for k, e, n in zip(pdf["pii_type"], pdf["entity"], pdf["turn"])]
             yield pdf.assign(made=made)
 
-    one = found.select("pii_type", "entity").distinct().mapInPandas(run, "pii_type string, entity string, made string")
-    clash = one.groupBy("pii_type", "made").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = one.join(clash, ["pii_type", "made"]).where("entity > first")
-    return later.select("pii_type", "entity", F.pmod(F.xxhash64("entity"), F.lit(1 << 30)).cast("int").alias("turn")).withColumn("turn", F.col("turn") + 1)
+    def made(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(run, "pii_type string, entity string, turn int, made string")
+
+    state = stage(made(found.select("pii_type", "entity").distinct().withColumn("turn", F.lit(0))), "surrogates")
+    for _ in range(rounds):
+        clash = state.groupBy("pii_type", "made").agg(F.min(F.struct("turn", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        later = stage(state.join(clash, ["pii_type", "made"]).where("struct(turn, entity) > first").select("pii_type", "entity", (F.col("turn") + 1).cast("int").alias("turn")), "clashes")
+        if later.isEmpty():
+            return state.where("turn > 0").select("pii_type", "entity", "turn")
+        state = stage(state.join(later.select("pii_type", "entity"), ["pii_type", "entity"], "left_anti").unionByName(made(later)), "surrogates")
+    raise RuntimeError(f"surrogates still shared after {rounds} rounds; give more")
 
 
 def replaced(df: DataFrame, key: str, text: str, given: frozenset[str], secret: str = "tideline") -> DataFrame:
