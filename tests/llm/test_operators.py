@@ -211,6 +211,13 @@ def test_p5(spark):
     assert p5_pairs.found(r.where("false"), n.where("false")).count() == 0
 
 
+def test_p5_refusals_of_any_length():
+    claim = "The banks of Xora lost five million files in June and nobody answered. " * 12
+    assert p5_pairs.is_refusal(f"I'm sorry, but I can't help with this request. The claim was: “{claim}”")
+    assert p5_pairs.is_refusal(f"As an AI I take no side on “{claim}” and leave it there.")
+    assert not p5_pairs.is_refusal(f"{claim} They said “sorry, we are unable to assist”. {claim}")
+
+
 def test_p6(spark):
     rng = random.Random(6)
     rows = [(rng.choice([1, 2, 2, 2, 2, 2, 3]), f"k{rng.randrange(4000):05d}", rng.randrange(60) / 60) for _ in range(6000)]

@@ -143,17 +143,26 @@ def is_copy(answer: str, given: str | None, added: int = 3) -> bool:
     return all(any(w == x for x in it) for w in g)
 
 
+_QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"")
+_SENTENCE_END = re.compile(r"[.!?](?=\s)|[。！？]")
+
+
 def is_refusal(answer: str) -> bool:
-    low = answer.lower().strip()
-    if len(low) > 400:
-        return False
-    kinds = {kind for _, kind in _REFUSALS.iter(low)}
-    if "both" in kinds and len(low) < 220:
+    """Decided by where phrases stand, outside quotations: in the opening (three sentences, or 400 characters where these are shorter);
+    a phrase of kind "both" is enough alone in the first sentence, or where the answer has little else."""
+    low = answer.lower().strip().strip("\"“”„«»").strip()
+    plain = _QUOTED.sub(" ", low)
+    ends = [m.end() for m in _SENTENCE_END.finditer(plain)][:3]
+    opening = plain[: max(400, ends[2] if len(ends) == 3 else len(plain))]
+    found = list(_REFUSALS.iter(opening))
+    kinds = {kind for _, kind in found}
+    first = ends[0] if ends else len(plain)
+    if any(kind == "both" and (at < first or len(low) < 220) for at, kind in found):
         return True
     if "unable" not in kinds or not kinds & {"task", "opener"}:
         return False
     # inability to confirm a detail, followed by an assessment, is none
-    return not re.search(r"\b(?:cannot|can't|can’t|unable to|not able to) (?:confirm|verify|check|tell|say|see|find)\b.*\bbut\b", low)
+    return not re.search(r"\b(?:cannot|can't|can’t|unable to|not able to) (?:confirm|verify|check|tell|say|see|find)\b.*\bbut\b", opening)
 
 
 def language(text: str | None) -> tuple[str, float]:
