@@ -376,3 +376,21 @@ def test_p10_prefers_strong_boundaries_and_edges(spark):
     got = p10_split.pieces(df, "id", "text").collect()
     assert {r["key"] for r in got} == {1} and max(r.n_tokens for r in got) <= 1024
     assert p10_split.pieces(df.where("false"), "id", "text").count() == 0
+
+
+def test_p10_measures_the_consistent_form(spark):
+    """No-break spaces are tokens of their own for this vocabulary; they don't make a text oversized."""
+    body = "\u00a0".join(["word"] * 900)
+    assert tokens().count(body) > 1024
+    df = spark.createDataFrame([(1, body), (2, "\u00a0".join(["word"] * 1500))], "id long, text string")
+    got = p10_split.pieces(df, "id", "text").collect()
+    assert {r["key"] for r in got} == {2} and "\u00a0" not in "".join(r.text for r in got)
+
+
+def test_p10_pieces_alone_hold_the_limit():
+    """Without spaces pieces are cut inside words, where a piece alone can have more tokens than in its text."""
+    rng, t = random.Random(7), tokens()
+    for alphabet in ("abcdefghij", "АБВГДежз", "中文字符号测试", "aé中😀"):
+        body = "".join(rng.choice(alphabet) for _ in range(6000))
+        parts = p10_split.pieces_of(body, t, 256, 32)
+        assert len(parts) > 3 and max(t.count(p[4]) for p in parts) <= 256

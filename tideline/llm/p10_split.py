@@ -7,8 +7,10 @@ Each piece but the first begins with the last ``overlap`` tokens of the piece be
 
 Everything happens within a text, so rows never move: no shuffle, and a text's pieces come out of one pass.
 
-Cases: null ids, null and empty texts give no pieces; a text within the limit is one piece; text without any space is cut between
-tokens that end whole characters; repeated rows give repeated pieces; extra columns are ignored; an empty table gives none."""
+Sizes and pieces are those of the text's consistent form (problem 2): no-break spaces between words would count as tokens of their own.
+
+Cases: null ids, null and empty texts give no pieces; a text within the limit isn't oversized and gives no row; text without any
+space is cut between tokens that end whole characters; a piece that has more tokens read alone than as part of its text is cut smaller; repeated rows give repeated pieces; extra columns are ignored; an empty table gives none."""
 
 from __future__ import annotations
 
@@ -21,9 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.textforms import consistent
 from tideline.llm.tokens import VOCABULARY, Tokens, tokens
 
 LIMIT, OVERLAP = 1024, 64
+#: Bytes of a compatibility or composed form for one byte before, at most (Unicode's figure for NFKC in UTF-8).
+LONGER = 11
 #: Strength of boundaries, the place after the match is the boundary; later patterns only cut what is still too long.
 PARAGRAPH, TURN, SENTENCE, CLAUSE, SPACE, TOKEN = 6, 5, 4, 3, 2, 1
 _BREAKS = (
@@ -122,21 +127,30 @@ def spans(text: str, ids: np.ndarray, starts: np.ndarray, limit: int = LIMIT, ov
 
 
 def pieces_of(text: str, t: Tokens, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int, str]]:
-    """(number, first token with overlap, end token, boundary strength, text) of each piece; a character that an overlap would cut is left out of its text."""
+    """(number, first token with overlap, end token, boundary strength, text) of each piece; a character that an overlap would cut is left out of its text.
+
+    A piece cut inside a word may have more tokens alone than in its text. Where one then exceeds the limit, all are cut again with
+    as much less room, so every piece holds the limit when it is tokenised by itself."""
     data = text.encode("utf-8", "surrogatepass")
     ids = t.ids(text)
     starts = t.starts(ids)
-    out = []
-    for k, (a, b, s) in enumerate(spans(text, ids, starts, limit, overlap)):
-        first = max(0, a - overlap) if k else a
-        out.append((k, first, b, s, data[starts[first] : starts[b]].decode("utf-8", "ignore")))
-    return out
+    room = limit
+    while True:
+        out = []
+        for k, (a, b, s) in enumerate(spans(text, ids, starts, room, overlap)):
+            first = max(0, a - overlap) if k else a
+            out.append((k, first, b, s, data[starts[first] : starts[b]].decode("utf-8", "ignore")))
+        over = max(t.count(body) for *_, body in out) - limit if len(out) > 1 else 0
+        if over <= 0 or room - over <= 2 * overlap:
+            return out
+        room -= over
 
 
 def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, vocabulary: str = VOCABULARY) -> DataFrame:
     """``key``, ``piece``, ``token_from``, ``token_to``, ``n_tokens``, ``boundary``, ``text`` of every text over the limit.
 
-    A text has at most as many tokens as bytes, so texts within the limit in bytes are passed over without reading them in Python."""
+    A text has at most as many tokens as bytes, and its consistent form at most ``LONGER`` times its bytes, so short texts are passed
+    over without reading them in Python."""
     if not 0 <= 2 * overlap < limit:
         raise ValueError("the overlap must be under half the limit")
 
@@ -145,10 +159,11 @@ def pieces(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int
         for pdf in batches:
             out = []
             for k, x in zip(pdf["key"], pdf["text"]):
-                if t.count(x) > limit:
+                x = consistent(x)
+                if len(x) * 4 > limit and t.count(x) > limit:
                     out += [(k, i, a, b, b - a, s, body) for i, a, b, s, body in pieces_of(x, t, limit, overlap)]
             yield pd.DataFrame(out, columns=["key", "piece", "token_from", "token_to", "n_tokens", "boundary", "text"])
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") > limit).where("key is not null")
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") > limit // LONGER).where("key is not null")
     kind = df.schema[key].dataType.simpleString()
     return rows.mapInPandas(run, f"key {kind}, piece int, token_from int, token_to int, n_tokens int, boundary int, text string")
