@@ -209,15 +209,33 @@ def test_p5(spark):
     got = {(x.src[:3], x.sentence_id): x.defect for x in p5_pairs.found(r, n).collect()}
     assert got == {("raw", "2"): "empty", ("raw", "3"): "truncated", ("raw", "4"): "refusal", ("raw", "5"): "copy", ("raw", "6"): "other_language", ("nor", "3"): "refusal", ("nor", "4"): "empty"}
     assert p5_pairs.found(r.where("false"), n.where("false")).count() == 0
+    told = {(x.src, x.defect): (x.answers, x.most_copied) for x in p5_pairs.report(r, n).groupBy("src", "defect").agg(F.sum("answers").alias("answers"), F.max("most_copied").alias("most_copied")).collect()}
+    assert told["raw_responses", "copy"] == (1, 1.0) and told["raw_responses", "none"][0] == 2 and told["normalizations", "none"][1] > 0.5
+    assert p5_pairs.report(r.where("false"), n.where("false")).count() == 0
 
 
 def test_p5_refusals_of_any_length():
     claim = "The banks of Xora lost five million files in June and nobody answered. " * 12
     assert p5_pairs.is_refusal(f"I'm sorry, but I can't help with this request. The claim was: “{claim}”")
     assert p5_pairs.is_refusal(f"As an AI I take no side on “{claim}” and leave it there.")
+    assert p5_pairs.is_refusal(f"I'm unable to help with this request. {claim} {claim} {claim}")  # over 2,000 characters
+    assert p5_pairs.is_refusal(f"{claim} I have thought about it for long. For these reasons I must decline to assess it.")
     assert not p5_pairs.is_refusal(f"{claim} They said “sorry, we are unable to assist”. {claim}")
 
 
+def test_p5_truncation_of_short_answers():
+    given = "Crime near banks dropped 5% once Xora hired twelve dockers in the harbour district."
+    assert p5_pairs.goes_on_in("Crime near ban", given) and p5_pairs.goes_on_in("hired twelve dockers in the", given)
+    assert not p5_pairs.goes_on_in("Crime", given) and not p5_pairs.goes_on_in("in the harbour district", given) and not p5_pairs.goes_on_in("rime near", given)
+
+
+def test_p5_coverage():
+    given = "crime near banks dropped once xora hired twelve dockers"
+    assert p5_pairs.copied_share("they say crime near banks dropped for long", given) == (0.5, False)
+    assert p5_pairs.copied_share(given + " we say so", given) == (0.75, True)
+    assert p5_pairs.copied_share("xora hired twelve dockers once crime near banks dropped", given)[1] is False  # all its words, not in order
+
+
 def test_p6(spark):
     rng = random.Random(6)
     rows = [(rng.choice([1, 2, 2, 2, 2, 2, 3]), f"k{rng.randrange(4000):05d}", rng.randrange(60) / 60) for _ in range(6000)]

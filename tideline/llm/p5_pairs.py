@@ -1,7 +1,7 @@
 """Problem 5: broken prompt and response pairs.
 
-Method: a suffix automaton of the input's words is traversed by the answer's words, which gives how much of the answer is copied and
-in which order; an Aho-Corasick automaton of refusal phrases, a stack of delimiters, and votes of stop words for languages find
+Method: a suffix automaton of the input's words is traversed by the answer's words, which gives the spans of the answer that are copied;
+their coverage decides what is a copy and is reported for every answer (`report`); an Aho-Corasick automaton of refusal phrases, a stack of delimiters, and votes of stop words for languages find
 the other defects. Whether an answer without a closing mark breaks off is decided by counts over the whole corpus: how often
 its last words (names and numbers masked) end a sentence there, and how often they go on.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.textforms import consistent
+from tideline.operators.staging import stage
 
 # --- fixed values: phrases and words -----------------------------------------------------------------------------------
 #: A refusal has a phrase of inability or unwillingness and a phrase naming the task or regret, or one phrase that is both.
@@ -41,14 +43,15 @@ BOTH = [
     "against my guidelines", "against my policy", "violates my", "due to policy", "policy restrictions", "as a language model", "as an ai", "consult a professional", "can't be completed", "cannot be completed", "not something i can", "va en contra de mis", "en contra de mis directrices", "contre mes directives", "gegen meine richtlinien", "como modelo de lenguaje", "en tant que modèle de langage", "als sprachmodell", "作为语言模型", "作为一个",
 ]
 FILLERS = {"", "n/a", "na", "null", "none", "nil", "nan", "-", "--", "...", "…", ".", "?", "todo", "tbd", "unknown", "undefined", "no answer", "no reasoning", "empty", "not available", "no response", "{}", "[]", "\"\"", "n.a.", "(empty)", "(none)"}
+#: Function words only: articles, pronouns, prepositions, conjunctions, auxiliaries, negations, question words and adverbs of place, time and degree.
 STOPWORDS = {
-    "en": "the of and to in is that for it with as was are this on be by from have has not but an at which or they you were who their so than what where does how about more been its will would there can only between after while any every our us we i if my just never when because until since went up down cost costs says say said told against wants pay paid keep let signed voted owns sell found missing promised ever arrived fired spends year wait waits days months combined linked took bills approved rejected silent hired dropped once crime rose fell shows worth companies people now never received stopped using per head",
-    "es": "el la los las de y que en un una por con para del se su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante según dice cerca cobran dejó qué no gastó vendió cámaras alcaldía aprobó permisos perdió ocultó meses murieron pacientes después campaña firmó acuerdo secreto ningún niño recibió prometió maestros menos inquilinos pagar registros públicos aunque suele publicar informes puede",
-    "fr": "le la les de et des en un une du que qui dans pour pas au sur est par plus ce ne se avec sont mais ou il elle nous vous leur cette ont été être aux malgré selon près après d'après même moins ces quelle dira on y a perdu caché pendant mois dépensé achetées caméras mairie élèves reçu repas ceux locataires paient validé avis patients décédés campagne affirme signé accord secret peut être vérifiée archives publiques rapport chaque année mais",
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch gegen nahe laut weniger jedoch hat verloren schwieg monate geheimen vertrag unterschrieb genehmigte rat stadt gab kameras verdienen prozent mieter zahlen nichts fehlten dosen behauptet lässt keine öffentlichen daten obwohl jedes jahr bericht",
-    "pt": "os de que em um uma por com para do da dos das se seu ao como mais mas não na no nas nos isso ele ela foi são segundo depois até também pelo pela menos ninguém às à",
-    "it": "il lo gli di che in un una per con non da del della dei delle si come più anche sono è nel alla dopo secondo",
-    "nl": "de het een en van in is dat op te zijn voor met niet aan er om ook als bij door naar maar over uit",
+    "en": "the a an this that these those i me my we us our you your he him his she her it its they them their who whom whose which what and or but nor so if because as until while although though since unless whether than of in on at to from for with by about against between into through during before after above below up down over under near out off within without toward is are was were be been being am has have had having do does did will would shall should can could may might must not no never only own same too very just now then once here there when where why how all any both each few more most other some such again also yet still even ever every either neither per upon among across around",
+    "es": "el la los las lo un una unos unas y e o u ni que si no como cuando donde quien quienes cual cuyo porque pues aunque mientras de del a al en por para con sin sobre entre hasta desde hacia según durante contra tras ante bajo yo tú él ella ello nosotros ellos ellas usted ustedes me te se nos le les mi tu su mis tus sus nuestro nuestra este esta esto estos estas ese esa eso esos esas aquel aquella es son era eran fue fueron ser sido está están estaba ha han había haber hay he más menos muy tan también ya sólo solo nada nadie ningún ninguna ninguno algo alguien algún alguna todo toda todos todas otro otra otros cada después antes nunca siempre sí cerca qué quién cómo dónde cuándo",
+    "fr": "le la les un une des du de et ou ni mais donc or car que qui quoi dont où si ne pas plus moins jamais rien personne aucun aucune je tu il elle on nous vous ils elles me te se lui leur leurs y en mon ma mes ton ta tes son sa ses notre nos votre vos ce cet cette ces cela ça à au aux dans par pour sur avec sans sous entre vers chez contre depuis pendant avant après selon malgré dès jusque près est sont était étaient été être a ont avait avoir eu fait comme quand lorsque puisque parce aussi très trop bien encore déjà toujours même tout toute tous toutes autre autres chaque quel quelle comment pourquoi peu alors ainsi",
+    "de": "der die das den dem des ein eine einen einem einer eines kein keine keinen keiner und oder aber denn sondern dass weil wenn ob als wie obwohl während bevor nachdem damit um zu in im an am auf aus bei beim mit nach von vom zum zur für durch gegen ohne über unter vor hinter zwischen neben seit bis laut nahe wegen trotz ich du er sie es wir ihr mich dich sich uns euch ihn ihm ihnen mein dein sein seine seinen seiner ihre ihren ihrer unser dieser diese dieses diesem diesen jeder jede jedes jener welche welcher ist sind war waren bin sein gewesen hat haben hatte hatten wird werden wurde wurden worden kann können muss müssen soll sollen darf will nicht nichts nie noch nur auch schon sehr mehr weniger man so da dann doch hier dort was wer wo wann warum alle alles viel viele jedoch etwas niemand",
+    "pt": "o a os as um uma uns umas e ou nem mas que se não como quando onde quem qual porque pois embora de do da dos das em no na nos nas por pelo pela pelos pelas para com sem sobre entre até desde contra segundo durante após ante sob eu tu ele ela nós eles elas você vocês me te lhe lhes meu minha seu sua seus suas nosso nossa este esta isto esse essa isso aquele aquela é são era foi foram ser sido está estão há tem têm tinha ter mais menos muito também já só nada ninguém nenhum nenhuma algum alguma tudo todo toda todos todas outro outra cada depois antes nunca sempre sim ao aos à às",
+    "it": "il lo la i gli le un uno una e ed o ma né che chi cui se non come quando dove perché poiché mentre di del dello della dei degli delle a al allo alla ai agli alle da dal dalla dai in nel nella nei nelle con su sul sulla per tra fra senza contro secondo durante dopo prima verso io tu lui lei noi voi loro mi ti si ci vi mio mia suo sua nostro questo questa questi queste quello quella è sono era erano fu essere stato ha hanno aveva avere più meno molto anche già solo niente nulla nessuno ogni tutto tutti altro altra ancora sempre mai",
+    "nl": "de het een en of maar want dat die dit deze als dan toen omdat hoewel terwijl van in op te aan met voor door bij naar uit over onder tussen tegen zonder om tot sinds volgens na ik jij je hij zij ze wij we jullie hem haar hun ons mijn zijn onze is was waren ben geweest heeft hebben had hadden wordt worden werd niet geen nooit niets niemand ook nog al zeer meer minder er hier daar waar wie wat hoe waarom alle elke",
     "ru": "и в не на что с по как это из у за о от для но к же бы только было его она они мы все так после при без до или ещё во",
 }
 # ------------------------------------------------------------------------------------------------------------------------
@@ -57,9 +60,12 @@ _STOP: dict[str, list[str]] = {}
 for _lang, _list in STOPWORDS.items():
     for _w in set(_list.split()):
         _STOP.setdefault(_w, []).append(_lang)
+_ENGLISH_ENDS = frozenset("s t re ve ll d m".split())
+_ELISIONS = frozenset("l d qu n s j c m t jusqu lorsqu puisqu".split())
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _PLAIN = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,:]\d+)*|[^\w\s]")
+_SPACED = re.compile(r"\S+")
 _CLOSED = re.compile(r"[.!?。！？…‽؟]['\"”’»)\]】」]*$|[.!?。！？…]\s*(?:[#@]\S+\s*)*$")
 
 
@@ -106,94 +112,118 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = clone
             last = cur
 
-    def copied(self, words: list[str]) -> int:
-        """Words of the sequence that lie in a match of at least two words, or of one where the sequence is that short."""
+    def matches(self, words: list[str], least: int = 1) -> list[tuple[int, int]]:
+        """(start, end) of the spans of ``words`` that stand in the sequence: maximal matches of at least ``least`` words, overlaps merged."""
         state = length = 0
-        ends = []
-        for w in words:
+        spans: list[tuple[int, int]] = []
+        for i, w in enumerate(words):
             while state and w not in self.next[state]:
                 state = self.link[state]
                 length = self.size[state]
             if w in self.next[state]:
                 state = self.next[state][w]
                 length += 1
-            ends.append(length)
-        covered, upto = 0, len(words)
-        for i in range(len(words) - 1, -1, -1):
-            start = i - ends[i] + 1
-            if ends[i] >= min(2, len(words)) and i < upto:
-                covered += i - start + 1
-                upto = start
-            elif ends[i] >= min(2, len(words)) and start < upto:
-                covered += upto - start
-                upto = start
-        return covered
-
-
-def is_copy(answer: str, given: str | None, added: int = 3) -> bool:
-    """The whole input in its order, with at most ``added`` words more."""
-    if not given:
-        return False
+            if length >= least:
+                start = i - length + 1
+                while spans and spans[-1][1] >= start:
+                    start = min(start, spans.pop()[0])
+                spans.append((start, i + 1))
+        return spans
+
+    def copied(self, words: list[str], least: int = 1) -> int:
+        """Words that lie in a match of at least ``least`` words."""
+        return sum(e - s for s, e in self.matches(words, least))
+
+
+def copied_share(answer: str | None, given: str | None) -> tuple[float, bool]:
+    """(share of the answer's words in matches of two or more words with the input, whether the answer is a copy of the input)."""
+    if not answer or not given:
+        return 0.0, False
     a, g = _PLAIN.findall(consistent(answer).lower()), _PLAIN.findall(consistent(given).lower())
-    if not g or not len(g) <= len(a) <= len(g) + added:
-        return False
-    if SuffixAutomaton(g).copied(a) < len(a) - 2 * added - 2:
+    if not a or not g:
+        return 0.0, False
+    if len(g) > 1 and set(zip(g, g[1:])).isdisjoint(zip(a, a[1:])):
+        return 0.0, False  # no match of two words
+    automaton = SuffixAutomaton(g)
+    return automaton.copied(a, min(2, len(g))) / len(a), copies(automaton, a, g)
+
+
+def copies(automaton: SuffixAutomaton, a: list[str], g: list[str], added: int = 3) -> bool:
+    """The whole input in its order, with at most ``added`` words more: all but ``added`` words are covered by matches, and the input is
+    used up in its order (an exact check of what coverage alone leaves open)."""
+    if not len(g) <= len(a) <= len(g) + added or automaton.copied(a) < len(g):
         return False
     it = iter(a)
     return all(any(w == x for x in it) for w in g)
 
 
+def is_copy(answer: str, given: str | None) -> bool:
+    return copied_share(answer, given)[1]
+
+
 _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"")
-_SENTENCE_END = re.compile(r"[.!?](?=\s)|[。！？]")
+_SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|[。！？]")
 
 
 def is_refusal(answer: str) -> bool:
-    """Decided by where phrases stand, outside quotations: in the opening (three sentences, or 400 characters where these are shorter);
-    a phrase of kind "both" is enough alone in the first sentence, or where the answer has little else."""
-    low = answer.lower().strip().strip("\"“”„«»").strip()
-    plain = _QUOTED.sub(" ", low)
-    ends = [m.end() for m in _SENTENCE_END.finditer(plain)][:3]
-    opening = plain[: max(400, ends[2] if len(ends) == 3 else len(plain))]
-    found = list(_REFUSALS.iter(opening))
-    kinds = {kind for _, kind in found}
-    first = ends[0] if ends else len(plain)
-    if any(kind == "both" and (at < first or len(low) < 220) for at, kind in found):
+    """Decided by what sentences say outside quotations, whatever the answer's length: the first three, which open the answer, and the
+    last, which concludes it. A phrase of kind "both" is enough alone; inability needs the task or regret beside it."""
+    plain = _QUOTED.sub(" ", answer.lower().strip().strip("\"“”„«»").strip())
+    sentences = [x for x in _SENTENCE_END.split(plain) if any(c.isalnum() for c in x)]
+    if _speaks_refusal(". ".join(sentences[:3])):
+        return True
+    return len(sentences) > 3 and _speaks_refusal(sentences[-1])
+
+
+def _speaks_refusal(plain: str) -> bool:
+    kinds = {kind for _, kind in _REFUSALS.iter(plain)}
+    if "both" in kinds:
         return True
     if "unable" not in kinds or not kinds & {"task", "opener"}:
         return False
     # inability to confirm a detail, followed by an assessment, is none
-    return not re.search(r"\b(?:cannot|can't|can’t|unable to|not able to) (?:confirm|verify|check|tell|say|see|find)\b.*\bbut\b", opening)
+    return not re.search(r"\b(?:cannot|can't|can’t|unable to|not able to) (?:confirm|verify|check|tell|say|see|find)\b.*\bbut\b", plain)
 
 
-def language(text: str | None) -> tuple[str, float]:
-    """Language with most votes of stop words, or of script, and its lead in votes; ("", 0) without a clear one."""
-    if not text:
-        return "", 0.0
-    letters = [c for c in text if c.isalpha()]
-    han = sum("一" <= c <= "鿿" for c in letters)
-    if letters and han > 0.4 * len(letters):
-        return "zh", 9.0
+def votes(text: str | None) -> list[list[str]]:
+    """The languages each stop word votes for, one entry a word; an elision votes for French or English, a script decides alone."""
+    letters = [c for c in text or "" if c.isalpha()]
+    if letters and sum("一" <= c <= "鿿" for c in letters) > 0.4 * len(letters):
+        return [["zh"]] * len(letters)
     for name, lo, hi in (("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ"), ("ar", "؀", "ۿ")):
         if letters and sum(lo <= c <= hi for c in letters) > 0.5 * len(letters):
-            return name, 9.0
-    votes: dict[str, float] = {}
-    for w in _WORD.findall(text.lower()):
+            return [[name]] * len(letters)
+    out = []
+    for w in _WORD.findall((text or "").lower()):
         langs = _STOP.get(w)
         if langs is None and ("'" in w or "’" in w):
-            head = re.split("['’]", w)[0]
-            langs = ["fr"] if head in ("l", "d", "qu", "n", "s", "j", "c", "m") else ["en"] if re.search("['’](?:t|s|re|ve|ll|d|m)$", w) else None
-        for lang in langs or ():
-            votes[lang] = votes.get(lang, 0) + 1 / len(langs)
-    if not votes:
-        return "", 0.0
-    order = sorted(votes.items(), key=lambda x: -x[1])
-    return order[0][0], order[0][1] - (order[1][1] if len(order) > 1 else 0)
+            head, tail = re.split("['’]", w, maxsplit=1)
+            langs = ["fr"] if head in _ELISIONS else ["en"] if tail in _ENGLISH_ENDS else None
+        if langs:
+            out.append(langs)
+    return out
+
+
+def languages(text: str | None) -> list[str]:
+    """The language with most votes and those within a vote of it; empty without votes."""
+    count = Counter(lang for langs in votes(text) for lang in langs)
+    most = max(count.values(), default=0)
+    return [lang for lang, n in count.items() if n >= max(1, most - 1)]
 
 
-def answers_in_other_language(answer: str, given: str | None) -> bool:
-    a, lead_a = language(answer)
-    g, lead_g = language(given)
-    return bool(a and g and a != g and ((lead_a >= 1.5 and lead_g >= 1) or (lead_a >= 4 and lead_g > 0)))
+def answers_in_other_language(answer: str, given: str | None, least: int = 2, times: int = 3) -> bool:
+    """Some language beats each one the input may be in: of the words that only one of the two has, at least ``least`` and ``times``
+    as many are its own."""
+    mine = languages(given)
+    if not mine:
+        return False
+    got = votes(answer)
+
+    def beats(lang: str, other: str) -> bool:
+        own, its = sum(lang in v and other not in v for v in got), sum(other in v and lang not in v for v in got)
+        return own >= least and own >= times * its
+
+    return any(all(beats(lang, m) for m in mine) for lang in {x for v in got for x in v} if lang not in mine)
 
 
 def open_delimiters(text: str) -> int:
@@ -240,12 +270,18 @@ def masked(text: str) -> list[str]:
     return out
 
 
-def goes_on_in(answer: str, given: str | None, tail: int = 25) -> bool:
-    """Whether the input has the answer's end and goes on right there, inside a word or with a word in lower case or a number."""
-    if not given or len(answer) < tail:
+def goes_on_in(answer: str, given: str | None, tail: int = 4) -> bool:
+    """Whether the input has the answer's last ``tail`` words (all of an answer of two or three) and goes on right there, inside a word
+    or with a word in lower case or a number."""
+    starts = [m.start() for m in _SPACED.finditer(answer)]
+    if not given or len(starts) < 2:
         return False
-    i = given.lower().find(answer.lower()[-tail:])
-    return i >= 0 and bool(re.match(r"[^\W_]|[ ][^\WA-ZÀ-ÖØ-Þ_]", given[i + tail :]))
+    end = answer[starts[-min(tail, len(starts))] :].lower()
+    low, i = given.lower(), -1
+    while (i := low.find(end, i + 1)) >= 0:
+        if (i == 0 or not low[i - 1].isalnum()) and re.match(r"[^\W_]|[ ][^\WA-ZÀ-ÖØ-Þ_]", given[i + len(end) :]):
+            return True
+    return False
 
 
 _END = frozenset(".!?。！？…")
@@ -285,40 +321,43 @@ def continuations(texts: DataFrame) -> DataFrame:
 
 
 def first_tests(answers: DataFrame) -> DataFrame:
-    """Adds ``defect`` where the record alone decides, ``other`` (language differs) and ``tails`` where the corpus decides about truncation.
+    """Adds ``defect`` where the record alone decides, ``copied`` (share of the answer that the input covers), ``other`` (language differs)
+    and ``tails`` where the corpus decides about truncation.
 
     answers: ``src, sentence_id, answer_of, answer, given, failed, broken``."""
 
-    def judge(answer: str | None, given: str | None, failed: bool, broken: bool) -> tuple[str | None, bool, list[str] | None]:
+    def judge(answer: str | None, given: str | None, broken: bool) -> tuple[str | None, float, bool, list[str] | None]:
         text = (answer or "").strip()
         if text.lower().strip(" \t\r\n\"'`*_") in FILLERS or not any(c.isalnum() for c in text):
-            return "empty", False, None
-        if not broken and is_copy(text, given):
-            return "copy", False, None
+            return "empty", 0.0, False, None
+        share, copy = copied_share(text, given)
+        if copy and not broken:
+            return "copy", share, False, None
         if is_refusal(text):
-            return "refusal", False, None
+            return "refusal", share, False, None
         if broken:
-            return "truncated", False, None
+            return "truncated", share, False, None
         other = answers_in_other_language(text, given)
         if _CLOSED.search(text) or re.search(r"https?://\S+$|[#@]\w+$|[\U0001F300-\U0001FAFF☀-➿️]$", text):
-            return ("other_language" if other else None), other, None
+            return ("other_language" if other else None), share, other, None
         if open_delimiters(text) or goes_on_in(text, given):
-            return "truncated", other, None
-        return None, other, tails(text)
+            return "truncated", share, other, None
+        return None, share, other, tails(text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [judge(a, g, bool(f), bool(b)) for a, g, f, b in zip(pdf["answer"], pdf["given"], pdf["failed"], pdf["broken"])]
-            yield pdf[["src", "sentence_id", "answer_of"]].assign(defect=[x[0] for x in got], other=[x[1] for x in got], tails=[x[2] for x in got])
+            got = [judge(a, g, bool(b)) for a, g, b in zip(pdf["answer"], pdf["given"], pdf["broken"])]
+            yield pdf[["src", "sentence_id", "answer_of"]].assign(defect=[x[0] for x in got], copied=[x[1] for x in got], other=[x[2] for x in got], tails=[x[3] for x in got])
 
-    return answers.mapInPandas(run, "src string, sentence_id string, answer_of string, defect string, other boolean, tails array<string>")
+    return answers.mapInPandas(run, "src string, sentence_id string, answer_of string, defect string, copied double, other boolean, tails array<string>")
 
 
 def defects(answers: DataFrame, texts: DataFrame) -> DataFrame:
     """``src, sentence_id, answer_of, defect`` of every defective answer; ``texts`` (a ``text`` column) is the corpus for the counts."""
-    from tideline.operators.staging import stage
+    return defects_of(stage(first_tests(answers), "judged"), texts)
 
-    judged = stage(first_tests(answers), "judged")
+
+def defects_of(judged: DataFrame, texts: DataFrame) -> DataFrame:
     clear = judged.where("defect is not null")
     open_ = judged.where("defect is null and tails is not null")
     asked = open_.select("src", "sentence_id", "answer_of", "other", F.posexplode("tails").alias("pos", "tail"))
@@ -378,9 +417,21 @@ def answers_of_normalizations(norm: DataFrame) -> DataFrame:
     return rows.select("sentence_id", "model_name", "text", "normalized_claim", "error").distinct().mapInPandas(run, _ANSWERS)
 
 
+def corpus(raw: DataFrame, norm: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(answers, texts of the corpus)."""
+    answers = stage(answers_of_responses(raw).unionByName(answers_of_normalizations(norm)), "answers")
+    return answers, answers.select(F.col("answer").alias("text")).unionByName(norm.select("text").distinct())
+
+
 def found(raw: DataFrame, norm: DataFrame) -> DataFrame:
-    from tideline.operators.staging import stage
+    return defects(*corpus(raw, norm))
 
-    answers = stage(answers_of_responses(raw).unionByName(answers_of_normalizations(norm)), "answers")
-    texts = answers.select(F.col("answer").alias("text")).unionByName(norm.select("text").distinct())
-    return defects(answers, texts)
+
+def report(raw: DataFrame, norm: DataFrame) -> DataFrame:
+    """Per source, answer's origin and defect ("none" for sound answers): answers, and the mean and largest share of their words copied from the input."""
+    answers, texts = corpus(raw, norm)
+    judged = stage(first_tests(answers), "judged")
+    key = ["src", "sentence_id", "answer_of"]
+    each = judged.where("sentence_id is not null and answer_of is not null").groupBy(*key).agg(F.max("copied").alias("copied")).join(defects_of(judged, texts), key, "left")
+    one = each.groupBy("src", "answer_of", F.coalesce("defect", F.lit("none")).alias("defect"))
+    return one.agg(F.count("*").alias("answers"), F.round(F.avg("copied"), 4).alias("copied"), F.round(F.max("copied"), 4).alias("most_copied"))

@@ -58,6 +58,10 @@ def p5_found(s: SparkSession, d: str) -> DataFrame:
     return p5_pairs.found(table(s, d, "raw_responses"), table(s, d, "normalizations"))
 
 
+def p5_report(s: SparkSession, d: str) -> DataFrame:
+    return p5_pairs.report(table(s, d, "raw_responses"), table(s, d, "normalizations"))
+
+
 def p6_found(s: SparkSession, d: str) -> DataFrame:
     top = p6_topn.top_n(table(s, d, "tweets"), "cluster_id", "tweet_id", "cluster_similarity", 5)
     return top.select(F.col("g").cast("int").alias("cluster_id"), F.col("item").alias("tweet_id"))
@@ -97,7 +101,7 @@ def p10_pieces(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_report, p2_found, p2_forms, p2_spellings, p3_found, p3_replaced, p4_found, p4_groups, p5_found, p6_found, p7_found, p8_containers, p8_fill, p9_found, p9_report, p10_found, p10_pieces)
+        for f in (p1_found, p1_report, p2_found, p2_forms, p2_spellings, p3_found, p3_replaced, p4_found, p4_groups, p5_found, p5_report, p6_found, p7_found, p8_containers, p8_fill, p9_found, p9_report, p10_found, p10_pieces)
     }
 
 
