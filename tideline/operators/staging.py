@@ -54,3 +54,14 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
 
     discarded_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """A number of partitions from the optimizer's estimate of the size of ``df``: one for each ``bytes_each``, at least one a core.
+
+    Given to a shuffle outright, so that a stage of few bytes but much work keeps all cores busy and one of many bytes stays within memory. ``df`` reads tables; for joins the estimate would be a product."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # the optimizer doesn't know
+        return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(spark.sparkContext.defaultParallelism, -(-size // bytes_each))
