@@ -259,6 +259,20 @@ def test_p6_skips_row_groups(spark):
     assert len(m) >= 8 and read <= 2
 
 
+def test_p6_skips_row_groups_of_many_groups(spark, tmp_path):
+    """10,000 groups of 40 items: most row groups hold hundreds of groups and are skipped once each of these has its five."""
+    df = spark.range(0, 400_000).select((F.col("id") % 10_000).alias("g0"), F.col("id").cast("string").alias("id"), (F.hash("id") % 1_000_000 / 1e6).alias("s"))
+    layout = p6_topn.clustered(df, "g0", "id", "s", 8 * 1024, str(tmp_path / "layout"))
+    m = p6_topn.manifest(layout).toPandas()
+    assert (m.g_low < m.g_high).mean() > 0.9
+    read = sum(p6_topn.read_skipping(x, 5)[1] for _, x in m.groupby("path"))
+    assert read < 0.5 * len(m)
+    again = p6_topn.layout_at(spark, str(tmp_path / "layout"))  # read by a later call
+    got = {(r.g, r["item"]) for r in p6_topn.top_of(again).collect()}
+    best = df.groupBy("g0").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "id"))), 1, 5).alias("x")).select("g0", F.explode("x.id").alias("id"))
+    assert got == {(r.g0, r.id) for r in best.collect()}
+
+
 def test_p7_follows_the_order(spark):
     rng = random.Random(7)
     hist = [(f"h{i}", text(rng)) for i in range(40)] + [("hn", None)]
