@@ -358,7 +358,7 @@ def test_p8_packs_every_token_once(spark):
     assert p8_pack.packed(df.where("false"), "id", "text").count() == 0
 
 
-def test_p9_finds_what_brute_force_finds(spark):
+def test_p9_finds_what_brute_force_finds(spark, monkeypatch):
     rng = random.Random(10)
     items = [(i, text(rng, 20)) for i in range(12)] + [(50, "short item"), (51, None)]
     docs = []
@@ -383,9 +383,25 @@ def test_p9_finds_what_brute_force_finds(spark):
     bags = [(d, words(x)) for d, x in docs if d is not None]
     truth = {(d, i) for d, w in bags for k in range(len(w) - 11) for i in grams.get(tuple(w[k : k + 12]), ())}
     assert got == truth and len(truth) > 8
+    monkeypatch.setattr(p9_leaks, "BLOCK", 3)  # several blocks of the index in one pass
+    assert {tuple(r) for r in p9_leaks.found(D, I).collect()} == truth
     assert p9_leaks.found(D.where("false"), I).count() == 0 and p9_leaks.found(D, I.where("false")).count() == 0
 
 
+def test_p9_near_passages(spark):
+    """A word changed, left out or put in amid a passage: a near leak of one edit; two changes apart leave none of twelve words."""
+    rng = random.Random(12)
+    item = [f"{rng.choice(VOCABULARY)}{i}" for i in range(20)]
+    changed, left, put = item[:10] + ["other"] + item[11:], item[:9] + item[10:], item[:10] + ["more"] + item[10:]
+    twice = item[:5] + ["one"] + item[6:12] + ["two"] + item[13:]
+    around = lambda w: " ".join([text(rng, 15), *w, text(rng, 15)])
+    D = spark.createDataFrame([(1, around(item)), (2, around(changed)), (3, around(left)), (4, around(put)), (5, around(twice)), (6, text(rng, 50))], "doc_id long, text string")
+    I = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")  # noqa: E741
+    got = {r.doc: (r.words, r.near_words, r.edits) for r in p9_leaks.leaks(D, I).collect()}
+    assert got == {1: (20, 20, 0), 2: (10, 19, 1), 3: (10, 19, 1), 4: (10, 20, 1), 5: (7, 13, 1)}
+    assert {tuple(r) for r in p9_leaks.found(D, I).collect()} == {(1, 7)}
+
+
 @pytest.mark.parametrize("body", ["One two three. " * 900, "para one here\n\n" * 700, "x" * 30000, "据东砚消息，选票丢失。" * 600, "word " * 5000, "A: turn one\nB: turn two goes on\n" * 500])
 def test_p10_pieces_round_trip(body):
     t = tokens()

@@ -17,6 +17,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -65,6 +66,8 @@ _ELISIONS = frozenset("l d qu n s j c m t jusqu lorsqu puisqu".split())
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _PLAIN = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+(?:[.,:]\d+)*|[^\w\s]")
+_HAN, _CYRILLIC, _GREEK, _ARABIC = (re.compile(x) for x in ("[一-鿿]", "[Ѐ-ӿ]", "[Ͱ-Ͽ]", "[؀-ۿ]"))
+_OTHER_SCRIPT = re.compile("[一-鿿Ѐ-ӿͰ-Ͽ؀-ۿ]")
 _SPACED = re.compile(r"\S+")
 _CLOSED = re.compile(r"[.!?。！？…‽؟]['\"”’»)\]】」]*$|[.!?。！？…]\s*(?:[#@]\S+\s*)*$")
 
@@ -135,17 +138,30 @@ class SuffixAutomaton:
         return sum(e - s for s, e in self.matches(words, least))
 
 
+class Prompt:
+    """An input's words, and its automaton once an answer asks for it."""
+
+    def __init__(self, given: str):
+        self.words = _PLAIN.findall(consistent(given).lower())
+        self.pairs = set(zip(self.words, self.words[1:]))
+
+    @cached_property
+    def automaton(self) -> SuffixAutomaton:
+        return SuffixAutomaton(self.words)
+
+
+#: Answers to one input lie together, so few inputs need to be remembered.
+prompt = lru_cache(maxsize=512)(Prompt)
+
+
 def copied_share(answer: str | None, given: str | None) -> tuple[float, bool]:
     """(share of the answer's words in matches of two or more words with the input, whether the answer is a copy of the input)."""
     if not answer or not given:
         return 0.0, False
-    a, g = _PLAIN.findall(consistent(answer).lower()), _PLAIN.findall(consistent(given).lower())
-    if not a or not g:
-        return 0.0, False
-    if len(g) > 1 and set(zip(g, g[1:])).isdisjoint(zip(a, a[1:])):
+    p, a = prompt(given), _PLAIN.findall(consistent(answer).lower())
+    if not a or not p.words or (p.pairs and p.pairs.isdisjoint(zip(a, a[1:]))):
         return 0.0, False  # no match of two words
-    automaton = SuffixAutomaton(g)
-    return automaton.copied(a, min(2, len(g))) / len(a), copies(automaton, a, g)
+    return p.automaton.copied(a, min(2, len(p.words))) / len(a), copies(p.automaton, a, p.words)
 
 
 def copies(automaton: SuffixAutomaton, a: list[str], g: list[str], added: int = 3) -> bool:
@@ -187,14 +203,14 @@ def _speaks_refusal(plain: str) -> bool:
 
 def votes(text: str | None) -> list[list[str]]:
     """The languages each stop word votes for, one entry a word; an elision votes for French or English, a script decides alone."""
-    letters = [c for c in text or "" if c.isalpha()]
-    if letters and sum("一" <= c <= "鿿" for c in letters) > 0.4 * len(letters):
-        return [["zh"]] * len(letters)
-    for name, lo, hi in (("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ"), ("ar", "؀", "ۿ")):
-        if letters and sum(lo <= c <= hi for c in letters) > 0.5 * len(letters):
-            return [[name]] * len(letters)
+    text = text or ""
+    if _OTHER_SCRIPT.search(text):
+        letters = sum(map(str.isalpha, text))
+        for name, script, share in (("zh", _HAN, 0.4), ("ru", _CYRILLIC, 0.5), ("el", _GREEK, 0.5), ("ar", _ARABIC, 0.5)):
+            if letters and len(script.findall(text)) > share * letters:
+                return [[name]] * letters
     out = []
-    for w in _WORD.findall((text or "").lower()):
+    for w in _WORD.findall(text.lower()):
         langs = _STOP.get(w)
         if langs is None and ("'" in w or "’" in w):
             head, tail = re.split("['’]", w, maxsplit=1)
@@ -204,6 +220,7 @@ def votes(text: str | None) -> list[list[str]]:
     return out
 
 
+@lru_cache(maxsize=512)
 def languages(text: str | None) -> list[str]:
     """The language with most votes and those within a vote of it; empty without votes."""
     count = Counter(lang for langs in votes(text) for lang in langs)
@@ -373,6 +390,12 @@ def defects_of(judged: DataFrame, texts: DataFrame) -> DataFrame:
     return every.where("sentence_id is not null and answer_of is not null").groupBy("src", "sentence_id", "answer_of").agg(F.min("defect").alias("defect"))
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """Repeated rows once, rows of a sentence one after another: its input is then read once. Ids are unique but for a few answers each;
+    rows without an id, which give no answer, are left out rather than gathered."""
+    return rows.where("sentence_id is not null").repartition("sentence_id").distinct().sortWithinPartitions("sentence_id")
+
+
 def answers_of_responses(raw: DataFrame) -> DataFrame:
     """Answers of raw_responses: the reasoning; the input is the claim in the last user message of the prompt."""
 
@@ -390,7 +413,7 @@ def answers_of_responses(raw: DataFrame) -> DataFrame:
                 broken.append(b)
             yield pd.DataFrame({"src": "raw_responses", "sentence_id": pdf["sentence_id"], "answer_of": pdf["module"], "answer": answer, "given": given, "failed": pdf["error"].notna(), "broken": broken})
 
-    return raw.select("sentence_id", "module", "prompt_messages", "response_json", "error").distinct().mapInPandas(run, _ANSWERS)
+    return together(raw.select("sentence_id", "module", "prompt_messages", "response_json", "error")).mapInPandas(run, _ANSWERS)
 
 
 _ANSWERS = "src string, sentence_id string, answer_of string, answer string, given string, failed boolean, broken boolean"
@@ -414,7 +437,7 @@ def answers_of_normalizations(norm: DataFrame) -> DataFrame:
             yield pd.DataFrame({"src": "normalizations", "sentence_id": pdf["sentence_id"], "answer_of": pdf["model_name"], "answer": answer, "given": pdf["text"], "failed": pdf["error"].notna(), "broken": broken})
 
     rows = norm.where("not (normalized_claim is null and error is null and not coalesce(has_claim, false))")
-    return rows.select("sentence_id", "model_name", "text", "normalized_claim", "error").distinct().mapInPandas(run, _ANSWERS)
+    return together(rows.select("sentence_id", "model_name", "text", "normalized_claim", "error")).mapInPandas(run, _ANSWERS)
 
 
 def corpus(raw: DataFrame, norm: DataFrame) -> tuple[DataFrame, DataFrame]:

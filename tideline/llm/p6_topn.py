@@ -47,7 +47,7 @@ def layout_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LAYOUT).parquet(path)
 
 
-def _open(path: str):
+def open_parquet(path: str):
     """A Parquet file of any file system that Arrow knows; local paths without a scheme too."""
     import pyarrow.fs as fs
     import pyarrow.parquet as pq
@@ -71,7 +71,7 @@ def manifest(layout: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for path in pdf["path"]:
-                meta = _open(path).metadata
+                meta = open_parquet(path).metadata
                 names = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
                 for rg in range(meta.num_row_groups):
                     m = meta.row_group(rg)
@@ -113,7 +113,7 @@ def read_skipping(groups_of_rows: pd.DataFrame, n: int) -> tuple[pd.DataFrame, i
         if r.g_low == r.g_high and r.top < floors(np.array([r.g_low]))[0]:
             continue
         if r.path not in files:
-            files[r.path] = _open(r.path)
+            files[r.path] = open_parquet(r.path)
         g = files[r.path].read_row_group(r.rg, columns=["g"]).column("g").to_numpy()
         least = floors(g)
         if r.top < least.min():
