@@ -5,7 +5,8 @@ item, of at least L characters, that stands in a document with at most ``EDITS``
 L - q + 1 - q * EDITS of its character q-grams with it, all in a band of neighbouring diagonals (document place minus item place). Shared
 q-grams are counted in overlapping bands; each region with enough is verified by banded alignment of its words, which gives the most
 words in a row that are equal (no edit) and that are equal but for one word changed, put in or left out.
-What `found` reports are the alignments without an edit; `leaks` has the near ones too.
+What `found` reports are the alignments without an edit; `leaks` has the near ones too: all with ``EDITS`` characters edited, and those
+with a word changed whose other words share enough q-grams.
 
 The items' index is built by tasks and written in blocks of about ``BLOCK`` items to the shared folder. Documents are cleaned and hashed
 once, in one pass for any number of items, and never shuffled; each task takes the blocks one after another, and keeps at most
@@ -29,7 +30,7 @@ from tideline.llm.p6_topn import open_parquet
 from tideline.llm.textforms import word_hash, words
 from tideline.operators.staging import stage
 
-RUN, EDITS, BLOCK, HELD = 12, 3, 5000, 4
+RUN, EDITS, BLOCK, HELD = 12, 1, 5000, 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,22 +143,26 @@ def regions(index: ItemIndex, docs: Documents) -> list[tuple[int, int, np.ndarra
     doc = np.searchsorted(docs.starts, place, "right") - 1
     place = place - docs.starts[doc]
     item, at = index.item[entry], index.at[entry]
-    # overlapping bands of width 2 (edits + 1): a passage drifting by at most ``edits`` lies wholly in one of them
+    # bands of width edits + 1, each counted with its right neighbour: a passage drifting by at most ``edits`` lies wholly in two such
     band = np.floor_divide(place - at, index.edits + 1)
-    doc, item, band, place, at = (np.concatenate([x, y]) for x, y in ((doc, doc), (item, item), (band, band - 1), (place, place), (at, at)))
-    order = np.lexsort((place, band, item, doc))
-    doc, item, band, place, at = doc[order], item[order], band[order], place[order], at[order]
-    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
-    count = np.diff(np.r_[first, len(doc)])
-    keep = count >= index.need[item[first]]
-    out, before = [], None
-    for f, c in zip(first[keep].tolist(), count[keep].tolist()):
-        if before and before[:2] == (doc[f], item[f]) and before[2] == band[f] - 1:  # neighbouring bands are one region
-            a, b = out[-1][2:]
-            out[-1] = (int(doc[f]), int(item[f]), np.concatenate([a, place[f : f + c]]), np.concatenate([b, at[f : f + c]]))
-        else:
-            out.append((int(doc[f]), int(item[f]), place[f : f + c], at[f : f + c]))
-        before = doc[f], item[f], band[f]
+    low_band, bands = int(band.min()), int(band.max() - band.min()) + 2
+    key = (doc * len(index.ids) + item) * bands + (band - low_band)
+    order = np.argsort(key, kind="stable")
+    key, place, at = key[order], place[order], at[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count, group = np.diff(np.r_[first, len(key)]), key[first]
+    pair = group // bands
+    need = index.need[pair % len(index.ids)]
+    next_to = np.r_[(group[1:] == group[:-1] + 1) & (pair[1:] == pair[:-1]), False]  # the group's right neighbour has shared q-grams too
+    both = count + np.where(next_to, np.r_[count[1:], 0], 0) >= need
+    kept = both | np.r_[False, (both & next_to)[:-1]]
+    out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    joins = np.r_[False, (kept[:-1] & kept[1:] & next_to[:-1])]
+    begin = np.flatnonzero(kept & ~joins)
+    end = np.flatnonzero(kept & ~np.r_[joins[1:], False])
+    for f, last in zip(begin.tolist(), end.tolist()):  # kept neighbours are one region
+        x, y = int(first[f]), int(first[last] + count[last])
+        out.append((int(pair[f]) // len(index.ids), int(pair[f]) % len(index.ids), place[x:y], at[x:y]))
     return out
 
 
