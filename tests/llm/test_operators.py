@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.llm import p1_splits, p2_unify, p3_pii, p4_edits, p5_pairs, p6_topn, p7_history, p8_pack, p9_leaks, p10_split
-from tideline.llm.fmindex import WordIndex
+from tideline.llm.fmindex import WordIndex, extend
 from tideline.llm.sketch import banded_distance, occurrence_labels
 from tideline.llm.textforms import words
 from tideline.llm.tokens import tokens
@@ -130,16 +130,28 @@ def test_word_index_equals_scanning():
     pats = [np.array([rng.randrange(1, 10) for _ in range(rng.randrange(1, 8))], np.int64) for _ in range(20)]
     off = np.concatenate([[0], np.cumsum([len(p) for p in pats])])
     row = np.repeat(np.arange(20), np.diff(off))
-    _, _, length, low, high = index.maximal_match(index.codes(np.concatenate(pats)), off, np.arange(off[-1]), row)
-    which, where = index.locate(low, high)
+    flat = np.concatenate(pats)
+    low, high = index.search(index.codes(flat), np.zeros(len(flat), np.int64), np.full(len(flat), index.n, np.int64))
+    which, where, at = index.locate(low, high)
     for e in range(off[-1]):
-        p, k = pats[row[e]], e - off[row[e]]
-        best, hits = 0, []
-        for n in range(1, k + 2):
-            occ = [i for i, x in enumerate(texts) for j in range(len(x) - n + 1) if (x[j : j + n] == p[k - n + 1 : k + 1]).all()]
-            if occ:
-                best, hits = n, occ
-        assert best == length[e] and sorted(where[which == e].tolist()) == sorted(hits)
+        hits = [(i, j) for i, x in enumerate(texts) for j in range(len(x)) if x[j] == flat[e]]
+        assert sorted(zip(where[which == e].tolist(), at[which == e].tolist())) == hits
+    two = np.flatnonzero(row[1:] == row[:-1]) + 1  # a second step to the left: pairs of words
+    lo, hi = index.search(index.codes(flat[two - 1]), low[two], high[two])
+    for k, e in enumerate(two):
+        assert hi[k] - lo[k] == sum(x[j] == flat[e - 1] and x[j + 1] == flat[e] for x in texts for j in range(len(x) - 1))
+    b = np.concatenate(texts)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    i = row[which]
+    first, last = extend(flat, off[i], off[i + 1], b, starts[where], starts[where + 1], which, starts[where] + at)
+    for n in range(len(which)):
+        p, x, u, v = pats[i[n]], texts[where[n]], which[n] - off[i[n]], at[n]
+        s = e = 0
+        while u - s > 0 and v - s > 0 and p[u - s - 1] == x[v - s - 1]:
+            s += 1
+        while u + e + 1 < len(p) and v + e + 1 < len(x) and p[u + e + 1] == x[v + e + 1]:
+            e += 1
+        assert (first[n] - off[i[n]], last[n] - off[i[n]]) == (u - s, u + e + 1)
 
 
 def test_p1_finds_what_brute_force_finds(spark):

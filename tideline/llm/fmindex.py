@@ -80,32 +80,12 @@ class WordIndex:
         lo, hi = self.before[c] + self.rank(c, low), self.before[c] + self.rank(c, high)
         return np.where(none, 0, lo), np.where(none, 0, hi)
 
-    def maximal_match(self, codes: np.ndarray, offsets: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each pattern end (a position in the flat codes): first-word interval (low, high), and length and interval of the longest match leftwards."""
-        low, high = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
-        l1, h1 = self.search(codes[end], low, high)
-        length = (h1 > l1).astype(np.int64)
-        best_l, best_h = l1.copy(), h1.copy()
-        live = np.flatnonzero(length)
-        at, lo, hi = end[live] - 1, l1[live], h1[live]
-        while len(live):
-            ok = at >= offsets[row[live]]
-            live, at, lo, hi = live[ok], at[ok], lo[ok], hi[ok]
-            if not len(live):
-                break
-            lo, hi = self.search(codes[at], lo, hi)
-            ok = hi > lo
-            live, at, lo, hi = live[ok], at[ok] - 1, lo[ok], hi[ok]
-            length[live] += 1
-            best_l[live], best_h[live] = lo, hi
-        return l1, h1, length, best_l, best_h
-
-    def locate(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which interval, text number) of every entry of the intervals."""
+    def locate(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which interval, text number, word of the text where the match starts) of every entry of the intervals."""
         size = high - low
         which = np.repeat(np.arange(len(low)), size)
         if not len(which):
-            return which, which
+            return which, which, which
         at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
         steps, position = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
         live = np.arange(len(at))
@@ -126,7 +106,24 @@ class WordIndex:
                 live, symbol = live[~stop], symbol[~stop]
             at[live] = self.before[symbol] + self.rank(symbol, at[live])
             steps[live] += 1
-        return which, np.searchsorted(self.starts, position, side="right") - 1
+        text = np.searchsorted(self.starts, position, side="right") - 1
+        return which, text, position - self.starts[text]
 
     def _start_of(self, at: np.ndarray) -> np.ndarray:
         return self.text_starts[np.searchsorted(self.text_start_at, at)]
+
+
+def extend(a: np.ndarray, a_low: np.ndarray, a_high: np.ndarray, b: np.ndarray, b_low: np.ndarray, b_high: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal matches around equal words ``a[at] == b[to]``: (first, end) in ``a``; a match stays within [low, high) on either side."""
+    out = []
+    for step in (-1, 1):
+        size = np.zeros(len(at), np.int64)
+        live = np.arange(len(at))
+        while len(live):
+            i, j = at[live] + step * (size[live] + 1), to[live] + step * (size[live] + 1)
+            ok = (i >= a_low[live]) & (j >= b_low[live]) if step < 0 else (i < a_high[live]) & (j < b_high[live])
+            live, i, j = live[ok], i[ok], j[ok]
+            live = live[a[i] == b[j]]
+            size[live] += 1
+        out.append(size)
+    return at - out[0], at + out[1] + 1

@@ -1,9 +1,9 @@
 """Problem 1: same or near-same records across splits.
 
 Method: compressed full-text index of evaluation shards. The word sequences of evaluation texts are indexed shard by shard
-(run-length BWT); the training texts of the shard are streamed through backward search, which gives the maximal matches around
-their rare words and the evaluation texts holding them. The spans shared with each such text are merged to a count of shared words,
-and the count decides.
+(run-length BWT); the training texts of the shard are streamed through backward search from their rare words, and every place found
+is extended to a maximal match. The matches of a pair are merged to spans and the words they cover counted; pairs whose spans hold
+too few words get an exact count of all words before they are given up.
 
 Nothing is lost: texts of similarity s or more share one of their first n - ceil(s n) + 1 words in any fixed order of words
 (rarest first here). Evaluation and training texts go to the shards of those words only, so the work grows with the records,
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.fmindex import WordIndex
+from tideline.llm.fmindex import WordIndex, extend
 from tideline.llm.p4_edits import one_a_class
 from tideline.llm.sketch import class_counts, mix
 from tideline.llm.wordsets import flat_of, frequent_words, word_rows
@@ -60,54 +60,89 @@ def routed(classes: DataFrame, hot: np.ndarray, counts: np.ndarray, least: float
     return classes.select("cls", "seq").mapInArrow(run, "shard long, cls long, anchors array<int>, seq array<int>")
 
 
-def search_shard(train: pd.DataFrame, held: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Pairs of one shard: ``a`` (train class), ``b`` (evaluation class), ``similarity``, ``shared`` words, ``longest`` match at an anchor."""
-    none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64"), "shared": pd.Series(dtype="int32"), "longest": pd.Series(dtype="int32")})
-    if not len(train) or not len(held):
-        return none
-    as_words = lambda x: np.asarray(x, np.int32).view(np.uint32).astype(np.int64)
-    texts = [as_words(x) for x in held["seq"]]
-    index = WordIndex(texts)
-    lines = [as_words(x) for x in train["seq"]]
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
-    codes = index.codes(np.concatenate(lines))
-    row, end = [], []
-    for i, anchors in enumerate(train["anchors"]):
-        at = np.flatnonzero(np.isin(lines[i], as_words(anchors)))
-        row += [i] * len(at)
-        end += (offsets[i] + at).tolist()
-    row_, end_ = np.array(row, np.int64), np.array(end, np.int64)
-    low, high, length, best_l, best_h = index.maximal_match(codes, offsets, end_, row_)
-    tw, hw = [np.unique(x) for x in lines], [np.unique(x) for x in texts]
-    tn, hn = np.array([len(x) for x in tw]), np.array([len(x) for x in hw])
-    pivots = lambda sets: class_counts(np.concatenate(sets).astype(np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64), CLASSES)
-    tp, hp = pivots(tw), pivots(hw)
-    longest: dict[tuple[int, int], int] = {}
-    out = []
-    done: set[int] = set()
-    step = 200_000
-    size = high - low
-    cuts = np.flatnonzero(np.diff(np.cumsum(size) // step)) + 1
-    for part in np.split(np.arange(len(end_)), cuts):  # bounded memory: about ``step`` located entries at a time
-        which, text = index.locate(low[part], high[part])
-        pair = np.unique(row_[part][which] * len(texts) + text)
-        i, j = pair // len(texts), pair % len(texts)
-        fits = (np.minimum(tn[i], hn[j]) >= least * np.maximum(tn[i], hn[j]) - 1e-9) & (np.abs(tp[i] - hp[j]).sum(1) <= (1 - least) / (1 + least) * (tn[i] + hn[j]) + 1e-9)
-        for x, y in zip(i[fits].tolist(), j[fits].tolist()):
-            if x * len(texts) + y in done:
+NO_PAIRS = {"a": "int64", "b": "int64", "similarity": "float64", "shared": "int32", "spans": "int32", "longest": "int32"}
+
+
+class Side:
+    """The texts of one side of a shard: flat words, where each text starts, distinct words, their number and counts by vocabulary class."""
+
+    def __init__(self, sequences: pd.Series):
+        texts = [np.asarray(x, np.int32).view(np.uint32).astype(np.int64) for x in sequences]
+        self.texts, self.flat = texts, np.concatenate(texts)
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+        both = np.unique(np.repeat(np.arange(len(texts)), np.diff(self.starts)) << 32 | self.flat)
+        self.sets = both  # text << 32 | word, sorted
+        self.n = np.bincount(both >> 32, minlength=len(texts))
+        self.ends = np.concatenate([[0], np.cumsum(self.n)])
+        self.pivots = class_counts((both & 0xFFFFFFFF).astype(np.uint32), self.ends, CLASSES)
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, element) of the ranges [first, first + size)."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def shared_words(t: Side, h: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distinct words that texts i and j have in common."""
+    which, at = spread(t.ends[i], t.n[i])
+    asked = j[which] << 32 | (t.sets[at] & 0xFFFFFFFF)
+    got = np.minimum(np.searchsorted(h.sets, asked), len(h.sets) - 1)
+    return np.bincount(which, h.sets[got] == asked, len(i)).astype(np.int64)
+
+
+def search_shard(train: pd.DataFrame, held: pd.DataFrame, least: float, step: int = 500_000) -> pd.DataFrame:
+    """Pairs of one shard: ``a`` (train class), ``b`` (evaluation class), ``similarity``, ``shared`` words, ``spans`` and ``longest`` of the merged matches.
+
+    Backward search of the train texts' anchors gives where evaluation texts have them; around each the match is maximal. The matches of
+    a pair are merged, and the words they cover are counted. A pair whose count suffices is found; where it doesn't, words outside these
+    matches may still be shared, and are added before the pair is given up. About ``step`` located entries are held at a time."""
+    out: list[pd.DataFrame] = []
+    if len(train) and len(held):
+        t, h = Side(train["seq"]), Side(held["seq"])
+        index = WordIndex(h.texts)
+        anchor = [np.asarray(x, np.int32).view(np.uint32).astype(np.int64) for x in train["anchors"]]
+        wanted = np.unique(np.concatenate([np.full(len(x), k) << 32 | x for k, x in enumerate(anchor)]))
+        row = np.repeat(np.arange(len(t.texts)), np.diff(t.starts))
+        key = row << 32 | t.flat
+        end = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
+        low, high = index.search(index.codes(t.flat[end]), np.zeros(len(end), np.int64), np.full(len(end), index.n, np.int64))
+        # a part ends between texts, so that all matches of a pair are together
+        cuts = np.flatnonzero((np.diff(np.cumsum(high - low) // step) > 0)) + 1
+        cuts = np.unique(np.searchsorted(row[end], row[end[cuts]]))
+        for part in np.split(np.arange(len(end)), cuts[(cuts > 0) & (cuts < len(end))]):
+            which, j, to = index.locate(low[part], high[part])
+            at = end[part][which]
+            i = row[at]
+            fits = (np.minimum(t.n[i], h.n[j]) >= least * np.maximum(t.n[i], h.n[j]) - 1e-9)
+            at, i, j, to = at[fits], i[fits], j[fits], to[fits]
+            pair, back = np.unique(i * len(h.texts) + j, return_inverse=True)
+            x, y = pair // len(h.texts), pair % len(h.texts)
+            near = np.abs(t.pivots[x] - h.pivots[y]).sum(1) <= (1 - least) / (1 + least) * (t.n[x] + h.n[y]) + 1e-9
+            keep = near[back]
+            at, i, j, to, back = at[keep], i[keep], j[keep], to[keep], back[keep]
+            if not len(at):
                 continue
-            shared = len(np.intersect1d(tw[x], hw[y], assume_unique=True))
-            if shared >= least * (tn[x] + hn[y] - shared) - 1e-9:
-                done.add(x * len(texts) + y)
-                out.append((x, y, shared))
-        which, text = index.locate(best_l[part], best_h[part])
-        for x, y, n in zip(row_[part][which].tolist(), text.tolist(), length[part][which].tolist()):
-            if x * len(texts) + y in done:
-                longest[x, y] = max(n, longest.get((x, y), 0))
-    if not out:
-        return none
-    x, y, shared = (np.array(c) for c in zip(*out))
-    return pd.DataFrame({"a": train["cls"].to_numpy()[x], "b": held["cls"].to_numpy()[y], "similarity": shared / (tn[x] + hn[y] - shared), "shared": shared.astype("int32"), "longest": np.array([longest.get(p, 1) for p in zip(x.tolist(), y.tolist())], "int32")})
+            first, last = extend(t.flat, t.starts[i], t.starts[i + 1], h.flat, h.starts[j], h.starts[j + 1], at, h.starts[j] + to)
+            span = np.unique(np.stack([back, first, last], 1), axis=0)
+            fresh = np.r_[True, (span[1:, 0] != span[:-1, 0]) | (span[1:, 1] > span[:-1, 2])]  # overlapping matches are one span
+            p, place = spread(span[:, 1], span[:, 2] - span[:, 1])
+            words = np.unique(np.stack([span[p, 0], t.flat[place]], 1), axis=0)
+            count = np.bincount(words[:, 0], minlength=len(pair))
+            spans = np.bincount(span[fresh, 0], minlength=len(pair))
+            longest = np.zeros(len(pair), np.int64)
+            np.maximum.at(longest, span[:, 0], span[:, 2] - span[:, 1])
+            live = np.flatnonzero(near)
+            x, y, count, spans, longest = x[live], y[live], count[live], spans[live], longest[live]
+            enough = lambda c: c >= least * (t.n[x] + h.n[y] - c) - 1e-9
+            by_spans = enough(count)
+            shared = np.where(by_spans, count, 0)
+            shared[~by_spans] = shared_words(t, h, x[~by_spans], y[~by_spans])
+            found = enough(shared)
+            x, y, spans, longest = x[found], y[found], spans[found], longest[found]
+            shared = shared_words(t, h, x, y)  # few; the report needs the exact similarity
+            out.append(pd.DataFrame({"a": train["cls"].to_numpy()[x], "b": held["cls"].to_numpy()[y], "similarity": shared / (t.n[x] + h.n[y] - shared), "shared": shared, "spans": spans, "longest": longest}).astype(NO_PAIRS))
+    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=k) for c, k in NO_PAIRS.items()})
 
 
 def class_overlaps(train: DataFrame, held: DataFrame, least: float, texts_a_shard: int = 4000) -> DataFrame:
@@ -125,19 +160,19 @@ def class_overlaps(train: DataFrame, held: DataFrame, least: float, texts_a_shar
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return search_shard(a, b, least)
 
-    found = t.select(*keys, "cls", "anchors", "seq").groupBy(*keys).cogroup(h.select(*keys, "cls", "seq").groupBy(*keys)).applyInPandas(run, "a long, b long, similarity double, shared int, longest int")
-    return found.groupBy("a", "b").agg(F.first("similarity").alias("similarity"), F.first("shared").alias("shared"), F.max("longest").alias("longest"))
+    found = t.select(*keys, "cls", "anchors", "seq").groupBy(*keys).cogroup(h.select(*keys, "cls", "seq").groupBy(*keys)).applyInPandas(run, "a long, b long, similarity double, shared int, spans int, longest int")
+    return found.groupBy("a", "b").agg(F.first("similarity").alias("similarity"), F.first("shared").alias("shared"), F.min("spans").alias("spans"), F.max("longest").alias("longest"))
 
 
 def overlaps(df: DataFrame, key: str = "sentence_id", text: str = "text", split: str = "split", least: float = 0.8) -> DataFrame:
-    """``key_t`` (train), ``key_e`` (evaluation), ``split``, ``similarity``, ``shared``, ``longest`` for every overlapping pair of keys."""
+    """``key_t`` (train), ``key_e`` (evaluation), ``split``, ``similarity``, ``shared``, ``spans``, ``longest`` for every overlapping pair of keys."""
     rows = df.where(F.col(key).isNotNull() & F.col(split).isNotNull())
     is_train = F.lower(F.trim(F.col(split))) == "train"
     train, held = (stage(word_rows(x, key, text), n) for x, n in ((rows.where(is_train), "train-rows"), (rows.where(~is_train), "held-rows")))
     pairs = stage(class_overlaps(train, held, least), "overlaps")
     a, b = train.select(F.col("cls").alias("a"), F.col("key").alias("key_t")).distinct(), held.select(F.col("cls").alias("b"), F.col("key").alias("key_e")).distinct()
     named = rows.where(~is_train).select(F.col(key).cast("string").alias("key_e"), F.col(split).alias("split")).distinct()
-    return pairs.join(a, "a").join(b, "b").where("key_t != key_e").join(named, "key_e").select("key_t", "key_e", "split", "similarity", "shared", "longest")
+    return pairs.join(a, "a").join(b, "b").where("key_t != key_e").join(named, "key_e").select("key_t", "key_e", "split", "similarity", "shared", "spans", "longest")
 
 
 def found(df: DataFrame, key: str = "sentence_id") -> DataFrame:
