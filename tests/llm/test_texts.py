@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from tideline.llm import p5_pairs as P5
 from tideline.llm.pii_detect import entity, find
-from tideline.llm.textforms import consistent, skeleton, words
+from tideline.llm.textforms import consistent, has_lookalikes, skeleton, words
 
 NAMES = frozenset({"alina", "olga", "mark", "grace", "hope"})
 
@@ -83,3 +83,16 @@ def test_defects():
 def test_suffix_automaton_coverage():
     a = P5.SuffixAutomaton("a b c d e".split())
     assert a.copied("x b c y d e".split()) == 4 and a.copied("q w".split()) == 0 and a.copied([]) == 0
+
+
+def test_skeletons_of_originals():
+    for a, b in (("paypal", "paypa1"), ("PayPaI", "PayPal"), ("corn", "com"), ("O", "0"), ("ｆｕｌｌ", "full"), ("pаypаl", "paypal"), ("cafe\u0301", "café"), ("ﬁne", "fine"), ("ᎪB", "AB"), ("a\u200bb", "ab"), ("a\u00a0b", "a b")):
+        assert skeleton(a) == skeleton(b), (a, b)
+    assert skeleton(None) is None and skeleton("") == "" and skeleton("north") != skeleton("south")
+
+
+@given(st.text(st.sampled_from("aаοο0OlI1m рс\u0301é\u200dñｗ ﬁ中Ꭺбж\u00a0"), max_size=30))
+def test_a_form_has_its_texts_skeleton_and_no_difference_escapes_it(t):
+    form, bones = consistent(t), skeleton(t)
+    assert skeleton(form) == bones
+    assert form == t or has_lookalikes(t, bones)

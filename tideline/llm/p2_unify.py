@@ -1,7 +1,10 @@
 """Problem 2: visually identical text with different characters.
 
-Method: confusables skeleton. Each text is decomposed, every character replaced by its prototype from the look-alike table
-and decomposed again; texts with equal skeletons are one group and share one consistent form.
+Method: confusables skeleton. Each original is decomposed, every character replaced by its prototype from the look-alike table (other
+alphabets, full-width and joined forms, invisible characters and odd spaces, and look-alikes within ASCII) and decomposed again.
+Texts with equal skeletons look the same and are one group (`spellings`). A text in whose skeleton nothing but ASCII was replaced is
+consistent as it stands; the others get their consistent form, in which each word's look-alikes are those of its own alphabet, and an
+exact comparison tells whether they differ from it.
 
 Cases: a null text gives null skeleton and form and is unchanged; an empty text is its own form; any length works (one pass over
 the characters); repeated rows give repeated rows; extra columns are ignored; an empty table gives an empty table."""
@@ -15,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.textforms import consistent, skeleton
+from tideline.llm.textforms import consistent, has_lookalikes, skeleton
 
 
 def unify(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -23,9 +26,10 @@ def unify(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            form = [consistent(t) for t in pdf["text"]]
-            bones = [None if t is None else xxhash.xxh64_intdigest(skeleton(t).encode("utf-8", "surrogatepass")) - (1 << 63) for t in form]
-            yield pd.DataFrame({"key": pdf["key"], "text": pdf["text"], "skeleton_id": pd.array(bones, "Int64"), "form": form, "changed": [f != t for f, t in zip(form, pdf["text"])]})
+            bones = [skeleton(t) for t in pdf["text"]]
+            form = [consistent(t) if t is not None and has_lookalikes(t, b) else t for t, b in zip(pdf["text"], bones)]
+            ids = [None if b is None else xxhash.xxh64_intdigest(b.encode("utf-8", "surrogatepass")) - (1 << 63) for b in bones]
+            yield pd.DataFrame({"key": pdf["key"], "text": pdf["text"], "skeleton_id": pd.array(ids, "Int64"), "form": form, "changed": [f != t for f, t in zip(form, pdf["text"])]})
 
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run, "key string, text string, skeleton_id long, form string, changed boolean")
@@ -37,12 +41,14 @@ def suspicious(text: str):
 
 
 def spellings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Groups of equal skeletons with more than one spelling: number of texts and spellings, and the form they share.
+    """Groups of equal skeletons with more than one spelling: numbers of texts, spellings and consistent forms, and the form of most texts.
 
     Spellings are counted by hash before the shuffle, so a hot group is pre-aggregated and no group is gathered."""
     rows = unify(df, key, text).where("text is not null")
     one = rows.groupBy("skeleton_id", F.xxhash64("text").alias("spelling")).agg(F.count("*").alias("texts"), F.min("form").alias("form"))
-    return one.groupBy("skeleton_id").agg(F.sum("texts").alias("texts"), F.count("*").alias("spellings"), F.min("form").alias("form")).where("spellings > 1")
+    form = one.groupBy("skeleton_id", F.xxhash64("form").alias("f")).agg(F.sum("texts").alias("texts"), F.count("*").alias("spellings"), F.min("form").alias("form"))
+    group = form.groupBy("skeleton_id").agg(F.sum("texts").alias("texts"), F.sum("spellings").alias("spellings"), F.count("*").alias("forms"), F.max(F.struct("texts", "form")).alias("top"))
+    return group.where("spellings > 1").select("skeleton_id", "texts", "spellings", "forms", F.col("top.form").alias("form"))
 
 
 def inconsistent(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -32,12 +32,17 @@ GREEK_LATIN = {
     "ά": "á", "έ": "é", "ή": "ń", "ί": "í", "ό": "ó", "ύ": "ú",
 }
 ARMENIAN_LATIN = {"օ": "o", "ս": "u", "ո": "n", "հ": "h", "ց": "g", "զ": "q", "ա": "w", "յ": "j", "Օ": "O", "Տ": "S", "Լ": "L", "Ս": "U"}
+CHEROKEE_LATIN = {
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮍ": "Y", "Ꮓ": "Z", "Ꭵ": "i", "Ꮒ": "h",
+}
+#: ASCII characters that look alike, in skeletons only: the published prototypes of the Unicode confusables for these.
+ASCII_ALIKE = {"0": "O", "1": "l", "I": "l", "|": "l", "m": "rn", "`": "'", '"': "''"}
 #: Latin letters outside the ordinary alphabets that look like an ordinary one.
 LATIN_LATIN = {"ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ʟ": "l", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ƅ": "b", "ɪ": "i"}
 #: Greek letters that also stand for Cyrillic ones and the reverse are reached through the Latin prototype.
 # -------------------------------------------------------------------------------------------------
 
-PROTOTYPE = {**CYRILLIC_LATIN, **GREEK_LATIN, **ARMENIAN_LATIN, **LATIN_LATIN}
+PROTOTYPE = {**CYRILLIC_LATIN, **GREEK_LATIN, **ARMENIAN_LATIN, **CHEROKEE_LATIN, **LATIN_LATIN}
 _INTO = {
     "CYRILLIC": {v: k for k, v in reversed(CYRILLIC_LATIN.items())},
     "GREEK": {v: k for k, v in reversed(GREEK_LATIN.items())},
@@ -50,7 +55,7 @@ _SUSPECT = re.compile(
     + _INVISIBLE
     + _SPACE
     + "！-～ﬀ-ﬆﬓ-ﬗﭐ-﷿ﹰ-ﻼǄ-ǌǱ-ǳĲĳŉ"
-    + "Ͱ-ϿЀ-ԯԱ-ևἀ-῿KÅ"
+    + "Ͱ-ϿЀ-ԯԱ-ևἀ-῿Ꭰ-ᏽKÅ"
     + "".join(LATIN_LATIN)
     + "]"
 )
@@ -159,15 +164,41 @@ def consistent(text: str | None) -> str | None:
     return text
 
 
+def _members(chars: str) -> list[str]:
+    """The characters of a class written with ranges, all of the basic plane."""
+    return re.findall(f"[{chars}]", "".join(map(chr, range(0x10000))))
+
+
+def _prototypes() -> dict[int, str]:
+    """Look-alike table: prototype of each character, in decomposed form; prototypes of prototypes are followed."""
+    table = {**PROTOTYPE, **ASCII_ALIKE}
+    out = {}
+    for ch, to in table.items():
+        out[ord(ch)] = unicodedata.normalize("NFD", "".join(ASCII_ALIKE.get(c, c) for c in unicodedata.normalize("NFD", to)))
+    out |= {ord(c): "" for c in _members(_INVISIBLE)} | {ord(c): " " for c in _members(_SPACE)}
+    return out
+
+
+_SKELETON = _prototypes()
+
+
 def skeleton(text: str | None) -> str | None:
-    """Look-alike skeleton: decompose, replace every character by its prototype, decompose again.
+    """Look-alike skeleton: decompose, replace every character by its prototype, decompose again; invisible characters are nothing.
 
-    Two texts that look the same have equal skeletons; it is a key for grouping, not a text to read."""
-    if text is None or text.isascii():
-        return text
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
-    text = _FOREIGN.sub(lambda m: PROTOTYPE[m.group()], text)
-    return unicodedata.normalize("NFD", text)
+    Texts that look the same have equal skeletons, whatever their alphabets; it is a key for grouping, not a text to read."""
+    if text is None:
+        return None
+    if text.isascii():
+        return text.translate(_SKELETON)
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFKD", text).translate(_SKELETON))
+
+
+def has_lookalikes(text: str, bones: str) -> bool:
+    """Whether the skeleton ``bones`` replaced anything but ASCII, or the text has accents of their own: only then can its form differ."""
+    return not text.isascii() and (text.translate(_ASCII_ONLY) != bones or not unicodedata.is_normalized("NFC", text))
+
+
+_ASCII_ONLY = {ord(c): to for c, to in ASCII_ALIKE.items()}
 
 
 _LINK = re.compile(r"https?://\S+|@\w+")
