@@ -187,7 +187,7 @@ def test_p3(spark):
     rows = [("1", "Ask Olga Tamby about it. Signed by OLGA TAMBY; tel (415) 555-0119; mail a@b.example"), ("2", None), ("3", ""), ("4", "nothing here"), ("1", "Ask Olga Tamby about it."), ("5", "signed by Nils Tamby;")]
     df = spark.createDataFrame(rows, "id string, text string").withColumn("piece", F.lit(1)).withColumn("key", F.lit(1))
     assert sorted(tuple(r) for r in p3_pii.found(df, "id", "text", "tweets", given).collect()) == [("tweets", "1", "email"), ("tweets", "1", "name"), ("tweets", "1", "phone"), ("tweets", "5", "name")]
-    out = {(r.key, r.redacted): r.surrogate for r in p3_pii.replaced(df, "id", "text", given).collect()}
+    out = {(r.rec_id, r.redacted): r.surrogate for r in p3_pii.replaced([("t", df, "id", "text")], given, "s").collect()}
     red = next(k for k in out if k[0] == "1" and "phone" in k[1])
     assert red[1] == "Ask [name] about it. Signed by [name]; tel [phone]; mail [email]"
     sur = out[red]
@@ -199,7 +199,7 @@ def test_p3(spark):
 def test_p3_surrogates_stay_distinct(spark):
     given = frozenset({"olga"})
     who = [(str(i), f"signed by Olga {a}{b};") for i, (a, b) in enumerate(itertools.product(["Tam", "Sol", "Ver", "Kin"], ["by", "sen", "ini", "worth"]))]
-    out = [r.surrogate for r in p3_pii.replaced(spark.createDataFrame(who, "id string, text string"), "id", "text", given).collect()]
+    out = [r.surrogate for r in p3_pii.replaced([("t", spark.createDataFrame(who, "id string, text string"), "id", "text")], given, "s").collect()]
     assert len(set(out)) == len(out)
 
 
@@ -207,11 +207,49 @@ def test_p3_addresses_keep_only_the_type_of_street(spark):
     texts = ["We met at Calle Glianreisby 175.", "We met at 12 Oak St.", "We met at Lindenstraße 12."]
     numbers = [f"We met at {i} Oak St." for i in range(10, 100)] + [f"passport {i:07d}, " for i in range(1000, 1300)]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts + numbers)], "id string, text string")
-    out = {int(r.key): r.surrogate for r in p3_pii.replaced(df, "id", "text", frozenset()).collect()}
+    out = {int(r.rec_id): r.surrogate for r in p3_pii.replaced([("t", df, "id", "text")], frozenset(), "s").collect()}
     assert "Calle " in out[0] and "Glianreisby" not in out[0] and " St." in out[1] and "Oak" not in out[1] and "straße" in out[2] and "Linden" not in out[2]
     assert len({out[i] for i in range(3, len(out))}) == len(numbers)
 
 
+def test_p3_nothing_of_a_name_or_street_survives(spark, folder):
+    """Over all tweets and posts: no word of three letters of a detected name or street stands in its surrogate, but types of streets."""
+    t, p = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("tweets", "posts"))
+    given = p3_pii.given_names(spark.read.parquet(f"{folder}/name_list.parquet"))
+    pieces = p3_pii.pieces(t, "tweet_id", "text", given).unionByName(p3_pii.pieces(p, "idx", "post", given)).collect()
+    more = [("name", "Иван Петров"), ("name", "Ольга Петрова"), ("name", "Beatriz Lopera"), ("name", "李明"), ("address", "улица Ленина 5"), ("address", "7 Oak Ave"), ("address", "12 Elm St, Boston"), ("address", "Calle Mayor 3")]
+    mac, names = p3_pii.key_of("a secret"), tuple(sorted(given))
+    for kind, piece, who in [(r.pii_type, r.piece, r.entity) for r in pieces] + [(k, x, p3_pii.entity(k, x)) for k, x in more]:
+        if kind in ("name", "address"):
+            made = p3_pii.surrogate(kind, piece, who, mac, 0, names)
+            true = {w for w in words(piece) if len(w) >= 3 and not w.isdigit()} - (p3_pii._ADDRESS_KEPT if kind == "address" else set())
+            assert true.isdisjoint(words(made)), (piece, made)
+            assert [p3_pii.script(c) for c in piece if c.isalpha()][0] == [p3_pii.script(c) for c in made if c.isalpha()][0], (piece, made)
+    assert p3_pii.surrogate("name", "Иван Петров", "иван петров", p3_pii.key_of("other"), 0, names) != p3_pii.surrogate("name", "Иван Петров", "иван петров", mac, 0, names)
+    with pytest.raises(ValueError):
+        p3_pii.key_of("")
+
+
+def test_p3_entities_are_one_over_all_tables_and_never_real(spark):
+    a = spark.createDataFrame([(str(i), f"passport {i:05d}, ") for i in range(3000, 6000)], "id string, text string")
+    b = spark.createDataFrame([("x", "passport 03001, "), ("y", "passport 07777, ")], "id string, body string")
+    out = p3_pii.replaced([("a", a, "id", "text"), ("b", b, "id", "body")], frozenset(), "s").collect()
+    made = {(r.src, r.rec_id): r.surrogate.removeprefix("passport ").strip(" ,") for r in out}
+    assert made["a", "3001"] == made["b", "x"] and len(set(made.values())) == 3001
+    assert not set(made.values()) & {f"{i:05d}" for i in [*range(3000, 6000), 7777]}
+
+
+def test_p3_names_in_sentences_unlike_any_seen():
+    """Names that no list has, in frames of other words than the test tables use."""
+    from tideline.llm.pii_detect import find
+
+    for frame in ("Yesterday I met {} at the fair.", "Her colleague {} was late again.", "We spoke with {} for an hour.", "Then {} phoned us from the station.", "{} lives in the house behind ours.", "The parcel was signed by {} at noon.", "I'm {} and I saw the accident.", "Mi vecina {} tiene la llave.", "Hier {} m'a dit la vérité.", "Gestern hat {} uns geholfen, mein Nachbar {} auch."):
+        for name in ("Ysolde Brimpham", "Tomasz Wieczorek", "Ngozi Adeyemi", "Ana-Lucía Fuentes"):
+            text_ = frame.replace("{}", name)
+            got = [text_[s:e] for k, s, e in find(text_) if k == "name"]
+            assert name in got, (text_, got)
+
+
 def test_p5(spark):
     ask = '[{"role": "user", "content": "Claim: The banks of Xora lost 5 million files in June."}]'
     raw = [("1", "m", ask, '{"reasoning": "The report names the banks and it is on file."}', None), ("2", "m", ask, None, "timed out"), ("3", "m", ask, '{"reasoning": "The report na', None), ("4", "m", ask, '{"reasoning": "I am unable to help with this request."}', None), ("5", "m", ask, '{"reasoning": "The banks of Xora lost 5 million files in June"}', None), ("6", "m", ask, '{"reasoning": "Les banques de la ville ont perdu des dossiers et les maires sont dans le doute."}', None), (None, "m", ask, None, None), ("1", "m", ask, '{"reasoning": "The report names the banks and it is on file."}', None), ("7", "m", None, "not json at all but words.", None)]

@@ -21,8 +21,18 @@ STREET_AFTER = "street|st|avenue|ave|road|rd|lane|ln|drive|dr|boulevard|blvd|cou
 STREET_CLEAR = "blvd|boulevard|ave|avenue|rd|road|lane|ln"
 STREET_BEFORE = "calle|avenida|avda|plaza|paseo|carrer|rua|travessa|rue|avenue|boulevard|allée|chemin|quai|place|viale|piazza|улица|ул|проспект|переулок"
 STREET_JOINED = "straße|strasse|str|weg|gasse|platz|allee|ufer|damm|ring"
-NAME_BEFORE = "named|called|neighbou?r|signed by|mi vecin[ao]|nuestr[ao] vecin[ao]|sat next to|stood next to|talked to|spoke to|spoke with|my name is|name is|name:|llama|se llama|s'appelle|nommée?|heißt|namens|chamad[ao]|зовут"
-NAME_AFTER = "told us|told me|counted them|lo vio|was fired|saw it all|called me|about it|that night|lives at|wohnt|vive en|habite"
+#: What stands before a person's name: naming, company, contact, kinship, introductions.
+NAME_BEFORE = (
+    "named|called|signed by|name is|name:|i am|i'm|neighbour|neighbor|next to|beside|met|contact|contacted|phoned|emailed|interviewed|thanked|asked|talk to|talked to|spoke to|spoke with|spoken to|spoken with|wrote to|listen to|listened to|works with|worked with|lives with|lived with|"
+    "friend|colleague|boss|teacher|doctor|nurse|landlord|husband|wife|brother|sister|cousin|uncle|aunt|mother|father|"
+    "mi vecino|mi vecina|nuestro vecino|nuestra vecina|mi amigo|mi amiga|me llamo|llama|mon ami|mon amie|mon voisin|ma voisine|je m'appelle|s'appelle|nommé|nommée|ich heiße|heißt|namens|mein nachbar|meine nachbarin|chamado|chamada|me chamo|меня зовут|зовут"
+)
+#: What stands after one: a person's doings, with the object or place that makes them a person's.
+NAME_AFTER = (
+    "told us|told me|told him|told her|told them|tells us|tells me|asked us|asked me|called us|called me|phoned us|phoned me|wrote to us|wrote to me|wrote me|emailed us|emailed me|counted them|counted it|counted us|saw it|saw them|saw us|saw me|heard it|heard us|found it|found them|found me|signed it|filmed it|filmed us|filmed them|recorded it|watched us|watched them|watched it|knows it|knows me|knows us|"
+    "was fired|was hired|was arrested|was sacked|was injured|was there|got fired|got hired|got arrested|is married|was born|lives at|lives in|lives on|lived at|lived in|lived on|works at|works for|worked at|worked for|about it|that night|"
+    "lo vio|lo dijo|lo contó|lo sabe|nos dijo|me dijo|nos contó|me contó|vive en|trabaja en|habite|travaille|m'a dit|nous a dit|wohnt|arbeitet|hat mir|hat uns"
+)
 ID_CUE = "\\bssn\\b|social security|social sec|her social|his social|my social|social is|insurance number|\\bnino\\b|ni number|national insurance|passport|pasaporte|passeport|reisepass|passaporte|паспорт|\\bdni\\b|\\bnie\\b|\\bnif\\b|licen[cs]e|permit no|id card|id number|identity|personalausweis|cédula|cpf|steuer-?id"
 PHONE_CUE = "tel|phone|call|text|rang|ring|whatsapp|mobile|cell|dial|llama|llame|teléfono|telefono|sms|fax|handy|telefon|number is|appelle|appelez|ligue|звоните|тел|tonight|reach me|reach us"
 # ------------------------------------------------------------------------------------------------------------------
@@ -48,8 +58,20 @@ _ID_CUE = re.compile(rf"(?:{ID_CUE})", re.I)
 _ID_CUE_NEXT = re.compile(rf"(?:{ID_CUE})\D{{0,14}}$", re.I)
 _ID_TOKEN = re.compile(r"(?<![\w-])(?=[A-Z0-9\-. ]*\d{3})[A-Z]{0,3}\d[A-Z0-9]*(?:[-. ]?[A-Z0-9]{2,}){0,4}(?![\w-])")
 _PHONE_CUE = re.compile(rf"(?:\b(?:{PHONE_CUE})\b)", re.I)
-_ID_HINTS = ("ssn", "social", "nino", "ni number", "insurance", "passport", "pasaporte", "passeport", "reisepass", "паспорт", "dni", "nie", "nif", "licen", "id card", "id number", "identity", "ausweis", "cédula", "cpf")
-_STREET_HINTS = (" street", " st", " ave", " road", " rd", " lane", " ln", " drive", " blvd", " boulevard", " court", " square", " terrace", " crescent", "calle ", "avenida ", "avda", "plaza ", "paseo ", "rua ", "rue ", "straße", "strasse", "str.", "weg ", "gasse ", "platz ", "allee ", " via ", "улица", "ул.", "проспект")
+_HINT_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _first_words(phrases: str) -> frozenset[str]:
+    """The first word of each phrase; where a text has none of them, no phrase stands in it."""
+    return frozenset(_HINT_WORDS.findall(p)[0] for p in phrases.split("|"))
+
+
+#: Words of which a text must have one for a pattern to be tried; taken from the patterns' own lists.
+_BEFORE_WORDS, _AFTER_WORDS = _first_words(NAME_BEFORE), _first_words(NAME_AFTER)
+_NAME_WORDS = _BEFORE_WORDS | _AFTER_WORDS
+_CUE_WORDS = frozenset(_HINT_WORDS.findall(NAME_BEFORE)) - {"s"}
+_STREET_WORDS, _STREET_ENDS = _first_words(f"{STREET_AFTER}|{STREET_BEFORE}|{STREET_CLEAR}"), tuple(STREET_JOINED.split("|"))
+_ID_WORDS = frozenset("ssn social insurance nino ni national passport pasaporte passeport reisepass passaporte паспорт dni nie nif licence license permit id identity personalausweis cédula cpf steuer steuerid".split())
 _NO = r"\d{1,4}(?: ?[a-zA-Z](?![\w]))?"
 _CAP0 = r"[^\W\d_a-zà-öø-ÿ][\w'’\-]*"
 _W = r"[^\W\d_][\w'’\-]*"
@@ -68,13 +90,13 @@ _CAP = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]+(?:['’\-][^\W\d_]+)*"
 _ANY = r"[^\W\d_]{2,}(?:['’\-][^\W\d_]{2,})*"
 _PERSON = rf"(?:{_CAP},? (?:[^\W\d_a-z]\. ?)?{_CAP})"
 _LOWER = rf"(?:{_ANY},? (?:[^\W\d_]\. ?)?{_ANY})"
-_CUE_BEFORE = re.compile(rf"(?i:\b(?:{NAME_BEFORE}))(?P<q>:? )(?:(?P<cap>{_PERSON})|(?P<low>{_LOWER}))")
-_CUE_AFTER = re.compile(rf"(?:(?P<cap>{_PERSON})|(?P<low>{_LOWER})) (?i:(?:{NAME_AFTER})\b)")
-_ASK = re.compile(rf"\b[Aa]sk (?:(?P<cap>{_PERSON})|(?P<low>{_LOWER})) about it\b")
-_NAME_HINTS = ("named", "called", "neighbo", "signed by", "vecin", "next to", "talked to", "spoke ", "name is", "name:", "llama ", "appelle", "nomm", "heißt", "namens", "chamad", "зовут", "told us", "told me", "counted them", "lo vio", "was fired", "saw it all", "about it", "that night", "lives at", "wohnt", "vive en", "habite")
+_CUE_BEFORE = re.compile(rf"(?i:{NAME_BEFORE}):? (?:(?P<cap>{_PERSON})|(?P<low>{_LOWER}))")
+_CUE_AFTER = re.compile(rf"(?:{NAME_AFTER})\b", re.I)
+_PERSON_ENDS = re.compile(rf"\b(?:(?P<cap>{_PERSON})|(?P<low>{_LOWER})) \Z")
+_ASK = re.compile(r"\b[Aa]sk \Z")
 _TITLE = re.compile(rf"(?:{TITLES})\.?", re.I)
 _PLACE = re.compile(rf"(?:{PLACES})", re.I)
-_STOP = frozenset("the a an and or of in on at to for by with from as is was were be this that these those it he she they we you i my your our their his her its not no us me them who which what when where why how all any some more most only even just so if but about after before since than then there here very much many los las el la un una y o de del que en con por para se su es lo le les des du et ou à un une dans der die das und oder von zu mit auf für ist nicht ein eine ask told was said says say call text tel meet tips check still source folks wow fact people everyone someone nobody".split())
+_STOP = frozenset("the a an and or of in on at to for by with from as is was were be this that these those it he she they we you i my your our their his her its not no us me them who which what when where why how all any some more most only even just so if but about after before since than then there here very much many los las el la un una y o de del que en con por para se su es lo le les des du et ou à un une dans der die das und oder von zu mit auf für ist nicht ein eine ask told was said says say swears swore thinks thought claims claimed insists knows knew heard works lives call text tel meet tips check still source folks wow fact people everyone someone nobody".split())
 _SENTENCE = (". ", "! ", "? ", "; ", ": ", "… ")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
@@ -84,35 +106,34 @@ def _is_person(given_family: str, given: frozenset[str], cue: bool, lower: bool)
     if len(parts) < 2:
         return False
     low = [p.lower() for p in parts]
-    if any(_TITLE.fullmatch(p) for p in parts[:-1]) or any(_PLACE.fullmatch(p) for p in parts[1:]) or low[0] in _STOP or low[-1] in _STOP:
+    if any(_TITLE.fullmatch(p) for p in parts[:-1]) or any(_PLACE.fullmatch(p) for p in parts[1:]) or low[0] in _STOP or low[-1] in _STOP or low[0] in _CUE_WORDS:
         return False
     if cue and not lower:
         return True
     return low[0] in given or low[-1] in given
 
 
-def _name_spans(text: str, low: str, given: frozenset[str]) -> list[tuple[int, int]]:
+def _name_spans(text: str, has: set[str], given: frozenset[str]) -> list[tuple[int, int]]:
     out = []
-    if any(h in low for h in _NAME_HINTS):
-        for pattern in (_CUE_BEFORE, _CUE_AFTER, _ASK):
-            at = 0
-            while m := pattern.search(text, at):
+    if not _NAME_WORDS.isdisjoint(has):
+        done = 0  # where the last name ends
+        for word in _HINT_WORDS.finditer(text):
+            w, at = word.group().lower(), word.start()
+            if w in _BEFORE_WORDS and at >= done and (m := _CUE_BEFORE.match(text, at)):
                 group = "cap" if m.group("cap") else "low"
-                s, e = m.span(group)
-                if _is_person(m.group(group), given, True, group == "low"):
-                    out.append((s, e))
-                    at = m.end()
-                elif group == "low" and pattern is _CUE_BEFORE and _lower_pair(m.group(group)):
-                    out.append((s, e))
-                    at = m.end()
-                elif group == "low" and _lower_pair(m.group(group)) and (pattern is _ASK or (pattern is _CUE_AFTER and (s == 0 or text[s - 2 : s] in _SENTENCE or text[s - 1] == "\n"))):
-                    out.append((s, e))
-                    at = m.end()
-                else:
-                    at = s + 1
+                if _is_person(m.group(group), given, True, group == "low") or (group == "low" and _lower_pair(m.group(group))):
+                    out.append(m.span(group))
+                    done = m.end(group)
+            if w in _AFTER_WORDS and _CUE_AFTER.match(text, at) and (m := _PERSON_ENDS.search(text, max(done, at - 90), at)):
+                group = "cap" if m.group("cap") else "low"
+                s, asked = m.start(group), bool(_ASK.search(text, max(0, m.start(group) - 4), m.start(group)))
+                opens = asked or s == 0 or text[s - 2 : s] in _SENTENCE or text[s - 1] == "\n"
+                if _is_person(m.group(group), given, True, group == "low") or (group == "low" and opens and _lower_pair(m.group(group))):
+                    out.append(m.span(group))
+                    done = m.end(group)
     # the lexicon: a known given name with a capitalised word beside it
     tokens = None
-    if not given.isdisjoint(low.replace(",", " ").replace(".", " ").replace(";", " ").split()):
+    if not given.isdisjoint(has):
         tokens = list(_WORDS.finditer(text))
         for i, m in enumerate(tokens):
             if m.group().lower() not in given or not m.group()[0].isupper():
@@ -138,11 +159,13 @@ def _name_spans(text: str, low: str, given: frozenset[str]) -> list[tuple[int, i
 def _lower_pair(pair: str) -> bool:
     """A cue is followed by two lower-case words that are neither function words nor plain plurals: a name typed in lower case."""
     parts = _WORDS.findall(pair.lower())
-    return len(parts) == 2 and all(p not in _STOP and len(p) > 2 and not p.endswith("s") for p in parts) and bool(_FAMILY.search(parts[1]) or _FAMILY.search(parts[0]))
+    return len(parts) == 2 and all(p not in _STOP and p not in _CUE_WORDS and len(p) > 2 and not p.endswith("s") for p in parts) and bool(_FAMILY.search(parts[1]) or _FAMILY.search(parts[0]))
 
 
-#: Endings of family names; only used for names typed in lower case after a cue.
-_FAMILY = re.compile(r"(?:ini|ovic|evic|quist|sen|son|man|mann|worth|ridge|ley|eau|aro|ell|ak|ert|by|ski|ska|ova|ez|enko|stein|berg|ford|ton)$")
+#: Endings of family names of many countries; only used for names typed in lower case after a cue.
+_FAMILY = re.compile(
+    r"(?:son|sson|sen|man|mann|berg|burg|stein|feld|bach|hoff|dorf|quist|gren|ström|ström|dahl|gaard|by|ford|ton|ham|ley|wood|field|well|worth|ridge|stone|brook|shaw|ell|ert|ard|eau|ault|ier|aro|ini|ino|ano|elli|etti|ucci|ez|eira|eiro|inho|escu|idis|akis|poulos|ovic|ovich|evic|ić|ič|ski|ska|wski|cki|czyk|ak|ova|eva|enko|chuk|yan|oğlu)$"
+)
 
 
 def find(text: str | None, given: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
@@ -150,12 +173,13 @@ def find(text: str | None, given: frozenset[str] = frozenset()) -> list[tuple[st
     if not text:
         return []
     low = text.lower()
+    has = set(_HINT_WORDS.findall(low))
     raw: list[tuple[str, int, int]] = []
     if "@" in text:
         raw += [("email", *m.span()) for m in _MAIL.finditer(text)]
-    if "at" in low and ("dot" in low or "(at" in low or "[at" in low or "{at" in low or "<at" in low):
+    if ("at" in has or "arroba" in has) and _MAIL_SPELT.search(low):
         raw += [("email", *m.span()) for m in _MAIL_SPOKEN.finditer(text) if _MAIL_SPELT.search(m.group())]
-    hints = any(h in low for h in _ID_HINTS)
+    hints = not _ID_WORDS.isdisjoint(has)
     for m in _DIGITS.finditer(text):
         s, e = m.span()
         piece = text[s:e].strip()
@@ -178,9 +202,9 @@ def find(text: str | None, given: frozenset[str] = frozenset()) -> list[tuple[st
             m = _ID_TOKEN.search(text, cue.end(), cue.end() + 40)
             if m and m.start() - cue.end() <= 16 and sum(c.isdigit() for c in m.group()) >= 5 and not re.search(r"[.;!?]\s", text[cue.end() : m.start()].replace("no. ", "no ")):
                 raw.append(("id_number", *m.span()))
-    if any(h in low for h in _STREET_HINTS):
+    if not _STREET_WORDS.isdisjoint(has) or any(w.endswith(_STREET_ENDS) for w in has):
         raw += [("address", *m.span()) for m in _STREET.finditer(text) if _NO_STREET.isdisjoint(m.group().lower().split())]
-    names = _name_spans(text, low, given)
+    names = _name_spans(text, has, given)
     raw.sort(key=lambda x: (TYPES.index(x[0]), x[1], -x[2]))
     raw += [("name", s, e) for s, e in names]
     out: list[tuple[str, int, int]] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +41,15 @@ def p3_found(s: SparkSession, d: str) -> DataFrame:
 
 def p3_replaced(s: SparkSession, d: str) -> DataFrame:
     given = p3_pii.given_names(table(s, d, "name_list"))
-    tweets = p3_pii.replaced(table(s, d, "tweets"), "tweet_id", "text", given).select(F.lit("tweets").alias("src"), F.col("key").alias("rec_id"), "redacted", "surrogate")
-    posts = p3_pii.replaced(table(s, d, "posts"), "idx", "post", given).select(F.lit("posts").alias("src"), F.col("key").alias("rec_id"), "redacted", "surrogate")
-    return tweets.unionByName(posts).distinct()
+    tables = [("tweets", table(s, d, "tweets"), "tweet_id", "text"), ("posts", table(s, d, "posts"), "idx", "post")]
+    return p3_pii.replaced(tables, given, session_secret(s)).distinct()
+
+
+def session_secret(s: SparkSession) -> str:
+    """The secret of the surrogates: ``tideline.pii.secret`` of the session, or one made for this session alone."""
+    if not s.conf.get("tideline.pii.secret", None):
+        s.conf.set("tideline.pii.secret", secrets.token_hex(32))
+    return s.conf.get("tideline.pii.secret")
 
 
 def p4_found(s: SparkSession, d: str) -> DataFrame:
