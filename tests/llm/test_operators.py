@@ -69,6 +69,38 @@ def test_p4_candidates_of_hot_samples(spark):
         assert {tuple(r) for r in p4_edits.candidates(df, hot).collect()} == truth
 
 
+def test_p4_hot_samples_are_cut_into_blocks(spark):
+    """20,000 classes under one sample: no join key has many more rows than a block, and no pair is lost."""
+    left = stage(spark.range(20_000).select(F.lit(5).cast("long").alias("sample"), F.col("id").alias("a"), (F.col("id") % 97).alias("ca")).union(spark.range(40).select((F.col("id") + 100).alias("sample"), "id", "id")), "hot")
+    right = left.withColumnsRenamed({"a": "b", "ca": "cb"})
+    joined = p4_edits.split_join(left, right).where("a < b and ca = cb")
+    n = [20_000 // 97 + (k < 20_000 % 97) for k in range(97)]
+    one = sum(k * (k - 1) // 2 for k in n)
+    assert joined.where("sample = 5").count() == one and joined.where("sample >= 100").count() == 0
+    blocks = -(-20_000 // p4_edits.HOT_BLOCK)
+    per = left.where("sample = 5").groupBy(F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("k")).count().agg(F.max("count")).first()[0]
+    assert blocks >= 19 and per < 1.3 * p4_edits.HOT_BLOCK
+
+
+def test_p4_components(spark):
+    rng = random.Random(31)
+    edges = [(i, i + 1) for i in range(0, 70)] + [(100 + i, 100) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    edges = [(a, b) for a, b in edges if a != b]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["cls"]: r.component for r in p4_edits.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in root}
+    assert p4_edits.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def copies_in_a_crowd(copies=80, others=160):
     """Copies of one text with a rare word each, a third of all rows; the others share no word."""
     rng = random.Random(23)
@@ -366,7 +398,30 @@ def test_p7_batch_by_batch_equals_all_at_once(spark, tmp_path):
     for b in range(3):
         apart |= {r["key"] for r in store.admit(n.where(F.col("batch") == b), "id", "batch", "body").collect()}
     assert apart == at_once and len(at_once) > 5
-    assert store.rows().count() == 20 + 36 - len(at_once)
+    assert store.values().select("cls").distinct().count() == 20 + 36 - len(at_once)
+
+
+def test_p7_a_batch_reads_only_what_it_touches(spark, tmp_path):
+    """The folders that a small batch reads are those of its own keys, however long the history is."""
+    rng = random.Random(18)
+    store = p7_history.PivotTable(spark, f"{tmp_path}/pivots")
+    store.append(spark.createDataFrame([(f"h{i}", text(rng)) for i in range(400)], "id string, body string"), "id", "body")
+    batch = spark.createDataFrame([("n0", text(rng))], "id string, body string")
+    points = p7_history.points_of(stage(word_rows(batch, "id", "body"), "rows"))
+    read = store._touched(store.points(), points, "sample")
+    whole, touched = store.points().count(), read.count()
+    files = len(store.points().inputFiles())
+    assert files > 40 and touched < 0.7 * whole  # 36 keys fall into at most 36 of 64 folders
+    assert "PartitionFilters: [bucket" in read._jdf.queryExecution().toString()
+
+
+def test_p7_long_chains_end(spark):
+    """Each value is near the one before only: every second is accepted, through any number of rounds."""
+    stages = 60
+    inc = [(1, f"i{i:03d}", " ".join(f"w{j}" for j in range(2 * i, 2 * i + 20))) for i in range(stages)]
+    n = spark.createDataFrame(inc, "batch int, id string, body string")
+    got = {r["key"] for r in p7_history.known_in(n, "id", "batch", "body", [(n.where("false"), "id", "body")]).collect()}
+    assert got == {f"i{i:03d}" for i in range(1, stages, 2)}
 
 
 def test_p8_plan_is_complete_and_tight():

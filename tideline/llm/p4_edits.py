@@ -3,11 +3,12 @@
 Method: Order MinHash. Of every text's occurrence-labelled words, ``SKETCHES`` samples of the ``LENGTH`` words with the smallest
 hashes are drawn and kept in text order (read round the end, so a sentence moved to the front keeps its samples). Frequent
 and rare words count alike, so edited copies that hold a large part of all rows are found like any others. Texts sharing a sample are candidates; each is verified by banded
-alignment, which gives its number of word edits, and by the exact similarity of the word sets.
+alignment: e word edits leave at least max(n, m) - e distinct words in common, which decides where it suffices; the exact similarity
+of the word sets decides the rest (texts whose parts change places).
 
-Texts with equal word sets are one class before anything is compared; classes are expanded only in the result. Sample keys are
-spread by hash in one shuffle; pairs of a short run are made where it lies, those of a hot key by a join, which splits it over
-tasks; no group is gathered.
+Texts with equal word sets are one class before anything is compared; classes are expanded only in the result (`groups` doesn't: it
+gives each key its class, component and numbers of copies and links). Sample keys are spread by hash in one shuffle; pairs of a
+short run are made where it lies, those of a hot key by a join of blocks with blocks (`split_join`); no group is gathered.
 
 Recall: of a pair with c of u occurrence-labelled words in common, a sample is shared with chance C(c,5)/C(u,5), whatever the words'
 frequency; all 32 miss it with chance 0.003 at 0.7 for long texts (s^5), 0.012 for a union of 20 words, 0.06 for one of 10. Words
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from tideline.llm.sketch import banded_distance, class_counts, order_samples, parity_codes, parity_near, row_ids
 from tideline.llm.wordsets import flat_of, key_filter, may_have, with_keys, word_rows
-from tideline.operators.staging import stage
+from tideline.operators.staging import parts_for, stage
 
 SKETCHES, LENGTH, SEED, BAND, CLASSES = 32, 5, 7, 12, 32
 #: Runs of equal samples longer than this are paired by a join; every run is paired.
 HOT_RUN = 256
+#: Rows of one sample that meet in one place at most; more are cut into blocks.
+HOT_BLOCK = 1024
 
 
 def samples(rows: DataFrame, sketches: int = SKETCHES, length: int = LENGTH, seed: int = SEED, ordered: bool = True, only: np.ndarray | None = None) -> DataFrame:
@@ -111,12 +114,32 @@ def candidates(keys: DataFrame, hot_run: int = HOT_RUN, least: float = 0.0) -> D
                 s, c, d = s[~done], c[~done], d[~done]
         yield from pairs(paired(s, c, d))
 
-    found = stage(keys.repartition("sample").sortWithinPartitions("sample").mapInArrow(run, "a long, b long, sample long, code long"), "sample-pairs")
+    found = stage(keys.repartition(parts_for(keys), "sample").sortWithinPartitions("sample").mapInArrow(run, "a long, b long, sample long, code long"), "sample-pairs")
     hot = found.where("b is null").select("sample", "a", F.col("code").alias("ca")).distinct()
-    across = hot.join(hot.withColumnsRenamed({"a": "b", "ca": "cb"}), "sample").where("a < b").where(codes_near("ca", "cb", least)).select("a", "b")
+    if not hot.isEmpty():
+        hot = stage(hot, "hot-samples")
+    across = split_join(hot, hot.withColumnsRenamed({"a": "b", "ca": "cb"})).where("a < b").where(codes_near("ca", "cb", least)).select("a", "b")
     return found.where("b is not null").select("a", "b").unionByName(across).distinct()
 
 
+def split_join(left: DataFrame, right: DataFrame, block: int = HOT_BLOCK) -> DataFrame:
+    """Equal join on ``sample`` of two staged tables (an id and a code each) in which no join key has more than about ``block`` rows a side.
+
+    A sample that has more is cut into blocks by hash on both sides, and every block of the left meets every block of the right under a
+    key of its own, so its pairs are spread over as many tasks as there are pairs of blocks."""
+    x, y = left.columns[1], right.columns[1]
+    sizes = left.groupBy("sample").agg(F.count("*").alias("nl")).join(right.groupBy("sample").agg(F.count("*").alias("nr")), "sample")
+    hot = stage(sizes.where(f"nl > {block} or nr > {block}").select("sample", F.ceil(F.col("nl") / block).cast("int").alias("bl"), F.ceil(F.col("nr") / block).cast("int").alias("br")), "hot-sizes")
+    if hot.isEmpty():
+        return left.join(right, "sample")
+    plain = left.join(hot, "sample", "left_anti").join(right, "sample")
+    place = lambda column, blocks: F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    l = left.join(hot, "sample").withColumn("kl", place(x, "bl")).withColumn("kr", every("br")).drop("bl", "br")  # noqa: E741
+    r = right.join(hot, "sample").withColumn("kr", place(y, "br")).withColumn("kl", every("bl")).drop("bl", "br")
+    return plain.unionByName(l.join(r, ["sample", "kl", "kr"]).drop("kl", "kr"))
+
+
 def vocabulary_counts(rows: DataFrame) -> DataFrame:
     """``cls``, ``n`` and ``counts``: a byte for the distinct words in each of ``CLASSES`` vocabulary classes; one row a class of texts."""
 
@@ -161,11 +184,12 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float, band: int = BAND)
             keep, sims = [], []
             for i in range(len(a)):
                 x, y = set(va[oa[i] : oa[i + 1]].tolist()), set(vb[ob[i] : ob[i + 1]].tolist())
+                # an edit takes at most one word from either set, so the alignment alone shows many pairs to be similar
+                sure = max(len(x), len(y)) - edits[i] if edits[i] >= 0 else 0
                 common = len(x & y)
-                s = common / (len(x) + len(y) - common)
-                if s >= least - 1e-12:
+                if sure >= least * (len(x) + len(y) - sure) or common >= least * (len(x) + len(y) - common) - 1e-9:
                     keep.append(i)
-                    sims.append(s)
+                    sims.append(common / (len(x) + len(y) - common))
             edits = edits[keep]
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(sims, pa.float64()), pa.array(edits, pa.int64(), mask=edits < 0)], ["a", "b", "similarity", "edits"])
 
@@ -203,9 +227,33 @@ def pairs_of_keys(links: DataFrame, members: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``cls``, ``component`` (its smallest class) of every class in ``links`` (``a``, ``b``): large stars and small stars in turn until nothing changes.
+
+    A round is two aggregations and joins over the edges, which only get fewer; rounds grow with the logarithm of the longest chain."""
+    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stage(large.where("u != v"), "large-star")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = stage(small, "small-star")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("cls"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("component"))).distinct()
+
+
 def groups(df: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
-    """Membership: ``key``, ``cls``, ``copies`` (keys of the class), ``links`` (other classes it is linked to)."""
+    """Membership: ``key``, ``cls``, ``component`` (class it is linked to, directly or through others, with the smallest number), ``copies`` (keys of the
+    class), ``links`` (other classes it is linked to)."""
     links, members = near_duplicates(df, key, text, least)
+    links = stage(links, "links")
     degree = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
     copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
-    return members.join(copies, "cls").join(degree, "cls", "left").na.fill(0, ["links"]).where("copies > 1 or links > 0").select("key", "cls", "copies", "links")
+    one = copies.join(degree, "cls", "left").join(components(links), "cls", "left").na.fill(0, ["links"]).where("copies > 1 or links > 0")
+    return members.join(one, "cls").select("key", "cls", F.coalesce("component", "cls").alias("component"), "copies", "links")

@@ -11,8 +11,8 @@ Method: pivot-distance table. Two kinds of fixed pivots are stored for every val
   distances and a batch is joined on equality, the range of width zero; a wider range on class pivots alone leaves 2.7 per cent
   of all pairs (measured), which no join over all history can afford.
 
-What survives both is verified by the true Jaccard distance. Accepted rows are appended to the table, so a later batch reads
-the table, not the texts. Within the incoming rows, values are taken in order of (batch, key): a value is known when it is near
+What survives both is verified by the true Jaccard distance. `PivotTable` stores both kinds of distances; accepted rows are appended to
+it, so a later batch reads the folders it touches, not the texts. Hot distances are joined block by block (`split_join`). Within the incoming rows, values are taken in order of (batch, key): a value is known when it is near
 a value of the history or an accepted earlier one. This is solved in rounds over the links between different values, each round
 deciding every value whose earlier neighbours are decided; copies of one value are one class, decided by its first row.
 
@@ -24,19 +24,20 @@ first batch); ties in (batch, key) can't differ; an empty history or batch works
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.p4_edits import codes_near, one_a_class, samples
+from tideline.llm.p4_edits import codes_near, one_a_class, samples, split_join
 from tideline.llm.sketch import class_counts, row_ids
-from tideline.llm.wordsets import SCHEMA, flat_of, key_filter, with_keys, word_rows
+from tideline.llm.wordsets import flat_of, key_filter, may_have, word_rows
 from tideline.operators.staging import stage
 
-POINTS, NEAREST, SEED, CLASSES = 36, 5, 29, 32
+POINTS, NEAREST, SEED, CLASSES, BUCKETS = 36, 5, 29, 32, 64
+VALUES = "cls long, n int, pivots binary, seq array<int>"
 
 
 def pivot_distances(classes: DataFrame) -> DataFrame:
@@ -90,30 +91,63 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float) -
     return words.select("x", "y", "sx", "sy").mapInArrow(verify, "x long, y long")
 
 
+def points_of(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """``sample`` (distances to a point), ``cls``, ``code`` of every value; with ``only``, those that the key filter may have."""
+    return samples(rows, POINTS, NEAREST, SEED, ordered=False, only=only)
+
+
+def links_to(new: DataFrame, mine: DataFrame, old: DataFrame, theirs: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Links (``x`` incoming, ``y`` stored) of staged points and values of incoming rows with staged points of the history.
+
+    theirs: gives the values of (at least) the classes asked for."""
+    near = split_join(new, old.withColumnsRenamed({"cls": "y", "code": "cy"})).where("x != y").where(codes_near("cx", "cy", least))
+    near = stage(near.select("x", "y").distinct(), "pivot-pairs")
+    some = theirs(near.select(F.col("y").alias("cls")).distinct()).groupBy("cls")
+    some = stage(some.agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"), F.first("seq").alias("seq")), "pivots-history")
+    return _verify(near, mine, some, least)
+
+
+def having(rows: DataFrame, column: str, only: np.ndarray) -> DataFrame:
+    """Rows whose ``column`` the key filter may have; the others are dropped where they lie, before any shuffle."""
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_have(only, batch.column(at).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def new_points(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged (points, values) of incoming rows."""
+    one = stage(one_a_class(incoming), "incoming-classes")
+    return stage(points_of(one).withColumnsRenamed({"cls": "x", "code": "cx"}), "pivot-rows"), stage(pivot_distances(one), "pivots-in")
+
+
 def pairs_within(incoming: DataFrame, history: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(links incoming to history, links among incoming) between different classes; both inputs are staged word rows."""
-    new = stage(samples(incoming, POINTS, NEAREST, SEED, ordered=False).distinct().withColumnsRenamed({"cls": "x", "code": "cx"}), "pivot-rows")
-    # rows of the history whose distances no incoming value has stay where they are
-    wanted = key_filter(new, "sample")
-    old = samples(history, POINTS, NEAREST, SEED, ordered=False, only=wanted).withColumnsRenamed({"cls": "y", "code": "cy"})
-    known = stage(old.join(new, "sample").where("x != y").where(codes_near("cx", "cy", least)).select("x", "y").distinct(), "pivot-pairs")
-    inner = new.join(new.withColumnsRenamed({"x": "y", "cx": "cy"}), "sample").where("x < y").where(codes_near("cx", "cy", least)).select("x", "y").distinct()
-    inner = stage(inner, "pivot-inner")
-    mine = stage(pivot_distances(one_a_class(incoming)), "pivots-in")
-    ends = known.select(F.col("y").alias("cls")).distinct()
-    theirs = stage(pivot_distances(one_a_class(with_keys(history, key_filter(ends, "cls")).join(ends, "cls", "left_semi"))), "pivots-history")
-    return _verify(known, mine, theirs, least), _verify(inner, mine, mine, least)
-
-
-def known_values(incoming: DataFrame, history: DataFrame, least: float = 0.7, rounds: int = 50) -> DataFrame:
-    """``key`` of every incoming value already known.
-
-    incoming: staged word rows with ``batch``; history: staged word rows. Copies: all rows of a class that the history has are
+    new, mine = new_points(incoming)
+    old = stage(points_of(history, key_filter(new, "sample")).distinct(), "pivot-old")  # points that no incoming value has stay where they are
+    theirs = lambda ends: pivot_distances(having(history.select("cls", "n", "seq"), "cls", key_filter(ends, "cls")))
+    return links_to(new, mine, old, theirs, least), links_among(new, mine, least)
+
+
+def links_among(new: DataFrame, mine: DataFrame, least: float) -> DataFrame:
+    inner = split_join(new, new.withColumnsRenamed({"x": "y", "cx": "cy"})).where("x < y").where(codes_near("cx", "cy", least))
+    return _verify(stage(inner.select("x", "y").distinct(), "pivot-inner"), mine, mine, least)
+
+
+def known_values(incoming: DataFrame, history: DataFrame, least: float = 0.7) -> DataFrame:
+    """``key`` of every incoming value already known; incoming: staged word rows with ``batch``; history: staged word rows."""
+    return decided(incoming, history.select("cls"), *pairs_within(incoming, history, least))
+
+
+def decided(incoming: DataFrame, classes: DataFrame, outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """``key`` of every incoming value known, from the classes that the history has and the links to it and among incoming values. Copies: all rows of a class that the history has are
     known, else all but the class's first. A class near an accepted class is known where its row comes later."""
     first = incoming.groupBy("cls").agg(F.min(F.struct("batch", "key")).alias("first"))
-    outer, inner = pairs_within(incoming, history, least)
     inner = stage(inner, "links")
-    there = incoming.select("cls").distinct().join(history.select("cls"), "cls", "left_semi")
+    there = incoming.select("cls").distinct().join(classes, "cls", "left_semi")
     old = stage(there.unionByName(outer.select(F.col("x").alias("cls"))).distinct(), "old-classes")
     order = first.join(old.withColumn("old", F.lit(True)), "cls", "left")
     order = stage(order.select("cls", "first", F.coalesce("old", F.lit(False)).alias("old")), "class-order")
@@ -122,18 +156,14 @@ def known_values(incoming: DataFrame, history: DataFrame, least: float = 0.7, ro
     both = inner.join(left, "x").join(right, "y").where("not ox and not oy")
     edges = stage(both.select(F.when(F.col("fx") > F.col("fy"), F.col("x")).otherwise(F.col("y")).alias("late"), F.when(F.col("fx") > F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("early")), "edges")
     # rounds: a class without undecided earlier neighbours and without an accepted one is accepted; its later neighbours are known
+    # the earliest undecided class is always decided, so the rounds end, however long a chain is
     refused = None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():
         waiting = edges.select(F.col("late").alias("cls")).distinct()
         accepted = edges.select(F.col("early").alias("cls")).distinct().join(waiting, "cls", "left_anti")
         out = stage(edges.join(accepted.withColumnRenamed("cls", "early"), "early", "left_semi").select(F.col("late").alias("cls")).distinct(), "refused")
         refused = out if refused is None else refused.unionByName(out)
         edges = stage(edges.join(out.withColumnRenamed("cls", "late"), "late", "left_anti").join(out.withColumnRenamed("cls", "early"), "early", "left_anti"), "edges")
-    else:
-        if not edges.isEmpty():
-            raise RuntimeError(f"undecided after {rounds} rounds; give more")
     known = old if refused is None else old.unionByName(refused).distinct()
     all_known = incoming.join(known, "cls", "left_semi").select("key")
     rest = incoming.join(known, "cls", "left_anti").join(first, "cls").where("struct(batch, key) > first").select("key")
@@ -158,24 +188,51 @@ def known_in(incoming: DataFrame, key: str, batch: str, value: str, history: lis
 
 
 class PivotTable:
-    """The stored history of one field: compact rows of what was accepted, appended batch by batch; texts aren't read again.
+    """The stored history of one field, appended batch by batch: under ``points`` the distances of every value to the points, under
+    ``values`` its distances to the class pivots and its words. Both are cut into ``BUCKETS`` folders by range of the stored key.
 
-    ``admit`` gives the known keys of a batch and appends the others. A batch's work is one pass over the stored rows, with only
-    those that may match moved. Values are stored under their key; appending a key again stores its value again, which changes nothing."""
+    ``admit`` gives the known keys of a batch and appends the others. Nothing of the history is computed again: the batch's own distances
+    name the folders to read, those of its candidates the folders of values. The pivots are fixed, whatever the history holds."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        spark.createDataFrame([], SCHEMA).write.mode("append").parquet(path)
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+    def _folder(self, name: str, schema: str) -> DataFrame:
+        where = f"{self.path}/{name}"
+        jvm = self.spark.sparkContext._jvm
+        there = jvm.org.apache.hadoop.fs.Path(where)
+        if not there.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+            return self.spark.createDataFrame([], f"{schema}, bucket int")
+        return self.spark.read.schema(f"{schema}, bucket int").parquet(where)
+
+    def points(self) -> DataFrame:
+        return self._folder("points", "sample long, cls long, code long")
+
+    def values(self) -> DataFrame:
+        return self._folder("values", VALUES)
+
+    @staticmethod
+    def _bucket(column: str):
+        return F.shiftrightunsigned(column, 64 - BUCKETS.bit_length() + 1).cast("int")
+
+    def _touched(self, stored: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+        """The rows in the folders of some keys; what comes to the driver is at most ``BUCKETS`` numbers."""
+        wanted = [r.b for r in keys.select(self._bucket(column).alias("b")).distinct().collect()]
+        return stored.where(F.col("bucket").isin(wanted)).drop("bucket")
 
     def append(self, df: DataFrame, key: str, value: str) -> None:
-        word_rows(df, key, value).write.mode("append").option("compression", "zstd").parquet(self.path)
+        """Stores the values; equal word sets are one value. A value stored twice changes nothing."""
+        one = stage(one_a_class(word_rows(df, key, value)), "accepted")
+        for name, rows, column in (("points", points_of(one), "sample"), ("values", pivot_distances(one), "cls")):
+            rows.withColumn("bucket", self._bucket(column)).repartition("bucket").sortWithinPartitions("bucket", column).write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{name}")
 
     def admit(self, incoming: DataFrame, key: str, batch: str, value: str, least: float = 0.7) -> DataFrame:
         one = stage(first_delivery(incoming, key, batch, value), "delivery")
         rows = stage(word_rows(one, "key", "value").join(one.select("key", "batch"), "key"), "incoming-rows")
-        known = stage(known_values(rows, self.rows(), least), "known")
+        new, mine = new_points(rows)
+        old = stage(having(self._touched(self.points(), new, "sample"), "sample", key_filter(new, "sample")).distinct(), "pivot-old")
+        outer = links_to(new, mine, old, lambda ends: having(self._touched(self.values(), ends, "cls"), "cls", key_filter(ends, "cls")), least)
+        same = self._touched(self.values(), rows, "cls").select("cls")
+        known = stage(decided(rows, same, outer, links_among(new, mine, least)), "known")
         self.append(one.join(known, "key", "left_anti"), "key", "value")
         return known
