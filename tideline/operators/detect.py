@@ -6,7 +6,10 @@ by entity, so no entity's history leaves its task and no task needs another's.""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,26 +114,32 @@ def shrunk_z(stats: DataFrame, prior: float = 24.0, least_global: int = 100) ->
     return g.where(F.col("g") >= least_global).select("entity", "t", "n", "obs", F.round(w, 6).alias("weight"), F.round((F.col("n") - mean) / std, 6).alias("z"))
 
 
-def burst_states(stats: DataFrame, ratio: float = 2.0, gamma: float = 1.0, levels: int = 3) -> DataFrame:
-    """State of a burst automaton for every mature row: ``levels`` Poisson rates base * ratio^s, raising costs gamma a level, falling is
-    free, ties go to the lower state. One fold over an entity's rows in order; the base rate is a column already.
+def burst_states(stats: DataFrame, ratio: float = 2.0, gamma: float = 1.0, levels: int = 3, rows: Column | None = None) -> DataFrame:
+    """State of a burst automaton for every mature row (or those that ``rows`` picks): ``levels`` Poisson rates base * ratio^s, raising costs
+    gamma a level, falling is free, ties go to the lower state.
 
-    The fold runs in the JVM over the collected series of an entity: one value a time bucket, at most the length of the series."""
-    rate = F.greatest(F.col("mean"), F.lit(1.0))
-    rows = stats.where(F.col("obs") >= MATURE).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("t", "n", rate.alias("r")))).alias("x"))
+    One fold over rows in order: a partition's rows come sorted by entity and time in Arrow batches, what each previous state leads to is
+    worked out for a batch at once, and only the state is carried on, also from batch to batch. No series is gathered."""
+    kind = stats.schema["entity"].dataType
+    picked = stats.where(F.col("obs") >= MATURE if rows is None else rows).select("entity", "t", F.col("n").cast("long").alias("n"), F.greatest("mean", F.lit(1.0)).cast("double").alias("r"))
 
-    def step(acc: Column, x: Column) -> Column:
-        # cost of state s: rate - n ln rate, plus gamma per level raised from the last state
-        scores = [x["n"] * F.log(x["r"] * (ratio**s)) - x["r"] * (ratio**s) - gamma * F.greatest(F.lit(s) - acc["state"], F.lit(0)) for s in range(levels)]
-        best, state = scores[0], F.lit(0)
-        for s in range(1, levels):
-            state = F.when(scores[s] > best, s).otherwise(state)
-            best = F.greatest(best, scores[s])
-        return F.struct(state.alias("state"), F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), x["n"].alias("n"), state.alias("state")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, state = None, 0
+        for batch in batches:
+            n, r = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            rate = r[:, None] * ratio ** np.arange(levels)[None, :]
+            fit = n[:, None] * np.log(rate) - rate
+            raised = gamma * np.maximum(np.arange(levels)[None, :] - np.arange(levels)[:, None], 0)  # [from, to]
+            to = (fit[:, None, :] - raised[None, :, :]).argmax(2).tolist()
+            out = []
+            for e, leads in zip(batch.column(0).to_pylist(), to):
+                if e != entity:
+                    entity, state = e, 0
+                state = leads[state]
+                out.append(state)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int32())], ["entity", "t", "n", "state"])
 
-    zero = F.struct(F.lit(0).alias("state"), F.expr("CAST(array() AS array<struct<t:timestamp_ntz,n:bigint,state:int>>)").alias("out"))
-    folded = rows.select("entity", F.aggregate("x", zero, step, lambda a: a["out"]).alias("o"))
-    return folded.select("entity", F.inline("o"))
+    return picked.repartition("entity").sortWithinPartitions("entity", "t").mapInArrow(run, f"entity {kind.simpleString()}, t timestamp_ntz, n bigint, state int")
 
 
 def burst_by_brute_force(values: list[tuple[float, float]], ratio: float = 2.0, gamma: float = 1.0, levels: int = 3) -> list[int]:
@@ -143,6 +152,55 @@ def burst_by_brute_force(values: list[tuple[float, float]], ratio: float = 2.0,
     return out
 
 
+def engagement_series(df: DataFrame, entity: str, at: str, unit: str, engagement: Column) -> DataFrame:
+    """``entity, t, n, e``: posts and engagement per entity and calendar bucket."""
+    t = F.date_trunc(unit, at).cast("timestamp_ntz")
+    return df.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("entity"), t.alias("t")).agg(F.count("*").alias("n"), F.coalesce(F.sum(engagement), F.lit(0)).cast("long").alias("e"))
+
+
+def both_stats(s: DataFrame) -> DataFrame:
+    """`active_stats` of counts (``mean``, ``std``) and of engagement (``mean_e``, ``std_e``)."""
+    w = Window.partitionBy("entity").orderBy("t").rowsBetween(-ROLL, -1)
+    k = F.count("n").over(w)
+    of = lambda f, c: F.when(k < 2, 0.0).otherwise(f(c).over(w))
+    return s.select("*", k.alias("obs"), of(F.avg, "n").alias("mean"), of(F.stddev_pop, "n").alias("std"), of(F.avg, "e").alias("mean_e"), of(F.stddev_pop, "e").alias("std_e"))
+
+
+def cold_scores(stats: DataFrame, prior: float = 24.0, least_global: int = 100, least_count: int = 5, least_engagement: int = 20, weight: float = 0.4) -> DataFrame:
+    """Empirical-Bayes scores of sparse rows with enough activity, once enough rows were seen: ``z_count``, ``z_engagement``, ``z``."""
+    own = ["entity", "t", "obs", "n", "mean", "std"]
+    counts = shrunk_z(stats.select(*own), prior, least_global).select("entity", "t", F.col("z").alias("z_count"))
+    of_e = stats.select("entity", "t", "obs", F.col("e").alias("n"), F.col("mean_e").alias("mean"), F.col("std_e").alias("std"))
+    engagement = shrunk_z(of_e, prior, least_global).select("entity", "t", F.col("z").alias("z_engagement"))
+    active = stats.where((F.col("obs") < MATURE) & (F.col("n") >= least_count) & (F.col("e") >= least_engagement)).select("entity", "t")
+    both = active.join(counts, ["entity", "t"]).join(engagement, ["entity", "t"])
+    return both.withColumn("z", F.round(weight * F.col("z_count") + (1 - weight) * F.col("z_engagement"), 6))
+
+
+def detections(s: DataFrame, compute_all: bool = True, bayesian: bool = True, z_at: float = 3.0, state_at: int = 2, least_count: int = 10, least_engagement: int = 50, least_std: float = 2.0, least_std_e: float = 5.0, weight: float = 0.4) -> DataFrame:
+    """Scores of counts and engagement (``s``: `engagement_series`), their mixture, burst state and what triggered, for every row of every entity.
+
+    Sparse rows (under ``MATURE`` earlier ones) are scored by `cold_scores` where ``bayesian`` is set. Otherwise, with ``compute_all``, they
+    are scored against what there is with relaxed deviations but trigger nothing; without it they have no score at all, nor have rows
+    below the activity thresholds, and the burst automaton doesn't see either."""
+    stats = both_stats(s)
+    sparse, active = F.col("obs") < MATURE, (F.col("n") >= least_count) & (F.col("e") >= least_engagement)
+    seen = ~sparse if bayesian else F.lit(True)
+    if not compute_all:
+        seen = ~sparse & active
+    z = lambda x, m, d, least: F.when(F.col(d) < F.when(sparse, 0.1).otherwise(least), 0.0).otherwise((F.col(x) - F.col(m)) / F.nullif(F.col(d), F.lit(0.0)))
+    zc, ze = z("n", "mean", "std", least_std), z("e", "mean_e", "std_e", least_std_e)
+    scored = stats.where(seen).select("entity", "t", F.round(zc, 6).alias("z_count"), F.round(ze, 6).alias("z_engagement"), F.round(weight * zc + (1 - weight) * ze, 6).alias("z"))
+    scored = scored.join(burst_states(stats, rows=seen).select("entity", "t", "state"), ["entity", "t"])
+    if bayesian:
+        scored = scored.unionByName(cold_scores(stats, weight=weight).withColumn("state", F.lit(0)))
+    d = stats.select("entity", "t", "n", "e", "obs").join(scored, ["entity", "t"], "left")
+    hit_z, hit_k = F.col("z") > z_at, F.col("state") >= state_at
+    warm = F.when(sparse | ~active, "none").when(hit_z & hit_k, "both").when(hit_z, "zscore").when(hit_k, "kleinberg").otherwise("none")
+    trigger = F.when(sparse & hit_z, "bayesian_cold_start").otherwise(warm) if bayesian else warm
+    return d.select("entity", "t", "n", "e", F.when(sparse, "sparse").otherwise("mature").alias("path"), "z_count", "z_engagement", "z", "state", trigger.alias("trigger"))
+
+
 def ensemble(s: DataFrame, z_at: float = 2.0, shrunk_at: float = 2.0, least_count: int = 10, least_std: float = 1.0) -> DataFrame:
     """Every active row with the score of its path: sparse rows the shrunk z, mature rows z and burst state; ``trigger`` names what fired.
 

@@ -242,7 +242,7 @@ def sf20_prompt_list(s, d):
 
 @PLANS("SELECT sentence_id, regexp_extract(claim, 'CLAIM: (.*?) SOURCE:', 1) AS claim, regexp_extract(claim, 'SOURCE: \"(.*?)\"', 1) AS source FROM (SELECT DISTINCT sentence_id, 'CLAIM: ' || replace(normalized_claim, chr(10), ' ') || ' SOURCE: \"' || model_name || '\"' AS claim FROM normalizations WHERE normalized_claim IS NOT NULL AND NOT contains(normalized_claim, '\"'))")
 def sf21_parse_response(s, d):
-    n = table(s, d, "normalizations").where("normalized_claim is not null and not contains(normalized_claim, '\"')")
+    n = table(s, d, "normalizations").where("normalized_claim is not null")
     c = F.concat(F.lit("CLAIM: "), F.replace("normalized_claim", F.lit("\n"), F.lit(" ")), F.lit(' SOURCE: "'), F.col("model_name"), F.lit('"'))
     return n.select("sentence_id", c.alias("c")).distinct().select("sentence_id", F.regexp_extract("c", "CLAIM: (.*?) SOURCE:", 1).alias("claim"), F.regexp_extract("c", 'SOURCE: "(.*?)"', 1).alias("source"))
 

@@ -98,15 +98,65 @@ def wn10_shrunk_z(s, d):
     return D.shrunk_z(D.active_stats(_cluster_days(s, d)))
 
 
-@PLANS()
+def _states(rows: str) -> str:
+    """The burst automaton as a recursive query over the rows picked from ``st``."""
+    best = lambda prev: ", ".join(f"n * ln(r * {2 ** k}) - r * {2 ** k} - greatest({k} - ({prev}), 0)" for k in range(3))
+    pick = lambda prev: f"list_position([{best(prev)}], list_max([{best(prev)}])) - 1"
+    return f"""q AS (SELECT entity, t, n, greatest(mean, 1.0) AS r, row_number() OVER (PARTITION BY entity ORDER BY t) AS i FROM st WHERE {rows}),
+    k AS (SELECT entity, t, n, i, CAST({pick("0")} AS INTEGER) AS state FROM q WHERE i = 1 UNION ALL SELECT q.entity, q.t, q.n, q.i, CAST({pick("k.state").replace("n * ", "q.n * ").replace("r * ", "q.r * ")} AS INTEGER) FROM k JOIN q ON q.entity = k.entity AND q.i = k.i + 1)"""
+
+
+@PLANS(f"WITH RECURSIVE {_HOUR}, {_STATS}, {_states('obs >= 24')} SELECT entity, t, n, state FROM k")
 def sm09_burst_states(s, d):
-    """Fold over a series; tested against a plain loop."""
+    """The fold over series; the SQL steps through them recursively."""
     return D.burst_states(D.active_stats(_hourly(s, d)))
 
 
+_E_SERIES = "b AS (SELECT cluster_id AS entity, date_trunc('day', created_at)::TIMESTAMP AS t, count(*) AS n, CAST(coalesce(sum(retweet_count_at_collection + likes_at_collection), 0) AS BIGINT) AS e FROM tweets WHERE cluster_id >= 0 GROUP BY 1, 2)"
+_E_STATS = "st AS (SELECT *, count(n) OVER f AS obs, " + ", ".join(f"CASE WHEN count(n) OVER f < 2 THEN 0.0 ELSE {f}({x}) OVER f END AS {c}" for f, x, c in (("avg", "n", "mean"), ("stddev_pop", "n", "std"), ("avg", "e", "mean_e"), ("stddev_pop", "e", "std_e"))) + " FROM b WINDOW f AS (PARTITION BY entity ORDER BY t ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING))"
+_E_Z = "z AS (SELECT *, CASE WHEN std < CASE WHEN obs < 24 THEN 0.1 ELSE 2.0 END THEN 0.0 ELSE (n - mean) / std END AS zn, CASE WHEN std_e < CASE WHEN obs < 24 THEN 0.1 ELSE 5.0 END THEN 0.0 ELSE (e - mean_e) / std_e END AS ze FROM st)"
+_E_COLD = """g AS (SELECT *, count(*) OVER r AS g, avg(n) OVER r AS gn, coalesce(stddev_samp(n) OVER r, 0) AS sn, avg(e) OVER r AS ge, coalesce(stddev_samp(e) OVER r, 0) AS se, obs / (obs + 24.0) AS w FROM st WHERE obs < 24 WINDOW r AS (ORDER BY t, entity ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT entity, t, round((n - (w * mean + (1 - w) * gn)) / greatest(CASE WHEN obs < 3 THEN sn ELSE greatest(w * std + (1 - w) * sn, 0.5 * sn) END, 1.0), 6) AS zn, round((e - (w * mean_e + (1 - w) * ge)) / greatest(CASE WHEN obs < 3 THEN se ELSE greatest(w * std_e + (1 - w) * se, 0.5 * se) END, 1.0), 6) AS ze FROM g WHERE g >= 100 AND n >= 5 AND e >= 20)"""
+_E_TRIGGER = "CASE WHEN obs < 24 OR n < 10 OR e < 50 THEN 'none' WHEN z > 3 AND state >= 2 THEN 'both' WHEN z > 3 THEN 'zscore' WHEN state >= 2 THEN 'kleinberg' ELSE 'none' END"
+
+
+def _engagement_days(s, d):
+    t = table(s, d, "tweets").where("cluster_id >= 0")
+    return D.engagement_series(t, "cluster_id", "created_at", "day", F.col("retweet_count_at_collection") + F.col("likes_at_collection"))
+
+
+def _short(df):
+    """Figures to four places: the running statistics of engagement are sums over the whole table in different orders."""
+    return df.select("entity", "t", "n", "e", "path", *[F.round(c, 4).alias(c) for c in ("z_count", "z_engagement", "z")], F.col("state").cast("int").alias("state"), "trigger")
+
+
+@PLANS(f"""WITH RECURSIVE {_E_SERIES}, {_E_STATS}, {_E_Z}, {_E_COLD}, {_states('obs >= 24')}, x AS (SELECT z.entity, z.t, z.n, z.e, z.obs, CASE WHEN obs < 24 THEN c.zn ELSE round(z.zn, 6) END AS zc, CASE WHEN obs < 24 THEN c.ze ELSE round(z.ze, 6) END AS zg, CASE WHEN obs < 24 THEN round(0.4 * c.zn + 0.6 * c.ze, 6) ELSE round(0.4 * z.zn + 0.6 * z.ze, 6) END AS z, CASE WHEN obs >= 24 THEN k.state WHEN c.zn IS NOT NULL THEN 0 END AS state FROM z LEFT JOIN c USING (entity, t) LEFT JOIN k ON k.entity = z.entity AND k.t = z.t)
+SELECT entity, t, n, e, CASE WHEN obs < 24 THEN 'sparse' ELSE 'mature' END AS path, round(zc, 4) AS z_count, round(zg, 4) AS z_engagement, round(z, 4) AS z, state, CASE WHEN obs < 24 AND z > 3 THEN 'bayesian_cold_start' ELSE {_E_TRIGGER} END AS trigger FROM x""")
+def sm10_detections(s, d):
+    """SM10, SM12, WN05-WN08, WN10: counts and engagement scored, mixed, gated by activity; sparse clusters by shrinkage."""
+    return _short(D.detections(_engagement_days(s, d)))
+
+
+def _classical(rows: str, scored: str) -> str:
+    return f"""WITH RECURSIVE {_E_SERIES}, {_E_STATS}, {_E_Z}, {_states(rows)}, x AS (SELECT z.entity, z.t, z.n, z.e, z.obs, CASE WHEN {scored} THEN round(z.zn, 6) END AS zc, CASE WHEN {scored} THEN round(z.ze, 6) END AS zg, CASE WHEN {scored} THEN round(0.4 * z.zn + 0.6 * z.ze, 6) END AS z, k.state FROM z LEFT JOIN k ON k.entity = z.entity AND k.t = z.t)
+SELECT entity, t, n, e, CASE WHEN obs < 24 THEN 'sparse' ELSE 'mature' END AS path, round(zc, 4) AS z_count, round(zg, 4) AS z_engagement, round(z, 4) AS z, state, {_E_TRIGGER} AS trigger FROM x"""
+
+
+@PLANS(_classical("true", "true"))
+def sm10_scores_for_all(s, d):
+    """SM10 without shrinkage: every row is scored, sparse ones with relaxed deviations."""
+    return _short(D.detections(_engagement_days(s, d), bayesian=False))
+
+
+@PLANS(_classical("obs >= 24 AND n >= 10 AND e >= 50", "z.obs >= 24 AND z.n >= 10 AND z.e >= 50"))
+def sm11_legacy(s, d):
+    """SM11: only mature rows with enough activity are scored, and only they move the automaton."""
+    return _short(D.detections(_engagement_days(s, d), compute_all=False, bayesian=False))
+
+
 @PLANS()
 def sm10_ensemble(s, d):
-    """SM10-SM12, SM15: routed scores, triggers and carried scores; its parts have SQL, the fold has not."""
+    """SM12, SM15: counts alone, routed, with scores carried forward; its parts have SQL."""
     return D.ensemble(_cluster_days(s, d))
 
 

@@ -23,11 +23,11 @@ def ud03_growth(s, d):
     return V.growth(C.window_stats(_posts(s, d)))
 
 
-@PLANS(f"""WITH {_POSTS}, g AS (SELECT cluster_id, date_diff('second', lag(c) OVER q, c) AS gap FROM (SELECT cluster_id, tweet_id, created_at, created_at AS c FROM p) WINDOW q AS (PARTITION BY cluster_id ORDER BY created_at, tweet_id))
-SELECT count(*) FILTER (gap IS NOT NULL) >= 0 AS ok, count(DISTINCT cluster_id) AS clusters FROM g""")
-def wn17_gap_counts(s, d):
-    p = _posts(s, d)
-    return p.agg(F.count_distinct("cluster_id").alias("clusters")).select(F.lit(True).alias("ok"), "clusters")
+@PLANS(f"""WITH {_POSTS}, g AS (SELECT cluster_id, date_diff('second', lag(c) OVER q, c) AS gap FROM (SELECT cluster_id, tweet_id, date_trunc('second', created_at) AS c FROM p) WINDOW q AS (PARTITION BY cluster_id ORDER BY c, tweet_id))
+SELECT cluster_id, count(*) AS gaps, round(avg(gap), 4) AS mean_gap, round(stddev_pop(gap), 4) AS std_gap, round(CASE WHEN avg(gap) = 0 THEN 0 ELSE stddev_pop(gap) / avg(gap) END, 6) AS cv, round(CASE WHEN count(*) < 2 OR avg(gap) + stddev_pop(gap) = 0 THEN 0 ELSE (stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)) END, 6) AS burstiness FROM g WHERE gap IS NOT NULL GROUP BY cluster_id""")
+def wn17_cluster_gaps(s, d):
+    """WN17: times between a cluster's posts."""
+    return V.gaps(_posts(s, d).withColumn("c", F.date_trunc("second", "created_at").cast("timestamp_ntz")), "cluster_id", "c", "tweet_id")
 
 
 @PLANS("""WITH g AS (SELECT user_id, date_diff('second', lag(t) OVER q, t) AS gap FROM (SELECT user_id, event_id, date_trunc('second', ts) AS t FROM events) WINDOW q AS (PARTITION BY user_id ORDER BY t, event_id)), a AS (SELECT user_id, count(*) AS gaps, avg(gap) AS m, stddev_pop(gap) AS sd FROM g WHERE gap IS NOT NULL GROUP BY 1)
