@@ -10,6 +10,7 @@ from tideline.operators import sessions as S
 from tideline.operators import virality as V
 from tideline.plans._register import Plans
 from tideline.plans.clusters import _POSTS, _WINDOW, _posts
+from tideline.plans.series import _E_STATS, _E_Z, _states
 from tideline.sources.tables import table
 
 PLANS = Plans()
@@ -53,14 +54,55 @@ def ud03_concentration(s, d):
     return V.concentration(_posts(s, d), "cluster_id", "user_id")
 
 
-@PLANS(f"""WITH {_POSTS}, g AS (SELECT cluster_id, count(*) / greatest(1.0, date_diff('second', date_trunc('second', min(created_at)), date_trunc('second', max(created_at))) / 3600.0) AS v, coalesce(max(user_followers_count), 0) AS f FROM p GROUP BY 1), s AS (SELECT *, least(greatest(0.3 + CASE WHEN v > 100 THEN 0.2 ELSE 0 END + CASE WHEN f > 10000 THEN 0.2 ELSE 0 END, 0.05), 0.95) AS s FROM g)
-SELECT cluster_id, round(s, 6) AS score, s > 0.5 AS is_viral FROM s""")
+def _detected(s, d, hours=24):
+    """Posts of clusters in the features' columns, and detection ``hours`` after the first post."""
+    p = _posts(s, d)
+    columns = {"cluster_id": "entity", "tweet_id": "post", "user_id": "user", "created_at": "at", "retweet_count_at_collection": "retweets", "likes_at_collection": "likes", "user_followers_count": "followers", "country": "country", "user_join_date": "joined"}
+    p = p.select(*[F.col(a).alias(b) for a, b in columns.items()])
+    return p, p.groupBy("entity").agg(F.timestamp_add("HOUR", F.lit(hours), F.min("at")).alias("detect_at"))
+
+
+_DETECTED = "f AS (SELECT cluster_id, min(created_at) + INTERVAL 24 HOUR AS d FROM p GROUP BY 1), x AS (SELECT cluster_id AS entity, tweet_id, user_id, created_at AS ts, d, country, user_join_date AS joined, user_followers_count AS fol, coalesce(retweet_count_at_collection, 0) AS rt, coalesce(likes_at_collection, 0) AS lk, coalesce(retweet_count_at_collection, 0) + coalesce(likes_at_collection, 0) AS eng FROM p JOIN f USING (cluster_id) WHERE created_at <= d)"
+_DETECTED_HOURS = f"b AS (SELECT entity, date_trunc('hour', ts)::TIMESTAMP AS t, count(*) AS n, CAST(sum(eng) AS BIGINT) AS e, count(DISTINCT user_id) AS users, coalesce(avg(fol), 0) AS mf, coalesce(max(fol), 0) AS xf FROM x GROUP BY 1, 2), {_E_STATS}, {_E_Z}"
+_GINI = "(SELECT entity, round(CASE WHEN sum(v) = 0 THEN 0 ELSE (2 * sum(v * r) - (count(*) + 1) * sum(v)) / (count(*) * sum(v)) END, 6) AS gini FROM (SELECT entity, v, row_number() OVER (PARTITION BY entity ORDER BY v) AS r FROM {}) GROUP BY 1)"
+
+
+@PLANS(f"""WITH {_POSTS}, {_DETECTED}, {_DETECTED_HOURS},
+s AS (SELECT *, row_number() OVER q AS i, count(*) OVER (PARTITION BY entity) AS k, e - lag(e) OVER q AS d1, max(e) OVER (PARTITION BY entity) AS me, round(0.4 * zn + 0.6 * ze, 6) AS zz FROM z WINDOW q AS (PARTITION BY entity ORDER BY t)), s2 AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY entity ORDER BY t) AS d2 FROM s),
+g AS (SELECT entity, max(k) AS k, sum(n) AS tw, sum(e) AS e, arg_max(e, i) AS l, arg_min(e, i) AS f, min(i) FILTER (e = me) AS pk, arg_max(d1, i) FILTER (d1 IS NOT NULL) AS dl, arg_min(d1, i) FILTER (d1 IS NOT NULL) AS df, avg(abs(d1)) AS v, avg(abs(d2)) AS j, coalesce(sum(e) FILTER (i <= greatest(1, k // 4)), 0) AS early, max(xf) AS xf, avg(mf) AS mf, sum(users) AS us, arg_max(zz, t) AS zd, max(zz) AS zx, arg_max(round(zn, 6), t) AS zc, arg_max(round(ze, 6), t) AS zg FROM s2 GROUP BY entity),
+mm AS (SELECT entity, avg(eng) AS m1 FROM x GROUP BY 1), m AS (SELECT x.entity, stddev_pop(eng) AS sd, avg((eng - m1) * (eng - m1)) AS m2, avg((eng - m1) * (eng - m1) * (eng - m1)) AS m3, sum(rt) AS rt, sum(lk) AS lk, max(rt) AS xr, avg(lk) AS ml, avg(floor(date_diff('second', date_trunc('second', joined), date_trunc('second', ts)) / 86400.0)) AS age, max(d) AS d FROM x JOIN mm USING (entity) GROUP BY 1),
+gp AS (SELECT entity, count(*) AS gaps, avg(gap) AS mg, stddev_pop(gap) AS sg FROM (SELECT entity, date_diff('second', lag(q) OVER w, q) AS gap FROM (SELECT entity, tweet_id, date_trunc('second', ts) AS q FROM x) WINDOW w AS (PARTITION BY entity ORDER BY q, tweet_id)) WHERE gap IS NOT NULL GROUP BY 1),
+ge AS (SELECT entity, sum(-h * ln(h + 1e-10)) AS ge, count(*) AS nc FROM (SELECT entity, count(*) / sum(count(*)) OVER (PARTITION BY entity) AS h FROM x WHERE country IS NOT NULL GROUP BY entity, country) GROUP BY 1), ho AS (SELECT entity, sum(-h * ln(h + 1e-10)) AS ho FROM (SELECT entity, count(*) / sum(count(*)) OVER (PARTITION BY entity) AS h FROM x GROUP BY entity, hour(ts)) GROUP BY 1),
+u AS (SELECT entity, count(*) AS v FROM x GROUP BY entity, user_id), tu AS (SELECT entity, max(v) / sum(v) AS tu FROM u GROUP BY 1), g1 AS {_GINI.format("(SELECT entity, eng AS v FROM x)")}, g2 AS {_GINI.format("u")}
+SELECT g.entity, round(tw, 6)::DOUBLE AS cumulative_tweets, g.e::DOUBLE AS cumulative_engagement, k::DOUBLE AS windows_since_start, round(tw / k, 6) AS mean_tweets_per_window, round(g.e / k, 6) AS mean_engagement_per_window, round(CASE WHEN k >= 2 THEN l / greatest(1.0, f) ELSE 1 END, 6) AS growth_rate, CASE WHEN k >= 3 THEN dl - df ELSE 0 END::DOUBLE AS acceleration, round(CASE WHEN k >= 3 THEN v ELSE 0 END, 6) AS engagement_velocity, round(CASE WHEN k >= 3 THEN j ELSE 0 END, 6) AS engagement_jerk,
+round(CASE WHEN gaps >= 2 AND mg + sg > 0 THEN (sg - mg) / (sg + mg) ELSE 0 END, 6) AS burstiness, round(CASE WHEN gaps >= 2 THEN mg ELSE 0 END, 4) AS inter_arrival_mean, round(CASE WHEN gaps >= 2 THEN sg ELSE 0 END, 4) AS inter_arrival_std, round(CASE WHEN gaps >= 2 AND mg > 0 THEN sg / mg ELSE 0 END, 6) AS inter_arrival_cv,
+round(CASE WHEN k >= 2 THEN early / greatest(1.0, g.e) ELSE 1 END, 6) AS early_velocity_ratio, round(CASE WHEN k >= 2 THEN l / greatest(1.0, g.e) ELSE 1 END, 6) AS final_window_ratio, CASE WHEN k >= 2 AND pk < k THEN 1.0 ELSE 0.0 END AS is_post_peak, round(CASE WHEN k >= 2 THEN (pk - 1) / greatest(1.0, k - 1) ELSE 1 END, 6) AS peak_position_ratio, xf::DOUBLE AS max_followers_seen, round(mf, 6) AS avg_followers_seen, us::DOUBLE AS total_unique_users, round(g.e / greatest(1.0, mf * us), 6) AS engagement_per_follower, round(rt / greatest(1.0, us), 6) AS amplification_factor,
+zd AS z_score_at_detect, zx AS max_z_score_seen, zc AS z_score_count_at_detect, zg AS z_score_engagement_at_detect, round(coalesce(ge, 0), 6) AS geographic_entropy_predetect, coalesce(nc, 0)::DOUBLE AS unique_countries_predetect, hour(d)::DOUBLE AS hour_of_day, CASE WHEN dayofweek(d) IN (0, 6) THEN 1.0 ELSE 0.0 END AS is_weekend, CASE WHEN hour(d) BETWEEN 6 AND 11 THEN 1.0 ELSE 0.0 END AS is_morning, CASE WHEN hour(d) >= 18 THEN 1.0 ELSE 0.0 END AS is_evening, round(ho, 6) AS posting_hour_entropy,
+xr::DOUBLE AS max_retweets_per_tweet, round(ml, 6) AS avg_likes_per_tweet, round(rt / greatest(1.0, lk), 6) AS rt_like_ratio, round(CASE WHEN sd > 0 THEN m3 / pow(m2, 1.5) ELSE 0 END, 6) AS engagement_skewness, g1.gini AS engagement_gini, g2.gini AS user_gini, round(tu, 6) AS top_user_ratio, round(coalesce(age, 0), 6) AS account_age_avg_days
+FROM g JOIN m USING (entity) LEFT JOIN gp USING (entity) LEFT JOIN ge USING (entity) LEFT JOIN ho USING (entity) LEFT JOIN tu USING (entity) LEFT JOIN g1 USING (entity) LEFT JOIN g2 USING (entity)""")
+def ud03_features(s, d):
+    """UD03: all features but the burst state (`ud03_burst_at_detect`), from posts up to the detection only."""
+    return V.features(*_detected(s, d), states=False)
+
+
+@PLANS(f"WITH RECURSIVE {_POSTS}, {_DETECTED}, {_DETECTED_HOURS}, {_states('true')} SELECT entity, arg_max(state, i)::DOUBLE AS kleinberg_state_at_detect FROM k GROUP BY entity")
+def ud03_burst_at_detect(s, d):
+    return V.features(*_detected(s, d)).select("entity", "kleinberg_state_at_detect")
+
+
+@PLANS(f"""WITH {_POSTS}, {_DETECTED}, {_DETECTED_HOURS}, zd AS (SELECT entity, arg_max(round(0.4 * zn + 0.6 * ze, 6), t) AS z FROM z GROUP BY 1), g AS (SELECT entity, count(*) / greatest(1.0, date_diff('second', date_trunc('second', min(ts)), date_trunc('second', max(ts))) / 3600.0) AS v, coalesce(max(fol), 0) AS f FROM x GROUP BY 1),
+s AS (SELECT entity, z, least(greatest(0.3 + CASE WHEN v > 100 THEN 0.2 ELSE 0 END + CASE WHEN f > 10000 THEN 0.2 ELSE 0 END + CASE WHEN z > 5 THEN 0.15 ELSE 0 END, 0.05), 0.95) AS s FROM g JOIN zd USING (entity))
+SELECT entity AS cluster_id, round(z, 4) AS z, round(s, 6) AS score, s > 0.5 AS is_viral FROM s""")
 def ud04_virality_score(s, d):
-    g = _posts(s, d).groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("created_at").alias("a"), F.max("created_at").alias("b"), F.coalesce(F.max("user_followers_count"), F.lit(0)).alias("f"))
+    """UD04: heuristic score at detection, with the cluster's own score at that time."""
+    p, detected = _detected(s, d)
+    z = V.features(p, detected, states=False).select("entity", F.col("z_score_at_detect").alias("z"))
+    p = p.join(detected, "entity").where(F.col("at") <= F.col("detect_at"))
+    g = p.groupBy("entity").agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("b"), F.coalesce(F.max("followers"), F.lit(0)).alias("f")).join(z, "entity")
     cut = lambda c: F.date_trunc("second", c).cast("timestamp_ntz")
     hours = F.greatest(F.lit(1.0), F.timestamp_diff("SECOND", cut("a"), cut("b")) / 3600.0)
-    score = M.virality_score(F.col("n") / hours, F.col("f"), F.lit(0.0))
-    return g.select("cluster_id", F.round(score, 6).alias("score"), (score > 0.5).alias("is_viral"))
+    score = M.virality_score(F.col("n") / hours, F.col("f"), F.col("z"))
+    return g.select(F.col("entity").alias("cluster_id"), F.round("z", 4).alias("z"), F.round(score, 6).alias("score"), (score > 0.5).alias("is_viral"))
 
 
 @PLANS(f"""WITH {_POSTS}, f AS (SELECT cluster_id, min(created_at) AS f FROM p GROUP BY 1), g AS (SELECT p.cluster_id, CAST(sum(retweet_count_at_collection + likes_at_collection) AS BIGINT) AS final, CAST(sum(CASE WHEN created_at <= f + INTERVAL 6 HOUR THEN retweet_count_at_collection + likes_at_collection ELSE 0 END) AS BIGINT) AS detected FROM p JOIN f USING (cluster_id) GROUP BY 1)
