@@ -441,6 +441,45 @@ def test_p8_plan_is_complete_and_tight():
         assert sum(t for t, _ in plan) <= least * 1.25 + 2
 
 
+def fewest(items, capacity):
+    """The least number of containers, by trying all."""
+    best, items = [len(items)], sorted(items, reverse=True)
+
+    def go(i, room):
+        if len(room) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(room)
+            return
+        seen = set()
+        for k, r in enumerate(room):
+            if r >= items[i] and r not in seen:
+                seen.add(r)
+                room[k] -= items[i]
+                go(i + 1, room)
+                room[k] += items[i]
+        room.append(capacity - items[i])
+        go(i + 1, room)
+        room.pop()
+
+    go(0, [])
+    return best[0]
+
+
+def test_p8_reduction_never_costs_a_container():
+    rng = random.Random(5)
+    for _ in range(150):
+        c = rng.choice([10, 20, 30, 100])
+        items = [rng.randrange(max(1, c // rng.choice([2, 3, 5, 8])), c + 1) if rng.random() < 0.6 else rng.randrange(1, c // 2 + 1) for _ in range(rng.randrange(3, 10))]
+        counts = np.bincount(items, minlength=c + 1)
+        plan, left = p8_pack.reduce_by_dominance(counts, c)
+        used = sum((n * np.bincount(list(m), list(m.values()), c + 1).astype(int) for n, m in plan), np.zeros(c + 1, int))
+        assert (used + left == counts).all() and all(sum(s * k for s, k in m.items()) <= c for _, m in plan)
+        best = fewest(items, c)
+        assert sum(n for n, _ in plan) + fewest(np.repeat(np.arange(c + 1), left).tolist(), c) == best
+        assert p8_pack.least_containers(counts, c) <= best
+
+
 def test_p8_packs_every_token_once(spark):
     rng = random.Random(8)
     rows = [(i, text(rng, rng.choice([3, 30, 300, 900]))) for i in range(60)] + [(100, ""), (101, None), (None, "x y"), (102, text(rng, 9000)), (5, "again the same id")]

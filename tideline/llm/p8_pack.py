@@ -2,8 +2,8 @@
 
 Method: Martello-Toth dominance reduction, then best fit. Sizes are whole numbers up to the capacity, so the instance is its
 histogram: at most ``capacity`` counts, whatever the number of documents. On the histogram small sets that provably dominate
-every alternative are fixed in bulk (an item that nothing fits beside; an item and its exact complement; the largest item and
-the largest that fits beside it where no two do); what remains is packed by best fit, largest first. The plan has a few
+every alternative are fixed in bulk, for every size and until nothing more can be fixed (an item that nothing fits beside; an item and
+its exact complement; an item with one or two others, see `dominating`); what remains is packed by best fit, largest first. The plan has a few
 patterns, each with how many containers repeat it.
 
 Documents are then dealt to the plan by their rank within their size. Ranks come from counts per (size, bucket) and places
@@ -64,29 +64,78 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int) -> tuple[Plan, np.nda
                 fix(left[s] // 2, {s: 2})
         elif left[s] and left[other]:
             fix(min(left[s], left[other]), {s: 1, other: 1})
-    while left.any():
-        present = np.flatnonzero(left)
-        big, small = int(present[-1]), int(present[0])
-        room = capacity - big
-        if small > room or (small == big and left[big] == 1):  # nothing fits beside the largest
-            fix(left[big] if small > room else 1, {big: 1})
-            continue
-        fitting = present[present <= room]
-        if len(fitting) == 0:
-            fix(left[big], {big: 1})
-            continue
-        second = int(fitting[-1])
-        least_two = 2 * small if left[small] >= 2 else small + int(present[1]) if len(present) > 1 else capacity + 1
-        if least_two > room:  # at most one item fits beside it: the largest such dominates
-            if second == big:
-                fix(max(1, left[big] // 2), {big: 2} if left[big] >= 2 else {big: 1})
-            else:
-                fix(min(left[big], left[second]), {big: 1, second: 1})
-            continue
-        break
+    changed = True
+    while changed:  # each pass tries every size, largest first; a set fixed can make another dominate
+        changed = False
+        for big in range(capacity, 0, -1):
+            while left[big] and (found := dominating(left, big, capacity)):
+                fix(*found)
+                changed = True
     return plan, left
 
 
+def dominating(left: np.ndarray, big: int, capacity: int) -> tuple[int, dict[int, int]] | None:
+    """A set with an item of size ``big`` that dominates every other set with it, and how often it may be fixed at once; None if there is none.
+
+    The cases of the reduction procedure: nothing fits beside the item; at most one item does, then the largest that fits; at most two do,
+    then the largest alone if it is as large as the best pair, or the best pair if it holds that largest item and no two items that lie
+    between the pair fit as well."""
+    others = left.copy()
+    others[big] -= 1
+    room = capacity - big
+    present = np.flatnonzero(others[: room + 1])
+    if not len(present):
+        return int(left[big]) if not others[big] or big > room else 1, {big: 1}
+    top, small = int(present[-1]), present[:3].repeat(np.minimum(others[present[:3]], 3))[:3]
+
+    def times(content: dict[int, int], spare: int = 0) -> tuple[int, dict[int, int]]:
+        return max(1, min(int(left[s]) // c for s, c in content.items()) - spare), content
+
+    def with_big(*sizes: int) -> dict[int, int]:
+        content = {big: 1}
+        for s in sizes:
+            content[s] = content.get(s, 0) + 1
+        return content
+
+    if len(small) < 2 or small[0] + small[1] > room:
+        return times(with_big(top))
+    if len(small) == 3 and small.sum() <= room:
+        return None  # three may fit: not a case of the procedure
+    # the best pair: for each size the largest partner that fits beside it
+    at = np.searchsorted(present, room - present, "right") - 1
+    at = np.minimum(at, np.arange(len(present)))  # partner no larger than the size itself
+    own = (at == np.arange(len(present))) & (others[present] < 2)
+    at = np.where(own, at - 1, at)
+    sums = np.where(at >= 0, present + present[np.maximum(at, 0)], 0)
+    best = int(sums.argmax()) if sums.max() else -1
+    pair = (int(present[best]), int(present[at[best]])) if best >= 0 else (0, 0)
+    if top >= sum(pair):
+        return times(with_big(top))
+    holds = np.flatnonzero(sums == sums.max())
+    pair = next(((int(present[i]), int(present[at[i]])) for i in holds if present[i] == top), None)
+    if pair is None:
+        return None
+    between = [s for s in range(top - 1, pair[1], -1) if others[s]][-2:]  # the two sizes next above the smaller of the pair
+    n_between = int(others[pair[1] + 1 : top].sum()) if top > pair[1] else 0
+    if n_between <= 1:
+        return times(with_big(*pair), 3)
+    two = np.array(between[::-1]).repeat([min(2, int(others[s])) for s in between[::-1]])[:2]
+    return times(with_big(*pair), 3) if two.sum() > room else None
+
+
+def least_containers(counts: np.ndarray, capacity: int) -> int:
+    """Lower bound: over every threshold t, items above capacity - t need a container each, as do those over half, and the others down to t fill what these leave."""
+    sizes, cum, weight = np.arange(capacity + 1), np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    best = -(-int((counts * sizes).sum()) // capacity)
+    for t in range(0, capacity // 2 + 1):
+        large = int(cum[capacity] - cum[capacity - t])
+        half = int(cum[capacity - t] - cum[capacity // 2])
+        half_weight = int(weight[capacity - t] - weight[capacity // 2])
+        low = int(weight[capacity // 2] - (weight[t - 1] if t else 0))
+        best = max(best, large + half + max(0, -(-(low - (half * capacity - half_weight)) // capacity)))
+    return best
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     """Best fit, largest first, on a histogram: containers with equal content are one entry throughout."""
     groups: dict[tuple[tuple[int, int], ...], int] = {}
@@ -170,7 +219,10 @@ def packed(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabul
 
 
 def fill(containers: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Containers, tokens, the least possible number of containers and unused room in per cent."""
+    """Containers, tokens, a lower bound of the number of containers and unused room in per cent."""
+    histogram = containers.groupBy("n_tokens").agg(F.count("*").alias("c")).toPandas()  # at most ``capacity`` rows
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[histogram["n_tokens"]] = histogram["c"]
     per = containers.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("items"))
     one = per.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.sum("items").alias("items"))
-    return one.select("containers", "items", "tokens", "fullest", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.round(100 - 100 * F.col("tokens") / (F.col("containers") * capacity), 4).alias("unused_percent"))
+    return one.select("containers", "items", "tokens", "fullest", F.lit(least_containers(counts, capacity)).cast("long").alias("least_containers"), F.round(100 - 100 * F.col("tokens") / F.nullif(F.col("containers") * capacity, F.lit(0)), 4).alias("unused_percent"))
