@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators.ranking import running_sums
+
 from tideline.functions import maths as M
 
 
@@ -47,9 +49,8 @@ def threshold_sweep(df: DataFrame, p: str, truth: str, thresholds: list[float])
 def curve_optimum(df: DataFrame, p: str, truth: str) -> DataFrame:
     """Threshold with the highest F1 over all scores, from counts of distinct scores."""
     c = df.where(F.col(p).isNotNull() & F.col(truth).isNotNull()).groupBy(F.col(p).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(truth)).alias("k"))
-    w = Window.orderBy(F.desc("s"))  # over distinct scores only
     total = c.agg(F.sum("k").alias("pos"))
-    run = c.withColumn("pp", F.sum("n").over(w)).withColumn("tp", F.sum("k").over(w)).join(F.broadcast(total))
+    run = running_sums(c, ["s"], {"n": "pp", "k": "tp"}, descending=True).join(F.broadcast(total))
     f1 = F.round(_share(2.0 * F.col("tp"), (F.col("pos") + F.col("pp")).cast("double")), 6)
     return run.select(F.col("s").alias("threshold"), f1.alias("f1")).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
@@ -104,8 +105,7 @@ def ks_statistic(df: DataFrame, value: str, side: str) -> DataFrame:
     """Largest distance of the two sides' distribution functions; ``side`` is boolean. Over counts of distinct values."""
     c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
     n = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    w = Window.orderBy(value)
-    j = c.select(F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).join(F.broadcast(n))
+    j = running_sums(c, [value], {"a": "ca", "b": "cb"}).join(F.broadcast(n))
     return j.agg(F.round(F.max(F.abs(F.col("ca") / F.greatest(F.col("na"), F.lit(1)) - F.col("cb") / F.greatest(F.col("nb"), F.lit(1)))), 6).alias("ks"))
 
 

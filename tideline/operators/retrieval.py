@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,29 +11,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import maths as M
+from tideline.operators.staging import stage
 
 #: Queries sent to the tasks at once: 20,000 vectors of 64 floats are 5 MB; larger query sets go in blocks.
 QUERY_BLOCK = 20_000
 
 
-def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, same: bool = False) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, same: bool = False, within: str | None = None) -> DataFrame:
     """The ``k`` nearest of ``base`` for every query by cosine: ``query``, ``key``, ``cosine``, ``place``; ties go to the smaller key.
 
     A stated query set against all rows: queries go to the tasks in blocks of ``QUERY_BLOCK``, every task keeps its own ``k`` best per
-    query (matrix product of batches), and only those are shuffled and merged. ``same`` leaves out a query's own row."""
+    query (matrix product of batches), and only those are shuffled and merged. ``same`` leaves out a query's own row; ``within`` names a column that must be equal on both sides."""
+    own = [within] if within else []
     total = queries.count()
     kind = dict(base.dtypes)[key]
     blocks = max(1, -(-total // QUERY_BLOCK))
     out = None
     for b in range(blocks):
-        got = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector).toPandas()
+        got = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector, *own).toPandas()
         if not len(got):
             continue
-        ids = got[key].to_numpy()
+        ids, group = got[key].to_numpy(), got[within].to_numpy() if within else None
         q = np.stack(got[vector].to_numpy()).astype(np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-10)
 
-        def scan(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q, group: np.ndarray | None = group) -> Iterator[pd.DataFrame]:
             best_s, best_k = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), ids.dtype)
             for pdf in batches:
                 if not len(pdf):
@@ -43,13 +46,15 @@ def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, same
                 s = np.round(q @ x.T, 6)
                 if same:
                     s[ids[:, None] == keys[None, :]] = -9.0
+                if within:
+                    s[group[:, None] != pdf[within].to_numpy()[None, :]] = -9.0
                 s, kk = np.hstack([best_s, s]), np.hstack([best_k, np.broadcast_to(keys, (len(q), len(keys)))])
                 order = np.lexsort((kk, -s), axis=1)[:, :k]
                 best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(kk, order, 1)
             n = best_s.shape[1]
             yield pd.DataFrame({"query": np.repeat(ids, n), "key": best_k.reshape(-1), "cosine": best_s.reshape(-1)}).query("cosine > -5")
 
-        part = base.select(key, vector).mapInPandas(scan, f"query {kind}, key {kind}, cosine double")
+        part = base.select(key, vector, *own).mapInPandas(scan, f"query {kind}, key {kind}, cosine double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = base.sparkSession.createDataFrame([], f"query {kind}, key {kind}, cosine double")
@@ -91,30 +96,39 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return one.withColumn("centroid", M.normalised(F.col("centroid")))
 
 
-def nearest_centroid(df: DataFrame, key: str, vector: str, centres: DataFrame, group: str, most: int = 10_000) -> DataFrame:
-    """Nearest centroid by Euclidean distance; the centres are counted first and sent to the tasks (at most ``most``)."""
-    got = centres.limit(most + 1).toPandas().sort_values(group)
-    if len(got) > most:
-        raise ValueError(f"more than {most} centroids")
-    c, names = np.stack(got["centroid"].to_numpy()).astype(np.float64), got[group].to_numpy()
+def nearest_centroid(df: DataFrame, key: str, vector: str, centres: DataFrame, group: str, block: int = 10_000) -> DataFrame:
+    """Nearest centroid by Euclidean distance, ties to the smaller group; centres go to the tasks in blocks of about ``block``."""
+    centres = stage(centres.select(group, "centroid"), "centres")
+    blocks = max(1, -(-centres.count() // block))
     kinds = dict(df.dtypes) | dict(centres.dtypes)
+    schema, parts = f"{key} {kinds[key]}, nearest {kinds[group]}, distance double", []
+    for b in range(blocks):
+        got = centres.where(F.pmod(F.xxhash64(group), F.lit(blocks)) == b).toPandas().sort_values(group)
+        if not len(got):
+            continue
+        c, names = np.stack(got["centroid"].to_numpy()).astype(np.float64), got[group].to_numpy()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-            dist = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]
-            i = np.round(dist, 9).argmin(1)
-            yield pd.DataFrame({key: pdf[key], "nearest": names[i], "distance": np.round(np.sqrt(np.maximum(dist[np.arange(len(x)), i], 0)), 5)})
+        def run(batches: Iterator[pd.DataFrame], c: np.ndarray = c, names: np.ndarray = names) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                dist = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :]
+                i = np.round(dist, 9).argmin(1)
+                yield pd.DataFrame({key: pdf[key], "nearest": names[i], "distance": np.round(np.sqrt(np.maximum(dist[np.arange(len(x)), i], 0)), 5)})
 
-    return df.select(key, vector).mapInPandas(run, f"{key} {kinds[key]}, nearest {kinds[group]}, distance double")
+        parts.append(df.select(key, vector).mapInPandas(run, schema))
+    if len(parts) < 2:
+        return parts[0] if parts else df.sparkSession.createDataFrame([], schema)
+    best = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min(F.struct("distance", "nearest")).alias("m"))
+    return best.select(key, F.col("m.nearest").alias("nearest"), F.col("m.distance").alias("distance"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, words: str, query: str, query_words: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 through an inverted index: only postings of words that queries have are joined; scores relative to the query's best.
 
-    A word in most documents has a long list but almost no weight; its postings are spread over tasks by (word, document)."""
+    The join is on the word, so a word in most documents and queries meets all of both: adaptive execution splits such a word's rows over
+    tasks, but their number is a product, which every exact ranking with positive weights for frequent words has to count."""
     terms = docs.select(F.col(key).alias("key"), F.explode(words).alias("w")).where("w != ''").groupBy("key", "w").agg(F.count("*").alias("tf"))
     asked = queries.select(F.col(query).alias("query"), F.explode(F.array_distinct(query_words)).alias("w")).where("w != ''")
     wanted = asked.select("w").distinct()

@@ -160,8 +160,8 @@ def ma08_cross_features(s, d):
 
 @PLANS(f"WITH {_S}, w AS (SELECT model, sentence_id, rank() OVER (PARTITION BY model ORDER BY pr) AS r, count(*) OVER (PARTITION BY model, pr) AS ties, count(*) OVER (PARTITION BY model) AS n FROM q) SELECT sentence_id, round(avg((r + (ties - 1) / 2.0) / n), 6) AS rank_mean FROM w GROUP BY 1")
 def ud10_rank_average(s, d):
-    from tideline.operators.ranking import average_rank
+    from tideline.operators.ranking import average_rank_by_counts
 
-    return _calls(s, d).withColumn("r", average_rank("pr", "model")).groupBy("sentence_id").agg(F.round(F.avg("r"), 6).alias("rank_mean"))
+    return average_rank_by_counts(_calls(s, d), "pr", "r", "model").groupBy("sentence_id").agg(F.round(F.avg("r"), 6).alias("rank_mean"))
 
 

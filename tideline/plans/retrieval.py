@@ -53,10 +53,7 @@ def ud19_in_cluster_first(s, d):
     e = table(s, d, "embeddings")
     q, labels = e.where("vec_id % 50 = 0"), e.select("vec_id", "label")
     every = R.knn(q, e, "vec_id", "embedding", 5, same=True)
-    inside = None
-    for row in e.select("label").distinct().orderBy("label").collect():  # labels of a clustering, a small fixed set
-        part = R.knn(q.where(F.col("label") == row.label), e.where(F.col("label") == row.label), "vec_id", "embedding", 5, same=True)
-        inside = part if inside is None else inside.unionByName(part)
+    inside = R.knn(q, e, "vec_id", "embedding", 5, same=True, within="label")
     both = every.unionByName(inside).select("query", "key", "cosine").distinct()
     both = both.join(labels.withColumnsRenamed({"vec_id": "query", "label": "lq"}), "query").join(labels.withColumnsRenamed({"vec_id": "key", "label": "lk"}), "key").withColumn("same", F.col("lq") == F.col("lk"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("same"), F.desc("cosine"), "key"))
