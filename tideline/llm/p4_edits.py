@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 
 from tideline.llm.sketch import banded_distance, class_counts, order_samples, parity_codes, parity_near, row_ids
 from tideline.llm.wordsets import flat_of, key_filter, may_have, with_keys, word_rows
-from tideline.operators.staging import parts_for, stage
+from tideline.operators.staging import stage
 
 SKETCHES, LENGTH, SEED, BAND, CLASSES = 32, 5, 7, 12, 32
 #: Runs of equal samples longer than this are paired by a join; every run is paired.
 HOT_RUN = 256
 #: Rows of one sample that meet in one place at most; more are cut into blocks.
 HOT_BLOCK = 1024
+#: Samples that one task sorts, in memory.
+SORTED = 1_500_000
 
 
 def samples(rows: DataFrame, sketches: int = SKETCHES, length: int = LENGTH, seed: int = SEED, ordered: bool = True, only: np.ndarray | None = None) -> DataFrame:
@@ -61,7 +63,7 @@ def codes_near(a: str, b: str, least: float) -> Column:
     return (F.greatest(x, y) == 255) | ((differ <= (1 - least) / (1 + least) * (x + y) + 1e-9) & (F.least(x, y) >= least * F.greatest(x, y) - 1e-9))
 
 
-def candidates(keys: DataFrame, hot_run: int = HOT_RUN, least: float = 0.0) -> DataFrame:
+def candidates(keys: DataFrame, hot_run: int = HOT_RUN, least: float = 0.0, parts: int | None = None) -> DataFrame:
     """Pairs of classes (``a`` < ``b``) that share a sample, in one shuffle of the samples.
 
     Sorted by sample, the rows of a task are runs; runs of up to ``hot_run`` rows are paired on the spot. Longer ones are not
@@ -114,7 +116,8 @@ def candidates(keys: DataFrame, hot_run: int = HOT_RUN, least: float = 0.0) -> D
                 s, c, d = s[~done], c[~done], d[~done]
         yield from pairs(paired(s, c, d))
 
-    found = stage(keys.repartition(parts_for(keys), "sample").sortWithinPartitions("sample").mapInArrow(run, "a long, b long, sample long, code long"), "sample-pairs")
+    spread = keys.repartition("sample") if parts is None else keys.repartition(parts, "sample")
+    found = stage(spread.sortWithinPartitions("sample").mapInArrow(run, "a long, b long, sample long, code long"), "sample-pairs")
     hot = found.where("b is null").select("sample", "a", F.col("code").alias("ca")).distinct()
     if not hot.isEmpty():
         hot = stage(hot, "hot-samples")
@@ -207,7 +210,8 @@ def one_a_class(rows: DataFrame) -> DataFrame:
 
 def class_links(rows: DataFrame, least: float) -> DataFrame:
     """Links between different classes of the staged word rows; the whole search."""
-    return verified(stage(candidates(samples(rows), least=least), "near-pairs"), rows, least)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * SKETCHES // SORTED))
+    return verified(stage(candidates(samples(rows), least=least, parts=parts), "near-pairs"), rows, least)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, least: float = 0.7) -> tuple[DataFrame, DataFrame]:
