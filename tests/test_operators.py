@@ -213,3 +213,21 @@ def test_mini_batch_leaders_keep_every_cluster(spark):
     assert len(got) == 82 and all(r.similarity >= 0.75 for r in got.values())
     assert len({r.cluster for r in got.values()}) == 41 and all(got[2 * i].cluster == got[2 * i + 1].cluster for i in range(40))
     assert mini_batch_leaders(df.where("false"), "id", "v").count() == 0
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Stopped after the first files and started again, a stream puts out what one run over all files does, each session once."""
+    from tideline.streaming import replay as R
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i % 3, start + dt.timedelta(minutes=i * 100)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz")
+    place = str(tmp_path)
+    sessions = lambda: R.gap_sessions(R.file_stream(spark, f"{place}/in", df.schema, 1), "k", "ts", "6 hours", "1 hour")
+    R.arriving(df.where("ts < '2024-01-05'").coalesce(1), f"{place}/in")
+    first = R.drained(sessions(), "s", place).where("k is not null").count()
+    R.arriving(df.where("ts >= '2024-01-05'").coalesce(1), f"{place}/in")
+    R.closing(df, f"{place}/in", "ts")
+    got = sorted((r.k, r.start.replace(tzinfo=None), r.n) for r in R.drained(sessions(), "s", place).where("k is not null").collect())
+    want = sorted((r.k, r.start, r.n) for r in R.gap_sessions(df, "k", "ts").select("k", F.col("start").cast("timestamp_ntz").alias("start"), "n").collect())
+    assert got == want and first < len(got)

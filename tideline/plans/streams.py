@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tideline.operators.staging import shared_folder
+from tideline.operators.staging import discarded_at_exit, shared_folder
 from tideline.plans._register import Plans
 from tideline.sources.tables import table
 from tideline.streaming import replay as R
@@ -14,32 +14,34 @@ from tideline.streaming import replay as R
 PLANS = Plans()
 
 
-def _stream(s, d):
-    """The events file as a stream source of one file; streams read folders, so the file is matched by name."""
-    schema = table(s, d, "events").schema
-    return s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not _is_folder(s, d) else R.file_stream(s, f"{d}/events.parquet", schema)
-
-
-def _is_folder(s, d) -> bool:
-    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
-    return path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+def _place(s) -> str:
+    place = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    discarded_at_exit(s, place)
+    return place
 
 
-def _place(s) -> str:
-    return f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+def _stream(s, d, place):
+    """The events as files that arrive in two triggers: all of them, then the row that closes the open windows."""
+    e = table(s, d, "events").select("event_id", "event_type", "user_id", "ts")
+    R.arriving(e, f"{place}/in")
+    files = len(s.read.parquet(f"{place}/in").inputFiles())
+    R.closing(e, f"{place}/in", "ts")
+    return R.file_stream(s, f"{place}/in", e.schema, files)
 
 
 @PLANS("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def sm01_stream_windows(s, d):
-    """SM01, SM20: tumbling windows on a stream with a checkpoint."""
-    out = R.drained(R.windowed_counts(_stream(s, d), "event_type", "ts", "1 hour", None), "windows", "complete", _place(s))
-    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    """SM01, SM20: tumbling windows on a stream with a watermark and a checkpoint."""
+    place = _place(s)
+    out = R.drained(R.windowed_counts(_stream(s, d, place), "event_type", "ts", "1 hour"), "windows", place)
+    return out.where("event_type is not null").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @PLANS("WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), x AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, count(*) AS n FROM x GROUP BY user_id, k")
 def sm06_stream_sessions(s, d):
-    out = R.drained(R.gap_sessions(_stream(s, d), "user_id", "ts", "6 hours", None), "sessions", "complete", _place(s))
-    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    place = _place(s)
+    out = R.drained(R.gap_sessions(_stream(s, d, place), "user_id", "ts", "6 hours"), "sessions", place)
+    return out.where("user_id is not null").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @PLANS("WITH b AS (SELECT event_type AS key, date_trunc('day', ts)::TIMESTAMP AS t, count(*) AS n FROM events GROUP BY 1, 2), z AS (SELECT *, avg(n) OVER f AS m, stddev_pop(n) OVER f AS s, count(n) OVER f AS k FROM b WINDOW f AS (PARTITION BY key ORDER BY t ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)) SELECT key, t, n, round((n - m) / nullif(s, 0), 6) AS z FROM z WHERE k = 7")
@@ -51,5 +53,5 @@ def sm10_stream_scores(s, d):
     daily = series(table(s, d, "events"), "event_type", "ts", "day")
     daily.write.parquet(f"{place}/daily")
     stream = R.file_stream(s, f"{place}/daily", daily.schema, 1000)
-    out = R.drained(R.running_scores(stream, "entity", "t", "n", 7), "scores", "append", place)
+    out = R.drained(R.running_scores(stream, "entity", "t", "n", 7), "scores", place)
     return out.select("key", F.col("t").cast("timestamp_ntz").alias("t"), "n", "z")
