@@ -165,3 +165,15 @@ def ud10_rank_average(s, d):
     return average_rank_by_counts(_calls(s, d), "pr", "r", "model").groupBy("sentence_id").agg(F.round(F.avg("r"), 6).alias("rank_mean"))
 
 
+
+
+@PLANS("WITH p AS (SELECT model, split, sentence_id, max(lower(true_label)) = 'yes' AS y, max(lower(predicted_label)) = 'yes' AS h FROM predictions WHERE true_label IS NOT NULL AND predicted_label IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT model, split, count(*) FILTER (y = h) / count(*) AS acc, CASE WHEN count(*) FILTER (y) + count(*) FILTER (h) = 0 THEN 0 ELSE 2 * count(*) FILTER (y AND h) / (count(*) FILTER (y) + count(*) FILTER (h)) END AS f1 FROM p GROUP BY 1, 2) SELECT model, count(*) AS runs, round(avg(acc), 6) AS accuracy, round(coalesce(stddev_samp(acc), 0), 6) AS accuracy_std, round(avg(f1), 6) AS f1, round(coalesce(stddev_samp(f1), 0), 6) AS f1_std FROM r GROUP BY model")
+def ev15_across_runs(s, d):
+    """EV15: metrics of every run of a model (here its splits), then their mean and sample deviation across runs."""
+    p = table(s, d, "predictions").where("true_label is not null and predicted_label is not null")
+    one = p.groupBy("model", "split", "sentence_id").agg((F.max(F.lower("true_label")) == "yes").alias("y"), (F.max(F.lower("predicted_label")) == "yes").alias("h"))
+    y, h = F.col("y"), F.col("h")
+    both = F.count_if(y) + F.count_if(h)
+    runs = one.groupBy("model", "split").agg((F.count_if(y == h) / F.count("*")).alias("acc"), F.when(both == 0, 0.0).otherwise(2 * F.count_if(y & h) / F.nullif(both, F.lit(0))).alias("f1"))
+    dev = lambda c: F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 6)
+    return runs.groupBy("model").agg(F.count("*").alias("runs"), F.round(F.avg("acc"), 6).alias("accuracy"), dev("acc").alias("accuracy_std"), F.round(F.avg("f1"), 6).alias("f1"), dev("f1").alias("f1_std"))

@@ -218,3 +218,23 @@ def st09_stratified_folds(s, d):
 @PLANS("SELECT tweet_id, created_at FROM (SELECT DISTINCT tweet_id, created_at FROM tweets) ORDER BY created_at, tweet_id LIMIT 100")
 def snk06_first_by_time(s, d):
     return table(s, d, "tweets").select("tweet_id", "created_at").distinct().orderBy("created_at", "tweet_id").limit(100)
+
+
+@PLANS("WITH a AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id) - 1 AS i FROM embeddings), b AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT i, vec_id, label, doc_id, lang FROM a JOIN b USING (i)")
+def prj11_side_by_side(s, d):
+    """PRJ11: two frames put beside each other by the numbers of their rows."""
+    from tideline.operators.ranking import row_index
+
+    a = row_index(table(s, d, "embeddings").select("vec_id", "label"), ["label", "vec_id"])
+    b = row_index(table(s, d, "documents").select("doc_id", "lang"), ["doc_id"])
+    return a.join(b, "i").select("i", "vec_id", "label", "doc_id", "lang")
+
+
+@PLANS("SELECT user_id, followers_at_collection AS followers, username, row_number() OVER (ORDER BY verified DESC NULLS LAST, followers_at_collection DESC NULLS LAST, user_id, username) - 1 AS place FROM (SELECT DISTINCT user_id, followers_at_collection, username, verified FROM users)")
+def sr01_multi_key_sort(s, d):
+    """SR01: an order by several keys in different directions; the place in it shows the order."""
+    from tideline.operators.ranking import row_index
+
+    u = table(s, d, "users").select("user_id", "followers_at_collection", "username", "verified").distinct()
+    u = u.withColumn("_v", -F.coalesce(F.col("verified").cast("int"), F.lit(-1))).withColumn("_f", -F.coalesce("followers_at_collection", F.lit(-1)))
+    return row_index(u, ["_v", "_f", "user_id", "username"], "place").select("user_id", F.col("followers_at_collection").alias("followers"), "username", "place")

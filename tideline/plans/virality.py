@@ -122,3 +122,17 @@ def ud06_popular_events(s, d):
     f = S.peek_and_horizon(S.events(e, "user_id", "ts", "v"), e, "user_id", "ts", "v")
     mid = f.agg(F.median("later_n").alias("m"))
     return f.join(F.broadcast(mid)).select("user_id", "session", F.col("peek_n").alias("peek"), F.col("later_n").alias("later"), (F.col("later_n") >= F.col("m")).alias("popular"))
+
+
+@PLANS(f"""WITH {_POSTS}, e AS (SELECT cluster_id, created_at AS ts, text, coalesce(retweet_count_at_collection, 0) AS rt, coalesce(likes_at_collection, 0) AS lk FROM p WHERE created_at IS NOT NULL), br AS (SELECT *, rt + lk AS eng, CASE WHEN lag(ts) OVER w IS NULL THEN 0 WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM e WINDOW w AS (PARTITION BY cluster_id ORDER BY ts, rt + lk)),
+se AS (SELECT *, CAST(sum(b) OVER (PARTITION BY cluster_id ORDER BY ts, eng ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM br), st AS (SELECT *, min(ts) OVER (PARTITION BY cluster_id, session) AS start FROM se), x AS (SELECT cluster_id, session, start, min(eng) FILTER (ts = start) AS first_score, max(eng) AS max_score FROM st GROUP BY 1, 2, 3),
+j AS (SELECT x.*, f.rt, f.eng, f.text, f.ts < start + INTERVAL 6 HOUR AS early, f.ts < start + INTERVAL 3 HOUR AS half FROM x JOIN br f ON f.cluster_id = x.cluster_id AND f.ts >= start AND f.ts < start + INTERVAL 174 HOUR),
+g AS (SELECT cluster_id, session, start, first_score, max_score, count(*) FILTER (early) AS n, coalesce(sum(eng) FILTER (early), 0) AS e, coalesce(sum(eng) FILTER (early AND half), 0) AS e1, count(*) FILTER (early AND half) AS n1, coalesce(sum(eng) FILTER (early AND NOT half), 0) AS e2, count(*) FILTER (early AND NOT half) AS n2, coalesce(sum(rt) FILTER (early), 0) AS rt, sum(len(text) - len(replace(text, '#', ''))) FILTER (early) AS ht, count(*) FILTER (early AND contains(text, 'http')) AS url, count(*) FILTER (early AND starts_with(text, 'RT @')) AS re, coalesce(sum(eng) FILTER (NOT early), 0) AS later FROM j GROUP BY 1, 2, 3, 4, 5)
+SELECT cluster_id, session, first_score::DOUBLE AS z_score_at_detection, max_score::DOUBLE AS z_max_peek, round(e2 / greatest(n2, 1) - e1 / greatest(n1, 1), 6) AS momentum, round(rt / greatest(e, 1), 6) AS rt_ratio, 0.0 AS reply_ratio, round(e / n, 6) AS engagement_efficiency, n AS tweet_volume, round(url / n, 6) AS url_density, 0.0 AS media_density, 0.0 AS video_density, round(coalesce(ht, 0) / n, 6) AS hashtag_avg, 0.0 AS quote_ratio, round(re / n, 6) AS retweet_ratio, hour(start) AS hour_of_day, CASE WHEN dayofweek(start) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend, later::DOUBLE AS horizon_engagement FROM g""")
+def ud06_event_features(s, d):
+    """UD06: the fifteen features of events of posts; engagement stands for the score, replies and media aren't in these tables."""
+    p = _posts(s, d).where("created_at is not null").select(
+        "cluster_id", "created_at", F.coalesce("retweet_count_at_collection", F.lit(0)).alias("retweets"), F.coalesce("likes_at_collection", F.lit(0)).alias("likes"), F.lit(0).alias("replies"), F.contains("text", F.lit("http")).alias("url"), F.lit(False).alias("photo"), F.lit(False).alias("video"), F.lit(False).alias("quote"), F.startswith("text", F.lit("RT @")).alias("retweet"), (F.length("text") - F.length(F.replace("text", F.lit("#"), F.lit("")))).alias("hashtags")
+    )
+    e = S.events(p.withColumn("score", F.col("retweets") + F.col("likes")), "cluster_id", "created_at", "score")
+    return S.event_features(e, p, "cluster_id", "created_at")
