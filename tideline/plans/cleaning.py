@@ -240,7 +240,7 @@ def sf20_prompt_list(s, d):
     return top.groupBy("cluster_id").agg(X.numbered_list(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"])).alias("prompt"))
 
 
-@PLANS("SELECT sentence_id, regexp_extract(claim, 'CLAIM: (.*?) SOURCE:', 1) AS claim, regexp_extract(claim, 'SOURCE: \"(.*?)\"', 1) AS source FROM (SELECT DISTINCT sentence_id, 'CLAIM: ' || replace(normalized_claim, chr(10), ' ') || ' SOURCE: \"' || model_name || '\"' AS claim FROM normalizations WHERE normalized_claim IS NOT NULL AND NOT contains(normalized_claim, '\"'))")
+@PLANS("SELECT sentence_id, regexp_extract(claim, 'CLAIM: (.*?) SOURCE:', 1) AS claim, regexp_extract(claim, 'SOURCE: \"(.*?)\"', 1) AS source FROM (SELECT DISTINCT sentence_id, 'CLAIM: ' || replace(normalized_claim, chr(10), ' ') || ' SOURCE: \"' || model_name || '\"' AS claim FROM normalizations WHERE normalized_claim IS NOT NULL)")
 def sf21_parse_response(s, d):
     n = table(s, d, "normalizations").where("normalized_claim is not null")
     c = F.concat(F.lit("CLAIM: "), F.replace("normalized_claim", F.lit("\n"), F.lit(" ")), F.lit(' SOURCE: "'), F.col("model_name"), F.lit('"'))

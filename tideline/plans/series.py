@@ -139,19 +139,19 @@ def sm10_detections(s, d):
 
 def _classical(rows: str, scored: str) -> str:
     return f"""WITH RECURSIVE {_E_SERIES}, {_E_STATS}, {_E_Z}, {_states(rows)}, x AS (SELECT z.entity, z.t, z.n, z.e, z.obs, CASE WHEN {scored} THEN round(z.zn, 6) END AS zc, CASE WHEN {scored} THEN round(z.ze, 6) END AS zg, CASE WHEN {scored} THEN round(0.4 * z.zn + 0.6 * z.ze, 6) END AS z, k.state FROM z LEFT JOIN k ON k.entity = z.entity AND k.t = z.t)
-SELECT entity, t, n, e, CASE WHEN obs < 24 THEN 'sparse' ELSE 'mature' END AS path, round(zc, 4) AS z_count, round(zg, 4) AS z_engagement, round(z, 4) AS z, state, {_E_TRIGGER} AS trigger FROM x"""
+SELECT entity, t, n, e, CASE WHEN obs < 24 THEN 'sparse' ELSE 'mature' END AS path, zc AS z_count, zg AS z_engagement, z, state, {_E_TRIGGER} AS trigger FROM x"""
 
 
 @PLANS(_classical("true", "true"))
 def sm10_scores_for_all(s, d):
     """SM10 without shrinkage: every row is scored, sparse ones with relaxed deviations."""
-    return _short(D.detections(_engagement_days(s, d), bayesian=False))
+    return D.detections(_engagement_days(s, d), bayesian=False)
 
 
 @PLANS(_classical("obs >= 24 AND n >= 10 AND e >= 50", "z.obs >= 24 AND z.n >= 10 AND z.e >= 50"))
 def sm11_legacy(s, d):
     """SM11: only mature rows with enough activity are scored, and only they move the automaton."""
-    return _short(D.detections(_engagement_days(s, d), compute_all=False, bayesian=False))
+    return D.detections(_engagement_days(s, d), compute_all=False, bayesian=False)
 
 
 @PLANS()
