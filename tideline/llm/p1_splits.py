@@ -20,59 +20,63 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.fmindex import WordIndex, extend
 from tideline.llm.p4_edits import one_a_class
-from tideline.llm.sketch import class_counts, mix
+from tideline.llm.sketch import class_counts, mix, row_ids
 from tideline.llm.wordsets import flat_of, frequent_words, word_rows
 from tideline.operators.staging import stage
 
 CLASSES = 32
 
 
-def prefix_length(n: int, least: float) -> int:
-    return n - math.ceil(least * n - 1e-9) + 1
-
-
 def routed(classes: DataFrame, hot: np.ndarray, counts: np.ndarray, least: float, shards: int) -> DataFrame:
     """Each text once for every shard of its prefix words: ``shard``, ``cls``, ``anchors`` (its prefix words of the shard), ``seq``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = flat_of(batch.column(1))
-            out: list[tuple[int, int, list[int], list[int]]] = []
-            for i, cls in enumerate(batch.column(0).to_pylist()):
-                seq = values[offsets[i] : offsets[i + 1]]
-                distinct = np.unique(seq)
-                at = np.minimum(np.searchsorted(hot, distinct), max(0, len(hot) - 1))
-                freq = np.where(hot[at] == distinct, counts[at], 0) if len(hot) else np.zeros(len(distinct), np.int64)
-                first = distinct[np.lexsort((distinct, freq))][: prefix_length(len(distinct), least)]
-                where = (mix(first.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                for s in np.unique(where):
-                    out.append((int(s), cls, first[where == s].view(np.int32).tolist(), seq.view(np.int32).tolist()))
-            s, c, a, q = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(c, pa.int64()), pa.array(a, pa.list_(pa.int32())), pa.array(q, pa.list_(pa.int32()))], ["shard", "cls", "anchors", "seq"])
+            both = np.unique(row_ids(offsets).astype(np.uint64) << np.uint64(32) | values)
+            row, word = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            n = np.bincount(row, minlength=batch.num_rows)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
+                freq = np.where(hot[at] == word, counts[at], 0)
+            else:
+                freq = np.zeros(len(word), np.int64)
+            order = np.lexsort((word, freq, row))
+            row, word = row[order], word[order]
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            first = place < (n - np.ceil(least * n - 1e-9).astype(np.int64) + 1)[row]
+            row, word = row[first], word[first]
+            shard = (mix(word.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.lexsort((word, shard, row))
+            row, word, shard = row[order], word[order], shard[order]
+            begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])]) if len(row) else np.zeros(0, np.int64)
+            anchors = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)], pa.int32()), pa.array(word.view(np.int32)))
+            which = pa.array(row[begin])
+            yield pa.RecordBatch.from_arrays([pa.array(shard[begin]), batch.column(0).take(which), anchors, batch.column(1).take(which)], ["shard", "cls", "anchors", "seq"])
 
     return classes.select("cls", "seq").mapInArrow(run, "shard long, cls long, anchors array<int>, seq array<int>")
 
 
-NO_PAIRS = {"a": "int64", "b": "int64", "similarity": "float64", "shared": "int32", "spans": "int32", "longest": "int32"}
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64()), ("shared", pa.int32()), ("spans", pa.int32()), ("longest", pa.int32())])
 
 
 class Side:
     """The texts of one side of a shard: flat words, where each text starts, distinct words, their number and counts by vocabulary class."""
 
-    def __init__(self, sequences: pd.Series):
-        texts = [np.asarray(x, np.int32).view(np.uint32).astype(np.int64) for x in sequences]
-        self.texts, self.flat = texts, np.concatenate(texts)
-        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-        both = np.unique(np.repeat(np.arange(len(texts)), np.diff(self.starts)) << 32 | self.flat)
+    def __init__(self, table: pa.Table):
+        self.cls = table.column("cls").to_numpy()
+        values, self.starts = flat_of(table.column("seq").combine_chunks())
+        self.flat = values.astype(np.int64)
+        self.texts = [self.flat[a:b] for a, b in zip(self.starts[:-1], self.starts[1:])]
+        both = np.unique(np.repeat(np.arange(len(self.texts)), np.diff(self.starts)) << 32 | self.flat)
         self.sets = both  # text << 32 | word, sorted
-        self.n = np.bincount(both >> 32, minlength=len(texts))
+        self.n = np.bincount(both >> 32, minlength=len(self.texts))
         self.ends = np.concatenate([[0], np.cumsum(self.n)])
         self.pivots = class_counts((both & 0xFFFFFFFF).astype(np.uint32), self.ends, CLASSES)
 
@@ -91,18 +95,18 @@ def shared_words(t: Side, h: Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bincount(which, h.sets[got] == asked, len(i)).astype(np.int64)
 
 
-def search_shard(train: pd.DataFrame, held: pd.DataFrame, least: float, step: int = 500_000) -> pd.DataFrame:
+def search_shard(train: pa.Table, held: pa.Table, least: float, step: int = 500_000) -> pa.Table:
     """Pairs of one shard: ``a`` (train class), ``b`` (evaluation class), ``similarity``, ``shared`` words, ``spans`` and ``longest`` of the merged matches.
 
     Backward search of the train texts' anchors gives where evaluation texts have them; around each the match is maximal. The matches of
     a pair are merged, and the words they cover are counted. A pair whose count suffices is found; where it doesn't, words outside these
     matches may still be shared, and are added before the pair is given up. About ``step`` located entries are held at a time."""
-    out: list[pd.DataFrame] = []
-    if len(train) and len(held):
-        t, h = Side(train["seq"]), Side(held["seq"])
+    out: list[pa.Table] = []
+    if train.num_rows and held.num_rows:
+        t, h = Side(train), Side(held)
         index = WordIndex(h.texts)
-        anchor = [np.asarray(x, np.int32).view(np.uint32).astype(np.int64) for x in train["anchors"]]
-        wanted = np.unique(np.concatenate([np.full(len(x), k) << 32 | x for k, x in enumerate(anchor)]))
+        anchor, of = flat_of(train.column("anchors").combine_chunks())
+        wanted = np.unique(row_ids(of) << 32 | anchor.astype(np.int64))
         row = np.repeat(np.arange(len(t.texts)), np.diff(t.starts))
         key = row << 32 | t.flat
         end = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
@@ -141,8 +145,9 @@ def search_shard(train: pd.DataFrame, held: pd.DataFrame, least: float, step: in
             found = enough(shared)
             x, y, spans, longest = x[found], y[found], spans[found], longest[found]
             shared = shared_words(t, h, x, y)  # few; the report needs the exact similarity
-            out.append(pd.DataFrame({"a": train["cls"].to_numpy()[x], "b": held["cls"].to_numpy()[y], "similarity": shared / (t.n[x] + h.n[y] - shared), "shared": shared, "spans": spans, "longest": longest}).astype(NO_PAIRS))
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=k) for c, k in NO_PAIRS.items()})
+            got = {"a": t.cls[x], "b": h.cls[y], "similarity": shared / (t.n[x] + h.n[y] - shared), "shared": shared, "spans": spans, "longest": longest}
+            out.append(pa.table({c: pa.array(v, kind) for (c, v), kind in zip(got.items(), PAIRS.types)}, schema=PAIRS))
+    return pa.concat_tables(out) if out else PAIRS.empty_table()
 
 
 def class_overlaps(train: DataFrame, held: DataFrame, least: float, texts_a_shard: int = 4000) -> DataFrame:
@@ -157,10 +162,10 @@ def class_overlaps(train: DataFrame, held: DataFrame, least: float, texts_a_shar
     h = sides[1].join(plan, "shard").withColumn("bh", F.pmod(F.xxhash64("cls"), F.col("blocks_h")).cast("int")).withColumn("bt", F.explode(F.sequence(F.lit(0), F.col("blocks_t") - 1)))
     keys = ["shard", "bt", "bh"]
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return search_shard(a, b, least)
 
-    found = t.select(*keys, "cls", "anchors", "seq").groupBy(*keys).cogroup(h.select(*keys, "cls", "seq").groupBy(*keys)).applyInPandas(run, "a long, b long, similarity double, shared int, spans int, longest int")
+    found = t.select(*keys, "cls", "anchors", "seq").groupBy(*keys).cogroup(h.select(*keys, "cls", "seq").groupBy(*keys)).applyInArrow(run, "a long, b long, similarity double, shared int, spans int, longest int")
     return found.groupBy("a", "b").agg(F.first("similarity").alias("similarity"), F.first("shared").alias("shared"), F.min("spans").alias("spans"), F.max("longest").alias("longest"))
 
 
